@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seamark.llm import exact_dedup, mixing, packing, quality_rules, scratch, token_output
+from seamark.llm import exact_dedup, mixing, ngram_join, packing, quality_rules, scratch, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"), size=5, similarity=(4, 5))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classify_copies(_table(spark, sf_dir, "documents")).drop("_row")
 
@@ -49,12 +53,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rules,
         op3_token_output,
         op4_packing,
+        op7_ngram_join,
         op8_exact_dedup,
         op9_mixing,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS ws
+            FROM documents),
+        s AS (
+            SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+                   ELSE list_distinct([array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)]) END AS sh
+            FROM w),
+        g AS (SELECT min(doc_id) AS rep, sh, len(sh) AS n FROM (SELECT doc_id, list_sort(sh) AS sh FROM s) GROUP BY sh),
+        u AS (SELECT rep, n, unnest(sh) AS x FROM g),
+        p AS (
+            SELECT a.rep AS a, b.rep AS b FROM u AS a JOIN u AS b ON a.x = b.x AND a.rep < b.rep
+            GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+        e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+        r AS (SELECT rep AS node, rep AS low FROM g UNION SELECT e.b, r.low FROM r JOIN e ON e.a = r.node),
+        c AS (SELECT node, min(low) AS component FROM r GROUP BY node)
+        SELECT s.doc_id, len(s.sh) AS n_shingles, CASE WHEN len(s.sh) = 0 THEN s.doc_id ELSE c.component END AS component_id
+        FROM s JOIN g ON g.sh = list_sort(s.sh) JOIN c ON c.node = g.rep
+    """,
     "op8_exact_dedup": r"""
         WITH n AS (
             SELECT doc_id, coalesce(text, '') AS t,
