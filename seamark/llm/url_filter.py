@@ -90,7 +90,7 @@ def vocabulary_counts(words: Vocabulary):
         machine.make_automaton()
 
         def hits(url: str | None) -> tuple[int, int, int]:
-            text = "".join(c.lower() if "A" <= c <= "Z" else c for c in url or "")
+            text = (url or "").translate(_FOLD)
             strict, soft = 0, {}
             for end, (term, weight) in machine.iter(text):
                 before, after = end - len(term), end + 1
@@ -109,6 +109,7 @@ def vocabulary_counts(words: Vocabulary):
 
 
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
+_FOLD = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[SiteRule] = SITE_RULES, words: Vocabulary | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -137,7 +138,8 @@ def oracle(rules: Sequence[SiteRule] = SITE_RULES, words: Vocabulary | None = No
 
     def times(term: str) -> str:
         # with every separator doubled no two hits of a term share one
-        return f"len(regexp_extract_all(wide, '(^|[^a-z0-9]){term}($|[^a-z0-9])'))"
+        doubled = "".join(c if c in _WORD else c + c for c in term)
+        return f"len(regexp_extract_all(wide, '(^|[^a-z0-9]){doubled}($|[^a-z0-9])'))"
 
     soft = {t: w for t, w in words.soft.items() if t not in words.strict}
     fits = {r: f"((host = '{r.host}' OR host LIKE '%.{r.host}') AND starts_with(path, '{r.path}'))" for r in sorted(rules, key=lambda r: -len(r.name))}
