@@ -1 +1,6 @@
+"""Named queries, each with the SQL of the same rows."""
 
+from seamark.plans import network
+from seamark.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "network"]
