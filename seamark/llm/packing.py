@@ -129,13 +129,14 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
         step = 4 * capacity
         for batch in batches:
             rows: list[list] = [[], [], [], [], [], []]
-            texts = ["" if t is None else t for t in batch.column(1).to_pylist()]
-            for i, ids in enumerate(encode(texts)):
-                ids += end
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    for col, v in zip(rows, (i, k, at // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
-                        col.append(v)
+            for row, ids, offsets in encode(batch.column(1)):
+                raw, bounds = ids.tobytes(), (4 * offsets).tolist()
+                for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False), row):
+                    own = raw[a:b] + end
+                    for k, at in enumerate(range(0, len(own), step)):
+                        part = own[at : at + step]
+                        for col, v in zip(rows, (i, k, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None), strict=True):
+                            col.append(v)
             out = [
                 batch.column(0).take(pa.array(rows[0], pa.int64())),
                 pa.array(rows[1], pa.int32()),

@@ -184,11 +184,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
 
         for batch in batches:
             kind = batch.column(0).type
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                ids = encode(["" if t is None else t for t in part.column(1).to_pylist()])
-                for name, own in zip(part.column(0).to_pylist(), ids, strict=True):
-                    held.append(own + end)
+            for row, ids, offsets in encode(batch.column(1)):
+                raw, bounds = ids.tobytes(), (4 * offsets).tolist()
+                for name, a, b in zip(batch.column(0).slice(row, len(bounds) - 1).to_pylist(), bounds, bounds[1:], strict=False):
+                    held.append(raw[a:b] + end)
                     names.append(name)
                     size += len(held[-1]) // 4
                     if size >= block_ids:

@@ -1,36 +1,48 @@
-"""Token ids of whole texts, by the ``tokenizers`` library with a piece cache.
+"""Token ids of whole texts, by the ``tokenizers`` library, each distinct piece once.
 
-BPE never merges across pre-tokens, and both supported splits end pre-tokens
-at white space, so a text may be cut there and its pieces encoded on their
-own. Running text repeats its words; each distinct piece is encoded once per
-worker (up to a bound) and looked up afterwards.
+BPE never merges across pre-tokens, so a text may be cut between pre-tokens
+and its pieces encoded on their own. Texts are cut only where every split in
+use has such a boundary: at white space (see ``_cuts``), and between an ASCII
+letter and a full stop or comma. What is not cut stays one piece, so the ids
+are those of the whole text.
+
+A batch's pieces are hashed together (two 64-bit hashes), each distinct one is
+looked up among those that the worker has encoded before, and only new ones go
+through the library. The ids of the batch are then gathered by numpy.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 
-#: Pieces a worker remembers at most (some 150 MB); later ones are encoded as they come.
-CACHE_PIECES = 600_000
-#: Texts encoded together.
-GROUP = 128
+from seamark.llm.words import slices, span_hashes
 
-_SPACED_PIECE = re.compile(rb" ?[^\s]+|\s+(?!\S)|\s+")
-# white space of Unicode beyond what the bytes pattern above knows, and the
-# separators that engines class differently
-_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
+#: Distinct pieces a worker remembers at most (some 80 MB); later ones are encoded as they come.
+KNOWN_PIECES = 1_500_000
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# bytes that may begin a white space character that is not ASCII, and separators that engines class differently
+_DOUBTFUL = np.zeros(256, bool)
+_DOUBTFUL[[*range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_BEGINS_TEXT = ~_SPACE & ~_DOUBTFUL
+_PLAIN = _BEGINS_TEXT & (np.arange(256) < 0x80)
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 
 class PieceEncoder:
-    """Encodes lists of texts into little-endian unsigned 32-bit ids.
+    """Encodes batches of texts.
 
     ``spaced``: the split keeps a leading space with its word (byte-level
-    BPE); otherwise white space is dropped. Texts with unusual white space go
-    through the library whole.
+    BPE). Otherwise white space is dropped and letters are lower-cased.
     """
 
     def __init__(self, path: str, spaced: bool):
@@ -40,46 +52,122 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.cache: dict[bytes, bytes] = {}
-
-    def _pieces(self, text: str) -> list[bytes] | None:
-        if _OTHER_SPACE.search(text):
-            return None
-        data = text.encode("utf-8", "replace")
-        return _SPACED_PIECE.findall(data) if self.spaced else data.split()
+        # ids that begin (spaced) or end a pre-token
+        vocabulary = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
+        self.keys = np.zeros(0, np.uint64)
+        self.checks = np.zeros(0, np.uint64)
+        self.begin = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _cuts(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces of ``data``; texts begin at ``begins``."""
+        size = len(data)
+        first = np.zeros(size + 1, bool)
+        first[begins[begins < size]] = True
+        stop = np.zeros(size, bool)
+        stop[1:] = _LETTER[data[:-1]] & ((data[1:] == 0x2E) | (data[1:] == 0x2C))
+        first[:size] |= stop
+        if not self.spaced:
+            inside = ~_SPACE[data]
+            first[:size] &= inside
+            first[0] = inside[0]
+            first[1:size] |= inside[1:] & ~inside[:-1]
+            starts = np.flatnonzero(first[:size])
+            last = np.zeros(size, bool)
+            last[:-1] = inside[:-1] & (~inside[1:] | first[1:size])
+            last[-1] = inside[-1]
+            return starts, np.flatnonzero(last) + 1
+        # a space joins the word behind it, whatever stands before
+        good = _BEGINS_TEXT[data]
+        first[: size - 1] |= (data[:-1] == 0x20) & good[1:]
+        # a line break between plain text is a pre-token of its own
+        alone = np.zeros(size, bool)
+        alone[1:-1] = (data[1:-1] == 0x0A) & _PLAIN[data[:-2]] & good[2:]
+        first[:size] |= alone
+        first[1:] |= alone
+        starts = np.flatnonzero(first[:size])
+        return starts, np.append(starts[1:], size)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        out = []
+        for at in range(0, len(texts), 1024):
+            out += [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts[at : at + 1024], add_special_tokens=False)]
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of ASCII letters: they are encoded in rows and parted at their edges."""
         out: list[bytes] = []
-        for at in range(0, len(texts), GROUP):
-            out += self._group(texts[at : at + GROUP])
+        glue = "" if self.spaced else " "
+        for at in range(0, len(words), 256):
+            part = words[at : at + 256]
+            flat = np.array(self.tokenizer.encode_batch_fast([glue.join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            cut = np.flatnonzero(self.edge[flat])
+            cut = np.append(cut[1:], len(flat)) if self.spaced else cut + 1
+            if len(cut) != len(part):
+                out += self._ids(part)
+                continue
+            raw, begin = flat.tobytes(), 0
+            for end in (4 * cut).tolist():
+                out.append(raw[begin:end])
+                begin = end
         return out
 
-    def _group(self, texts: list[str]) -> list[bytes]:
-        get = self.cache.get
-        out: list = [None] * len(texts)
-        late = []
-        for i, text in enumerate(texts):
-            pieces = self._pieces(text)
-            if pieces is None:
-                out[i] = self._ids([text])[0]
+    def _encode_new(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces, joined, and how many each has."""
+        skip = 1 if self.spaced else 0
+        plain = [len(p) > skip and p[skip:].isalpha() and p.isascii() and (not skip or p[:1] == b" ") for p in pieces]
+        words = iter(self._of_words([p.decode() for p, w in zip(pieces, plain, strict=True) if w]))
+        others = iter(self._ids([p.decode("utf-8", "replace") for p, w in zip(pieces, plain, strict=True) if not w]))
+        ids = [next(words) if w else next(others) for w in plain]
+        return np.frombuffer(b"".join(ids), np.uint32), np.array([len(x) // 4 for x in ids], np.int64)
+
+    def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Slices of the batch: (row of its first text, ids, offsets of each text into the ids). Null counts as empty."""
+        for row, data, begins in slices(texts, 4 << 20):
+            if not len(data):
+                yield row, np.zeros(0, np.uint32), np.zeros(len(begins), np.int64)
                 continue
-            ids = list(map(get, pieces))
-            if None in ids:
-                late.append((i, pieces))
+            starts, ends = self._cuts(data, begins)
+            key, check = span_hashes(data, starts, ends, fold=not self.spaced)
+            distinct, where, inverse = np.unique(key, return_index=True, return_inverse=True)
+            if not (check == check[where][inverse]).all():  # two pieces share a hash: no lookup for this slice
+                where, inverse = np.arange(len(key)), np.arange(len(key))
+                at, known = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
             else:
-                out[i] = b"".join(ids)
-        if late:
-            fresh = list({p for _, pieces in late for p in pieces if p not in self.cache})
-            new = dict(zip(fresh, self._ids([p.decode("utf-8") for p in fresh]), strict=True))
-            if len(self.cache) + len(new) <= CACHE_PIECES:
-                self.cache.update(new)
-                new = self.cache
-            for i, pieces in late:
-                out[i] = b"".join([get(p) or new.get(p, b"") for p in pieces])
-        return out
+                at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
+                known = (self.keys[at] == distinct) & (self.checks[at] == check[where]) if len(self.keys) else np.zeros(len(distinct), bool)
+            begin, count = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
+            begin[known], count[known] = self.begin[at[known]], self.count[at[known]]
+            new = np.flatnonzero(~known)
+            pool = self.pool
+            if len(new):
+                raw = data.tobytes()
+                pieces = [raw[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
+                ids, n = self._encode_new(pieces)
+                begin[new], count[new] = len(pool) + np.cumsum(n) - n, n
+                pool = np.concatenate([pool, ids])
+                if len(self.keys) + len(new) <= KNOWN_PIECES and len(where) == len(distinct):
+                    self._remember(distinct[new], check[where[new]], begin[new], n, pool)
+            lengths = count[inverse]
+            upto = np.concatenate([[0], np.cumsum(lengths)])
+            flat = pool[np.repeat(begin[inverse] - upto[:-1], lengths) + np.arange(upto[-1])]
+            yield row, flat, upto[np.searchsorted(starts, begins)]
+
+    def _remember(self, keys: np.ndarray, checks: np.ndarray, begin: np.ndarray, count: np.ndarray, pool: np.ndarray) -> None:
+        if len(self.keys):  # a key with another check stays as it was
+            fresh = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
+        else:
+            fresh = np.ones(len(keys), bool)
+        keys, checks, begin, count = keys[fresh], checks[fresh], begin[fresh], count[fresh]
+        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
+        self.keys, self.checks, self.begin, self.count = (
+            np.concatenate(two)[order] for two in ((self.keys, keys), (self.checks, checks), (self.begin, begin), (self.count, count))
+        )
+        self.pool = pool
 
 
 def encoder(path: str, spaced: bool) -> PieceEncoder:

@@ -15,8 +15,8 @@ import pyarrow as pa
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_BASE = 0x9E3779B97F4A7C15
+_SECOND_BASE = 0xC2B2AE3D27D4EB4F
 _STEP = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(64)], np.uint64)
 #: Bytes hashed together.
 SLICE_BYTES = 1 << 20
@@ -40,40 +40,42 @@ def _byte_values(fold: bool) -> np.ndarray:
 _VALUES = {fold: _byte_values(fold) for fold in (True, False)}
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    def table(base: np.uint64) -> np.ndarray:
-        out = np.full(size, base, np.uint64)
+@functools.lru_cache(maxsize=4)
+def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    def table(b: int) -> np.ndarray:
+        out = np.full(size, b, np.uint64)
         out[0] = 1
         return np.multiply.accumulate(out)
 
-    return table(_BASE), table(_BASE_INVERSE)
-
-
-def _hash_slice(data: np.ndarray, begins: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of ``data`` and, per text beginning at ``begins``, the number of words before it."""
-    size = len(data)
-    inside = ~_SPACE[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    cut = begins[begins < size]
-    first[cut] = inside[cut]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:]
-    cut = cut[cut > 0] - 1
-    last[cut] = inside[cut]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last)
-    up, down = _powers(1 << max(20, (size + 1).bit_length()))
-    sums = np.zeros(size + 1, np.uint64)
-    np.cumsum(_VALUES[fold][data] * up[:size], out=sums[1:])
-    raw = (sums[ends + 1] - sums[starts]) * down[starts]
-    return mix(raw + (ends - starts).astype(np.uint64)), np.searchsorted(starts, begins)
+    return table(base), table(pow(base, -1, 1 << 64))
 
 
-def word_hashes(texts: pa.Array, fold: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Slices of the batch: (row of its first text, hashes, offsets of each text into the hashes).
+def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, base: int) -> np.ndarray:
+    """A 64-bit hash of each span of ``data``."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):  # stretches that stay in the processor's cache
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE_BYTES, "right")))
+        lo, hi = starts[a], ends[b - 1]
+        size = int(hi - lo)
+        up, down = _powers(1 << max(20, (size + 1).bit_length()), base)
+        sums = np.zeros(size + 1, np.uint64)
+        np.cumsum(_VALUES[fold][data[lo:hi]] * up[:size], out=sums[1:])
+        begin, end = starts[a:b] - lo, ends[a:b] - lo
+        out[a:b] = mix((sums[end] - sums[begin]) * down[begin] + (end - begin).astype(np.uint64))
+        a = b
+    return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent hashes of each span."""
+    return _polynomials(data, starts, ends, fold, _BASE), _polynomials(data, starts, ends, fold, _SECOND_BASE)
+
 
-    Null counts as empty. A text is never split over slices.
+def slices(texts: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Stretches of about ``size`` bytes: (row of its first text, bytes, where each text begins and the last one ends).
+
+    Null counts as empty. A text is never split.
     """
     texts = texts.cast(pa.large_string()).fill_null("")
     n = len(texts)
@@ -82,19 +84,31 @@ def word_hashes(texts: pa.Array, fold: bool = True) -> Iterator[tuple[int, np.nd
     data = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
     row = 0
     while row < n:
-        stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLICE_BYTES, "right")) - 1)
-        stop = min(stop, n)
-        part = data[offsets[row] : offsets[stop]]
-        begins = offsets[row : stop + 1] - offsets[row]
-        if len(part):
-            hashes, before = _hash_slice(part, begins, fold)
-            before[-1] = len(hashes)
-        else:
-            hashes, before = np.zeros(0, np.uint64), np.zeros(stop - row + 1, np.int64)
-        yield row, hashes, before
+        stop = min(n, max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1))
+        yield row, data[offsets[row] : offsets[stop]], offsets[row : stop + 1] - offsets[row]
         row = stop
 
 
+def word_hashes(texts: pa.Array, fold: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Slices of the batch: (row of its first text, hashes of its words, offsets of each text into them)."""
+    for row, data, begins in slices(texts, SLICE_BYTES):
+        size = len(data)
+        if not size:
+            yield row, np.zeros(0, np.uint64), np.zeros(len(begins), np.int64)
+            continue
+        inside = ~_SPACE[data]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        cut = begins[begins < size]
+        first[cut] = inside[cut]
+        last = inside.copy()
+        last[:-1] &= ~inside[1:]
+        cut = cut[cut > 0] - 1
+        last[cut] = inside[cut]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        yield row, _polynomials(data, starts, ends, fold, _BASE), np.searchsorted(starts, begins)
+
+
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """One hash per window of ``size`` words of a single run of words."""
     if len(words) < size:
