@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seamark.operators.graph import ensure_checkpoint_dir
+
 
 def expand_paths(edges: DataFrame, roots: DataFrame, max_hops: int, weight: Column | None = None, floor: float | None = None, undirected: bool = False, min_hops: int = 1) -> DataFrame:
     """One row per path of ``min_hops`` to ``max_hops`` edges from each root: ``root``, ``node``, ``hops``, ``edge_ids``, ``nodes``, ``score``.
@@ -37,19 +39,24 @@ def expand_paths(edges: DataFrame, roots: DataFrame, max_hops: int, weight: Colu
     return out.where(F.col("hops") >= min_hops)
 
 
-def reach(edges: DataFrame, roots: DataFrame, max_hops: int, undirected: bool = False) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, max_hops: int, undirected: bool = False, with_root: bool = True) -> DataFrame:
     """``root``, ``node``, ``hops``: every node within reach with its distance.
 
     Only first visits are expanded, so the work is bounded by pairs, not paths.
+    The root itself has distance 0; without ``with_root`` it appears only where
+    a cycle leads back to it, with the length of that cycle.
     """
     e = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
     if undirected:
         e = e.unionByName(e.select(F.col("_to").alias("_from"), F.col("_from").alias("_to")))
     e = e.distinct()
-    frontier = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops"))
-    seen = frontier
+    ensure_checkpoint_dir(edges.sparkSession)
+    frontier = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).checkpoint()
+    seen = frontier if with_root else frontier.limit(0)
     for hop in range(1, max_hops + 1):
         step = frontier.join(e, F.col("node") == F.col("_from")).select("root", F.col("_to").alias("node"), F.lit(hop).alias("hops")).distinct()
-        frontier = step.join(seen.select("root", "node"), ["root", "node"], "left_anti")
+        frontier = step.join(seen.select("root", "node"), ["root", "node"], "left_anti").checkpoint()
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen

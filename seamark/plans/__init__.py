@@ -1,6 +1,6 @@
 """Named queries, each with the SQL of the same rows."""
 
-from seamark.plans import network
+from seamark.plans import graphs, inference, network, outputs, places, scores, texts, tracks
 from seamark.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "network"]
+__all__ = ["QUERIES", "SQL", "graphs", "inference", "network", "outputs", "places", "scores", "texts", "tracks"]
