@@ -17,7 +17,10 @@ join runs over classes.
     lists that still mix components when hub rounds bring nothing new are
     joined with themselves across components, so no link between components
     is lost, and large groups of copies never become all their pairs.
-4.  Every candidate pair is verified once, on the whole sets.
+4.  Bitmap filter: each set has the parities of its shingles over 256 buckets.
+    Two sets differ in as many shingles at least as their bitmaps differ in
+    bits, which bounds the overlap.
+5.  Every candidate pair that is left is verified once, on the whole sets.
 
 Shingles and classes are named by 64-bit hashes.
 """
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from seamark.llm import merge
 from seamark.llm.components import components
-from seamark.llm.scratch import materialize
+from seamark.llm.scratch import discard, materialize, passing
 from seamark.llm.words import shingle_sets
 
 SKETCH_BITS = 20
@@ -131,8 +134,27 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & enough
 
 
+BITMAP = ("b0", "b1", "b2", "b3")
+
+
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    odd = np.bincount(((hashes >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _differences(a: str, b: str) -> Column:
+    """Shingles that stand in one of two sets only, at least."""
+    return sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITMAP), F.lit(0))
+
+
+def _bitmaps_agree(a: str, b: str, n: str, m: str, num: int, den: int) -> Column:
+    """Whether the overlap that the bitmaps leave possible reaches the similarity."""
+    most = F.col(n) + F.col(m) - _differences(a, b)  # twice the overlap
+    return most * (num + den) >= 2 * _needed(F.col(n), F.col(m), num, den)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, text_col: str) -> DataFrame:
-    """``k``, ``shingles`` of the classes in ``wanted`` (``th``: texts to read)."""
+    """``k``, ``shingles`` and the bitmap of the classes in ``wanted`` (``th``: texts to read)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -148,10 +170,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, text_col: str) -> DataF
                 if ks:
                     offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), lists], ["k", "shingles"])
+                    bits = np.stack([_bitmap(h.view(np.uint64)) for h in sets], axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), lists, *(pa.array(b) for b in bits)], ["k", "shingles", *BITMAP])
 
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("_text"))
-    return texts.join(wanted, "th", "left_semi").select("_text").mapInArrow(rows, "k long, shingles array<long>").dropDuplicates(["k"])
+    return texts.join(wanted, "th", "left_semi").select("_text").mapInArrow(rows, "k long, shingles array<long>, b0 long, b1 long, b2 long, b3 long").dropDuplicates(["k"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -177,9 +200,13 @@ def link_classes(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     def tell(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"), "linked")
 
+    def bits(side: str, n: str) -> DataFrame:
+        return sets.select(F.col("k").alias(side), F.size("shingles").alias(n), *[F.col(b).alias(f"{side}{b}") for b in BITMAP])
+
     for turn in range(HUB_ROUNDS):
         rows = labelled(live)
-        order = F.xxhash64("token", "k", F.lit(turn)) if turn else F.lit(0).cast("long")
+        # every list draws its own hub anew, so that no class is the hub of all
+        order = F.xxhash64("token", "k", F.lit(turn))
         hubs = (
             rows.groupBy("token")
             .agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.min(F.struct(order.alias("o"), "k", "n", "pos", "left", "lab")).alias("hub"))
@@ -191,9 +218,10 @@ def link_classes(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
         if tested is not None:
             done = tested.select("a", "b")
             near = near.join(done, (F.least("x", "h") == F.col("a")) & (F.greatest("x", "h") == F.col("b")), "left_anti")
+        near = near.join(bits("x", "xn"), "x").join(bits("h", "hn"), "h").where(_bitmaps_agree("x", "h", "xn", "hn", num, den))
         best = near.groupBy("x").agg(F.max(F.struct("c", "h")).alias("m")).select("x", F.col("m.h").alias("h"))
         # a pair chosen from both ends is verified once
-        best = best.select(F.least("x", "h").alias("x"), F.greatest("x", "h").alias("h")).distinct()
+        best = materialize(best.select(F.least("x", "h").alias("x"), F.greatest("x", "h").alias("h")).distinct(), "ngram-pairs")
         found = materialize(tell(_verify(best, sets, num, den)), "ngram-verified")
         n_found, n_links = found.agg(F.count("*"), F.count_if("linked")).first()
         if n_found:
@@ -203,18 +231,25 @@ def link_classes(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
             if labels is not None:
                 edges = edges.union(labels.select(F.col("k").alias("a"), F.col("lab").alias("b")))
             labels = components(edges)
-        # only lists that mix components stay
+        # only lists that mix components stay, and the sets of their classes
         rows = labelled(live)
         mixed = rows.groupBy("token").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("token")
-        live = materialize(live.join(mixed, "token", "left_semi"), "ngram-lists")
+        fewer = materialize(live.join(mixed, "token", "left_semi"), "ngram-lists")
+        needed = materialize(sets.join(fewer.select("k").distinct(), "k", "left_semi"), "ngram-sets")
+        discard(live)
+        discard(sets)
+        live, sets = fewer, needed
         if not n_links:
             break
 
-    rows = materialize(labelled(live), "ngram-rest")
-    cross = rows.alias("p").join(rows.alias("q"), (F.col("p.token") == F.col("q.token")) & (F.col("p.lab") < F.col("q.lab"))).where(_may_link("p", "q", num, den))
-    cross = cross.select(F.least("p.k", "q.k").alias("x"), F.greatest("p.k", "q.k").alias("h")).distinct()
+    rows = materialize(labelled(live).join(sets.select("k", *BITMAP), "k"), "ngram-rest")
+    p = rows.select("token", "k", "lab", "n", F.struct("n", "pos", "left").alias("at"), *BITMAP)
+    q = p.select("token", F.col("k").alias("k2"), F.col("lab").alias("lab2"), F.col("n").alias("n2"), F.col("at").alias("at2"), *[F.col(b).alias(f"q{b}") for b in BITMAP])
+    cross = p.join(q, "token").where((F.col("lab") < F.col("lab2")) & _may_link("at", "at2", num, den) & _bitmaps_agree("", "q", "n", "n2", num, den))
+    cross = cross.select(F.least("k", "k2").alias("x"), F.greatest("k", "k2").alias("h")).distinct()
     if tested is not None:
         cross = cross.join(tested.select(F.col("a").alias("x"), F.col("b").alias("h")), ["x", "h"], "left_anti")
+    cross = materialize(cross, "ngram-pairs")
     edges = materialize(tell(_verify(cross, sets, num, den)).where("linked").select("a", "b"), "ngram-cross")
     if labels is None:
         return components(edges)
@@ -232,35 +267,40 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     empty result; other columns are not read.
     """
     num, den = similarity
-    spark = docs.sparkSession
-    seen = materialize(describe(docs, size, id_col, text_col), "ngram-classes")
-    rows = seen.where("chunk is null").select("doc_id", "n", "k", "th")
-    sketch = merge.tree_sum(seen.where("chunk is not null").select("part", "chunk", "payload"), "u8")
-    if sketch is None:
-        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    frequency = spark.sparkContext.broadcast(np.minimum(sketch, np.uint64(2**32 - 1)).astype(np.uint32))
+    with passing() as keep:
+        seen = keep(materialize(describe(docs, size, id_col, text_col), "ngram-classes"))
+        rows = seen.where("chunk is null").select("doc_id", "n", "k", "th")
+        sketch = merge.tree_sum(seen.where("chunk is not null").select("part", "chunk", "payload"), "u8")
+        if sketch is None:
+            return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+        by_class = keep(materialize(_component_of_class(docs, rows, sketch, size, num, den, text_col), "ngram-components"))
+    return rows.join(by_class, "k", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
+    )
+
 
+def _component_of_class(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, size: int, num: int, den: int, text_col: str) -> DataFrame:
+    """``k``, ``component``: each class with the smallest id of its component."""
+    frequency = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, np.uint64(2**32 - 1)).astype(np.uint32))
     lists = postings(docs, frequency, size, num, den, text_col)
     # a shingle of one posting joins nothing
     common = lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    lists = materialize(lists.join(common, "token", "left_semi"), "ngram-lists")
-    shared = lists.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
-    lists = materialize(lists.join(shared, "token", "left_semi"), "ngram-lists")
+    found = materialize(lists.join(common, "token", "left_semi"), "ngram-lists")
+    shared = found.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
+    lists = materialize(found.join(shared, "token", "left_semi"), "ngram-lists")
+    discard(found)
     texts = rows.where("k is not null").groupBy("k").agg(F.min("th").alias("th"))
     wanted = texts.join(lists.select("k").distinct(), "k", "left_semi").select("th")
     sets = materialize(_sets(docs, wanted, size, text_col), "ngram-sets")
     labels = link_classes(lists, sets, num, den)
-
     classes = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("low")).join(labels, "k", "left").withColumn("lab", F.coalesce("lab", "k"))
     lowest = classes.groupBy("lab").agg(F.min("low").alias("component"))
-    by_class = classes.join(lowest, "lab").select("k", "component")
-    return rows.join(by_class, "k", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
-    )
+    return classes.join(lowest, "lab").select("k", "component")
 
 
 def keep_one_per_group(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are the smallest id of their component; rows without an id stay."""
-    found = near_duplicates(docs.select(id_col, text_col), size, similarity, id_col, text_col)
-    gone = materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "ngram-gone")
+    with passing() as keep:
+        found = near_duplicates(docs.select(id_col, text_col), size, similarity, id_col, text_col)
+        gone = keep(materialize(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "ngram-gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -56,4 +56,40 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = new_path(spark, label)
     with _dropping_shuffles(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    if _open:
+        _open[-1].append(out)
+    return out
+
+
+_open: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def passing():
+    """Tables materialized inside go when the block ends, but for those given to the function it yields."""
+    own: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.append(table)
+        return table
+
+    _open.append(own)
+    try:
+        yield keep
+    finally:
+        _open.remove(own)
+        for table in own:
+            if not any(table is k for k in kept):
+                discard(table)
+        if _open:
+            _open[-1].extend(kept)
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a materialized table that nothing will read again."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.scratch_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
