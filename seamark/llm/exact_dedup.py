@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.scratch import materialize
+from seamark.llm.scratch import materialize, passing
 
 ASCII_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -71,18 +71,21 @@ def classify_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = narrow.join(materialize(collided, "exact-collisions"), "_row", "left").withColumn(
         "_variant", F.when(F.col("_other"), F.col("_sha")).otherwise(F.lit(""))
     )
-    groups = keyed.groupBy("_hash", "_variant").agg(F.count("*").alias("group_size"), F.min(order).alias("_best"))
-    return keyed.join(groups, ["_hash", "_variant"]).select(
+    groups = keyed.groupBy("_hash", "_variant").agg(F.count("*").alias("group_size"), F.min(order).alias("_best")).where("group_size > 1")
+    # written, so that the join below has plain exchanges on both sides and a hot group's rows can be split
+    groups = materialize(groups, "exact-groups")
+    return keyed.join(groups, ["_hash", "_variant"], "left").select(
         "_row",
         F.col("_id").alias(id_col),
-        F.col("_best.i").alias("keep_id"),
-        "group_size",
-        (F.col("_row") == F.col("_best.r")).alias("kept"),
+        F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("_best.i")).alias("keep_id"),
+        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        F.coalesce(F.col("_row") == F.col("_best.r"), F.lit(True)).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    gone = materialize(classify_copies(docs, id_col, text_col).where("not kept").select("_row"), "exact-gone")
+    with passing() as keep:
+        gone = keep(materialize(classify_copies(docs, id_col, text_col).where("not kept").select("_row"), "exact-gone"))
     return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")

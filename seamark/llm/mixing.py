@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.llm.scratch import materialize
+from seamark.llm.scratch import materialize, passing
 
 #: Rates are summed as whole multiples of 2**-SCALE_BITS, so that no sum depends on its order.
 SCALE_BITS = 20
@@ -181,7 +181,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, id_co
 
 def repeat_to_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; its columns stay."""
-    taken = materialize(mix(docs, **options).where("copies > 0").select("_row", "copies"), "mix-copies")
+    with passing() as keep:
+        taken = keep(materialize(mix(docs, **options).where("copies > 0").select("_row", "copies"), "mix-copies"))
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     return (
         numbered.join(taken, "_row")

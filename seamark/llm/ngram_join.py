@@ -33,7 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamark.llm import merge
@@ -43,7 +43,7 @@ from seamark.llm.words import shingle_sets
 
 SKETCH_BITS = 20
 #: Hub rounds at most; lists that still mix components go to the join of all their cross pairs.
-HUB_ROUNDS = 6
+HUB_ROUNDS = 4
 
 
 def _class_of(hashes: np.ndarray) -> int:
@@ -55,32 +55,56 @@ def _needed(n: Column, m: Column, num: int, den: int) -> Column:
     return F.lit(num) * (n + m)
 
 
+BITMAP = ("b0", "b1", "b2", "b3")
+
+
+def _bitmap(hashes: np.ndarray) -> np.ndarray:
+    odd = np.bincount(((hashes >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _differences(a: str, b: str) -> Column:
+    """Shingles that stand in one of two sets only, at least."""
+    return sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in BITMAP), F.lit(0))
+
+
+def _bitmaps_agree(a: str, b: str, num: int, den: int) -> Column:
+    """Whether the overlap that the bitmaps leave possible reaches the similarity."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+    return (n + m - _differences(a, b)) * (num + den) >= 2 * _needed(n, m, num, den)
+
+
 def describe(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """Per row ``doc_id``, ``n``, ``k`` (class; null when empty), ``th`` (hash of the text), and the tasks' sketches in ``part``, ``chunk``, ``payload``."""
+    """Per row ``doc_id``, ``n``, ``k`` (class; null when empty), bitmap, ``th`` (hash of the text), and the tasks' sketches in ``part``, ``chunk``, ``payload``."""
     id_type = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {id_type}, th long, n long, k long, part long, chunk int, payload binary"
+    schema = f"doc_id {id_type}, th long, n long, k long, b0 long, b1 long, b2 long, b3 long, part long, chunk int, payload binary"
+    names = ["doc_id", "th", "n", "k", *BITMAP, "part", "chunk", "payload"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint64)
         kind = None
         for batch in batches:
             kind = batch.column(0).type
-            ns, ks = [], []
+            ns, ks, bits = [], [], []
             buckets: list[np.ndarray] = []
             for hashes in shingle_sets(batch.column(2), size):
                 ns.append(len(hashes))
                 ks.append(_class_of(hashes) if len(hashes) else None)
+                bits.append(_bitmap(hashes))
                 buckets.append(hashes >> np.uint64(64 - SKETCH_BITS))
+            if not bits:
+                continue
             counts += np.bincount(np.concatenate(buckets).astype(np.int64), minlength=len(counts)).astype(np.uint64)
             nulls = [pa.nulls(len(batch), t) for t in (pa.int64(), pa.int32(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(ks, pa.int64()), *nulls], ["doc_id", "th", "n", "k", "part", "chunk", "payload"])
+            marks = [pa.array(b) for b in np.stack(bits, axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(ks, pa.int64()), *marks, *nulls], names)
         if kind is not None:
             sketch = merge.to_rows(TaskContext.get().partitionId(), counts, 1 << 16)
             part, chunk, payload = zip(*sketch, strict=True)
             m = len(sketch)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(m, kind), *[pa.nulls(m, pa.int64())] * 3, pa.array(part, pa.int64()), pa.array(chunk, pa.int32()), pa.array(payload, pa.binary())],
-                ["doc_id", "th", "n", "k", "part", "chunk", "payload"],
+                [pa.nulls(m, kind), *[pa.nulls(m, pa.int64())] * 7, pa.array(part, pa.int64()), pa.array(chunk, pa.int32()), pa.array(payload, pa.binary())],
+                names,
             )
 
     return docs.select(F.col(id_col), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"), F.col(text_col)).mapInArrow(rows, schema)
@@ -134,27 +158,8 @@ def _may_link(a: str, b: str, num: int, den: int) -> Column:
     return (F.least(n, m) * den >= F.greatest(n, m) * num) & enough
 
 
-BITMAP = ("b0", "b1", "b2", "b3")
-
-
-def _bitmap(hashes: np.ndarray) -> np.ndarray:
-    odd = np.bincount(((hashes >> np.uint64(20)) & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
-def _differences(a: str, b: str) -> Column:
-    """Shingles that stand in one of two sets only, at least."""
-    return sum((F.bit_count(F.col(f"{a}{x}").bitwiseXOR(F.col(f"{b}{x}"))) for x in BITMAP), F.lit(0))
-
-
-def _bitmaps_agree(a: str, b: str, n: str, m: str, num: int, den: int) -> Column:
-    """Whether the overlap that the bitmaps leave possible reaches the similarity."""
-    most = F.col(n) + F.col(m) - _differences(a, b)  # twice the overlap
-    return most * (num + den) >= 2 * _needed(F.col(n), F.col(m), num, den)
-
-
 def _sets(docs: DataFrame, wanted: DataFrame, size: int, text_col: str) -> DataFrame:
-    """``k``, ``shingles`` and the bitmap of the classes in ``wanted`` (``th``: texts to read)."""
+    """``k``, ``shingles`` of the classes in ``wanted`` (``th``: texts to read)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -170,11 +175,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int, text_col: str) -> DataF
                 if ks:
                     offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets)))
-                    bits = np.stack([_bitmap(h.view(np.uint64)) for h in sets], axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), lists, *(pa.array(b) for b in bits)], ["k", "shingles", *BITMAP])
+                    yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), lists], ["k", "shingles"])
 
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.col(text_col).alias("_text"))
-    return texts.join(wanted, "th", "left_semi").select("_text").mapInArrow(rows, "k long, shingles array<long>, b0 long, b1 long, b2 long, b3 long").dropDuplicates(["k"])
+    return texts.join(wanted, "th", "left_semi").select("_text").mapInArrow(rows, "k long, shingles array<long>").dropDuplicates(["k"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -200,26 +204,25 @@ def link_classes(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     def tell(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"), "linked")
 
-    def bits(side: str, n: str) -> DataFrame:
-        return sets.select(F.col("k").alias(side), F.size("shingles").alias(n), *[F.col(b).alias(f"{side}{b}") for b in BITMAP])
-
     for turn in range(HUB_ROUNDS):
         rows = labelled(live)
         # every list draws its own hub anew, so that no class is the hub of all
         order = F.xxhash64("token", "k", F.lit(turn))
         hubs = (
             rows.groupBy("token")
-            .agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.min(F.struct(order.alias("o"), "k", "n", "pos", "left", "lab")).alias("hub"))
+            .agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.min(F.struct(order.alias("o"), "k", "n", "pos", "left", "lab", *BITMAP)).alias("hub"))
             .where("lo <> hi")
             .select("token", "hub")
         )
         near = rows.alias("p").join(hubs.alias("q"), F.col("p.token") == F.col("q.token")).where(F.col("p.lab") != F.col("q.hub.lab"))
-        near = near.where(_may_link("p", "q.hub", num, den)).groupBy(F.col("p.k").alias("x"), F.col("q.hub.k").alias("h")).agg(F.count("*").alias("c"))
+        near = near.where(_may_link("p", "q.hub", num, den) & _bitmaps_agree("p", "q.hub", num, den))
+        near = near.groupBy(F.col("p.k").alias("x"), F.col("q.hub.k").alias("h")).agg(F.count("*").alias("c"), F.max("p.pair").alias("pair"))
         if tested is not None:
             done = tested.select("a", "b")
             near = near.join(done, (F.least("x", "h") == F.col("a")) & (F.greatest("x", "h") == F.col("b")), "left_anti")
-        near = near.join(bits("x", "xn"), "x").join(bits("h", "hn"), "h").where(_bitmaps_agree("x", "h", "xn", "hn", num, den))
-        best = near.groupBy("x").agg(F.max(F.struct("c", "h")).alias("m")).select("x", F.col("m.h").alias("h"))
+        # of a class's hubs the one with the most lists in common; lists of two classes are settled at once
+        place = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "h"))
+        best = near.withColumn("place", place).where("place = 1 or pair")
         # a pair chosen from both ends is verified once
         best = materialize(best.select(F.least("x", "h").alias("x"), F.greatest("x", "h").alias("h")).distinct(), "ngram-pairs")
         found = materialize(tell(_verify(best, sets, num, den)), "ngram-verified")
@@ -234,7 +237,7 @@ def link_classes(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
         # only lists that mix components stay, and the sets of their classes
         rows = labelled(live)
         mixed = rows.groupBy("token").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("token")
-        fewer = materialize(live.join(mixed, "token", "left_semi"), "ngram-lists")
+        fewer = materialize(live.where("not pair").join(mixed, "token", "left_semi"), "ngram-lists")
         needed = materialize(sets.join(fewer.select("k").distinct(), "k", "left_semi"), "ngram-sets")
         discard(live)
         discard(sets)
@@ -242,11 +245,11 @@ def link_classes(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
         if not n_links:
             break
 
-    rows = materialize(labelled(live).join(sets.select("k", *BITMAP), "k"), "ngram-rest")
-    p = rows.select("token", "k", "lab", "n", F.struct("n", "pos", "left").alias("at"), *BITMAP)
-    q = p.select("token", F.col("k").alias("k2"), F.col("lab").alias("lab2"), F.col("n").alias("n2"), F.col("at").alias("at2"), *[F.col(b).alias(f"q{b}") for b in BITMAP])
-    cross = p.join(q, "token").where((F.col("lab") < F.col("lab2")) & _may_link("at", "at2", num, den) & _bitmaps_agree("", "q", "n", "n2", num, den))
-    cross = cross.select(F.least("k", "k2").alias("x"), F.greatest("k", "k2").alias("h")).distinct()
+    rows = materialize(labelled(live), "ngram-rest")
+    p = rows.select("token", "lab", F.struct("k", "n", "pos", "left", *BITMAP).alias("p"))
+    q = rows.select("token", F.col("lab").alias("lab2"), F.struct("k", "n", "pos", "left", *BITMAP).alias("q"))
+    cross = p.join(q, "token").where((F.col("lab") < F.col("lab2")) & _may_link("p", "q", num, den) & _bitmaps_agree("p", "q", num, den))
+    cross = cross.select(F.least("p.k", "q.k").alias("x"), F.greatest("p.k", "q.k").alias("h")).distinct()
     if tested is not None:
         cross = cross.join(tested.select(F.col("a").alias("x"), F.col("b").alias("h")), ["x", "h"], "left_anti")
     cross = materialize(cross, "ngram-pairs")
@@ -269,7 +272,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     num, den = similarity
     with passing() as keep:
         seen = keep(materialize(describe(docs, size, id_col, text_col), "ngram-classes"))
-        rows = seen.where("chunk is null").select("doc_id", "n", "k", "th")
+        rows = seen.where("chunk is null").select("doc_id", "n", "k", "th", *BITMAP)
         sketch = merge.tree_sum(seen.where("chunk is not null").select("part", "chunk", "payload"), "u8")
         if sketch is None:
             return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -287,15 +290,22 @@ def _component_of_class(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, si
     common = lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
     found = materialize(lists.join(common, "token", "left_semi"), "ngram-lists")
     shared = found.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("token")
-    lists = materialize(found.join(shared, "token", "left_semi"), "ngram-lists")
+    classes = rows.where("k is not null").groupBy("k").agg(F.min(F.struct("th", *BITMAP)).alias("c"))
+    lists = found.join(shared, "token", "left_semi").dropDuplicates(["token", "k"]).join(classes.select("k", *[F.col(f"c.{b}") for b in BITMAP]), "k")
+    lists = materialize(lists, "ngram-lists")
     discard(found)
-    texts = rows.where("k is not null").groupBy("k").agg(F.min("th").alias("th"))
-    wanted = texts.join(lists.select("k").distinct(), "k", "left_semi").select("th")
+    # a list of two classes is one pair, which the filters may drop before its sets are read
+    whole = F.struct("k", "n", "pos", "left", *BITMAP)
+    kinds = lists.groupBy("token").agg(F.count("*").alias("c"), F.min(whole).alias("lo"), F.max(whole).alias("hi"))
+    kinds = kinds.where((F.col("c") > 2) | _may_link("lo", "hi", num, den) & _bitmaps_agree("lo", "hi", num, den)).select("token", (F.col("c") == 2).alias("pair"))
+    every, lists = lists, materialize(lists.join(kinds, "token"), "ngram-lists")
+    discard(every)
+    wanted = classes.select("k", "c.th").join(lists.select("k").distinct(), "k", "left_semi").select("th")
     sets = materialize(_sets(docs, wanted, size, text_col), "ngram-sets")
     labels = link_classes(lists, sets, num, den)
-    classes = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("low")).join(labels, "k", "left").withColumn("lab", F.coalesce("lab", "k"))
-    lowest = classes.groupBy("lab").agg(F.min("low").alias("component"))
-    return classes.join(lowest, "lab").select("k", "component")
+    lows = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("low")).join(labels, "k", "left").withColumn("lab", F.coalesce("lab", "k"))
+    lowest = lows.groupBy("lab").agg(F.min("low").alias("component"))
+    return lows.join(lowest, "lab").select("k", "component")
 
 
 def keep_one_per_group(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

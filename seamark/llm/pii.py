@@ -235,7 +235,7 @@ def example(rng: np.random.Generator) -> tuple[str, str, list[tuple[int, str]]]:
 
 
 @functools.lru_cache(maxsize=2)
-def train(examples: int = 500, epochs: int = 8, seed: int = 7) -> np.ndarray:
+def train(examples: int = 1000, epochs: int = 8, seed: int = 7) -> np.ndarray:
     """Weights (feature bucket, kind), by AdaGrad on the conditional log-likelihood."""
     rng = np.random.default_rng(seed)
     data = []

@@ -21,7 +21,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.scratch import materialize
+from seamark.llm.scratch import materialize, passing
 
 SPACE = r"[\x20\x09-\x0D]"
 #: Cutoffs of each rule, lax to strict.
@@ -141,20 +141,25 @@ def certify(labelled: DataFrame, alpha: float, delta: float, cutoffs: Mapping[st
     return per.select("stratum", F.col("n_good").cast("long").alias("n_good"), *chosen)
 
 
-def _judge(measured: DataFrame, labels: DataFrame, id_col: str, stratum_col: str, alpha: float, delta: float, prefix: str) -> tuple[DataFrame, Column]:
+def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+    """The certified cutoffs from a measured table with ``doc_id`` and ``stratum``."""
     good = labels.groupBy(F.col("doc_id").alias("_label_id")).agg((F.min("quality") == 1).alias("good"))
-    holdout = (
-        measured.where(~base_failed(prefix))
-        .select(F.col(id_col).alias("_id"), F.col(stratum_col).alias("stratum"), *[s.alias(r) for r, s in scores(prefix).items()])
-        .join(good, F.col("_id") == F.col("_label_id"))
-    )
-    cuts = materialize(certify(holdout, alpha, delta), "quality-cutoffs")
-    judged = measured.join(cuts.withColumnRenamed("stratum", "_stratum"), F.col(stratum_col).eqNullSafe(F.col("_stratum")), "left")
-    above = [F.coalesce(s > F.col(f"cut_{r}"), F.lit(False)) for r, s in scores(prefix).items()]
+    holdout = measured.where(~base_failed()).select("doc_id", "stratum", *[s.alias(r) for r, s in scores().items()])
+    return materialize(certify(holdout.join(good, F.col("doc_id") == F.col("_label_id")), alpha, delta), "quality-cutoffs")
+
+
+def _judged(measured: DataFrame, cuts: DataFrame, stratum_col: str, prefix: str = "") -> DataFrame:
+    """``measured`` with the cutoffs of its strata and ``_kept``."""
+    joined = measured.join(cuts.withColumnRenamed("stratum", "_stratum"), F.col(stratum_col).eqNullSafe(F.col("_stratum")), "left")
     reject = base_failed(prefix)
-    for a in above:
-        reject = reject | a
-    return judged, ~reject
+    for rule, score in scores(prefix).items():
+        reject = reject | F.coalesce(score > F.col(f"cut_{rule}"), F.lit(False))
+    return joined.withColumn("_kept", ~reject)
+
+
+def _measure(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
+    return materialize(with_metrics(named).drop("text"), "quality-metrics")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.1) -> DataFrame:
@@ -166,20 +171,18 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows are judged one by one. Empty tables give empty results; without
     labels only the base rules reject.
     """
-    measured = materialize(
-        with_metrics(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum_of"), F.col(text_col).alias("text"))).drop("text"),
-        "quality-metrics",
-    )
-    judged, kept = _judge(measured, labels, "doc_id", "stratum_of", alpha, delta, "")
-    return judged.select("doc_id", *METRICS[:5], base_failed().alias("base_failed"), kept.alias("kept"), *[f"cut_{r}" for r in CUTOFFS])
+    measured = _measure(docs, id_col, text_col, stratum_col)
+    judged = _judged(measured, cutoffs(measured, labels, alpha, delta), "stratum")
+    return judged.select("doc_id", *METRICS[:5], base_failed().alias("base_failed"), F.col("_kept").alias("kept"), *[f"cut_{r}" for r in CUTOFFS])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.1) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
-    The measured table is written once with its texts and read twice: its
-    counts for the cutoffs, then whole for the verdicts.
+    Texts are measured twice, for the cutoffs and for the verdicts, so that
+    they are neither shuffled nor written in between.
     """
-    measured = materialize(with_metrics(docs, text_col, "_q_"), "quality-measured")
-    judged, kept = _judge(measured, labels, id_col, stratum_col, alpha, delta, "_q_")
-    return judged.where(kept).select(*docs.columns)
+    with passing() as keep:
+        cuts = keep(cutoffs(_measure(docs, id_col, text_col, stratum_col), labels, alpha, delta))
+    judged = _judged(with_metrics(docs, text_col, "_q_"), cuts, stratum_col, "_q_")
+    return judged.where("_kept").select(*docs.columns)
