@@ -11,9 +11,9 @@ join runs over classes.
     shingles, subject to the length filter, the positional filter and a suffix
     filter (what is left behind the shared shingle, split by hash, bounds the
     overlap).
-3.  Within a prefix shingle's posting list classes are first compared with a
-    hub only, one candidate per class a round; what links is merged into
-    components. Lists whose classes are all in one component are done. The
+3.  Short posting lists are joined with themselves at once. On longer ones
+    classes are first compared with a hub only, one candidate per class a
+    round; what links is merged into components. Lists whose classes are all in one component are done. The
     lists that still mix components when hub rounds bring nothing new are
     joined with themselves across components, so no link between components
     is lost, and large groups of copies never become all their pairs.
@@ -42,6 +42,8 @@ from seamark.llm.scratch import discard, materialize, passing
 from seamark.llm.words import shingle_sets
 
 SKETCH_BITS = 20
+#: Lists of up to this many classes give their pairs at once; longer ones go through hubs.
+SHORT_LIST = 16
 #: Hub rounds at most; lists that still mix components go to the join of all their cross pairs.
 HUB_ROUNDS = 4
 
@@ -190,73 +192,75 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return joined.select("x", "h", (shared * (num + den) >= _needed(F.size("xs"), F.size("hs"), num, den)).alias("linked"))
 
 
-def link_classes(lists: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``k``, ``lab`` of every class that links with another, from postings and whole sets."""
-    labels: DataFrame | None = None
-    tested: DataFrame | None = None
-    live = lists
+def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (``x``, ``h``) of postings with different labels on one list that pass all filters, once each."""
+    p = rows.select("token", "lab", F.struct("k", "n", "pos", "left", *BITMAP).alias("p"))
+    q = rows.select("token", F.col("lab").alias("lab2"), F.struct("k", "n", "pos", "left", *BITMAP).alias("q"))
+    pairs = p.join(q, "token").where((F.col("lab") < F.col("lab2")) & _may_link("p", "q", num, den) & _bitmaps_agree("p", "q", num, den))
+    return pairs.select(F.least("p.k", "q.k").alias("x"), F.greatest("p.k", "q.k").alias("h")).distinct()
+
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        if labels is None:
+class _Links:
+    """Pairs tested so far and the components of what linked."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.tested: DataFrame | None = None
+        self.labels: DataFrame | None = None
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        if self.labels is None:
             return rows.withColumn("lab", F.col("k"))
-        return rows.join(labels, "k", "left").withColumn("lab", F.coalesce("lab", "k"))
+        return rows.join(self.labels, "k", "left").withColumn("lab", F.coalesce("lab", "k"))
+
+    def untested(self, pairs: DataFrame) -> DataFrame:
+        if self.tested is None:
+            return pairs
+        done = self.tested.select("a", "b")
+        return pairs.join(done, (F.least("x", "h") == F.col("a")) & (F.greatest("x", "h") == F.col("b")), "left_anti")
+
+    def test(self, pairs: DataFrame, sets: DataFrame) -> int:
+        """Verify the pairs; the number that links."""
+        checked = _verify(pairs, sets, self.num, self.den).select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"), "linked")
+        found = materialize(checked, "ngram-verified")
+        n_found, n_links = found.agg(F.count("*"), F.count_if("linked")).first()
+        if n_found:
+            self.tested = found if self.tested is None else self.tested.union(found)
+        if n_links:
+            edges = found.where("linked").select("a", "b")
+            if self.labels is not None:
+                edges = edges.union(self.labels.select(F.col("k").alias("a"), F.col("lab").alias("b")))
+            self.labels = components(edges)
+        return n_links
 
-    def tell(pairs: DataFrame) -> DataFrame:
-        return pairs.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"), "linked")
 
+def _mixed(links: _Links, lists: DataFrame) -> DataFrame:
+    """The lists that hold more than one component."""
+    mixed = links.labelled(lists).groupBy("token").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("token")
+    return lists.join(mixed, "token", "left_semi")
+
+
+def link_long_lists(links: _Links, lists: DataFrame, sets: DataFrame, num: int, den: int) -> None:
+    """Hub rounds over the long lists, then all that is left across components."""
+    live = materialize(_mixed(links, lists), "ngram-lists")
     for turn in range(HUB_ROUNDS):
-        rows = labelled(live)
+        rows = links.labelled(live)
         # every list draws its own hub anew, so that no class is the hub of all
         order = F.xxhash64("token", "k", F.lit(turn))
-        hubs = (
-            rows.groupBy("token")
-            .agg(F.min("lab").alias("lo"), F.max("lab").alias("hi"), F.min(F.struct(order.alias("o"), "k", "n", "pos", "left", "lab", *BITMAP)).alias("hub"))
-            .where("lo <> hi")
-            .select("token", "hub")
-        )
+        hubs = rows.groupBy("token").agg(F.min(F.struct(order.alias("o"), "k", "n", "pos", "left", "lab", *BITMAP)).alias("hub"))
         near = rows.alias("p").join(hubs.alias("q"), F.col("p.token") == F.col("q.token")).where(F.col("p.lab") != F.col("q.hub.lab"))
         near = near.where(_may_link("p", "q.hub", num, den) & _bitmaps_agree("p", "q.hub", num, den))
-        near = near.groupBy(F.col("p.k").alias("x"), F.col("q.hub.k").alias("h")).agg(F.count("*").alias("c"), F.max("p.pair").alias("pair"))
-        if tested is not None:
-            done = tested.select("a", "b")
-            near = near.join(done, (F.least("x", "h") == F.col("a")) & (F.greatest("x", "h") == F.col("b")), "left_anti")
-        # of a class's hubs the one with the most lists in common; lists of two classes are settled at once
-        place = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("c"), "h"))
-        best = near.withColumn("place", place).where("place = 1 or pair")
-        # a pair chosen from both ends is verified once
-        best = materialize(best.select(F.least("x", "h").alias("x"), F.greatest("x", "h").alias("h")).distinct(), "ngram-pairs")
-        found = materialize(tell(_verify(best, sets, num, den)), "ngram-verified")
-        n_found, n_links = found.agg(F.count("*"), F.count_if("linked")).first()
-        if n_found:
-            tested = found if tested is None else tested.union(found)
-        if n_links:
-            edges = found.where("linked").select("a", "b")
-            if labels is not None:
-                edges = edges.union(labels.select(F.col("k").alias("a"), F.col("lab").alias("b")))
-            labels = components(edges)
-        # only lists that mix components stay, and the sets of their classes
-        rows = labelled(live)
-        mixed = rows.groupBy("token").agg(F.min("lab").alias("lo"), F.max("lab").alias("hi")).where("lo <> hi").select("token")
-        fewer = materialize(live.where("not pair").join(mixed, "token", "left_semi"), "ngram-lists")
-        needed = materialize(sets.join(fewer.select("k").distinct(), "k", "left_semi"), "ngram-sets")
-        discard(live)
-        discard(sets)
-        live, sets = fewer, needed
-        if not n_links:
+        near = links.untested(near.groupBy(F.col("p.k").alias("x"), F.col("q.hub.k").alias("h")).agg(F.count("*").alias("c")))
+        # of a class's hubs the one with the most lists in common; a pair chosen from both ends is verified once
+        best = near.groupBy("x").agg(F.max(F.struct("c", "h")).alias("m")).select("x", F.col("m.h").alias("h"))
+        pairs = materialize(best.select(F.least("x", "h").alias("x"), F.greatest("x", "h").alias("h")).distinct(), "ngram-pairs")
+        if not links.test(pairs, sets):
             break
-
-    rows = materialize(labelled(live), "ngram-rest")
-    p = rows.select("token", "lab", F.struct("k", "n", "pos", "left", *BITMAP).alias("p"))
-    q = rows.select("token", F.col("lab").alias("lab2"), F.struct("k", "n", "pos", "left", *BITMAP).alias("q"))
-    cross = p.join(q, "token").where((F.col("lab") < F.col("lab2")) & _may_link("p", "q", num, den) & _bitmaps_agree("p", "q", num, den))
-    cross = cross.select(F.least("p.k", "q.k").alias("x"), F.greatest("p.k", "q.k").alias("h")).distinct()
-    if tested is not None:
-        cross = cross.join(tested.select(F.col("a").alias("x"), F.col("b").alias("h")), ["x", "h"], "left_anti")
-    cross = materialize(cross, "ngram-pairs")
-    edges = materialize(tell(_verify(cross, sets, num, den)).where("linked").select("a", "b"), "ngram-cross")
-    if labels is None:
-        return components(edges)
-    return components(edges.union(labels.select(F.col("k").alias("a"), F.col("lab").alias("b"))))
+        fewer = materialize(_mixed(links, live), "ngram-lists")
+        discard(live)
+        live = fewer
+    rows = materialize(links.labelled(live), "ngram-rest")
+    links.test(materialize(links.untested(_candidates(rows, num, den)), "ngram-pairs"), sets)
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int] = (4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,15 +298,22 @@ def _component_of_class(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, si
     lists = found.join(shared, "token", "left_semi").dropDuplicates(["token", "k"]).join(classes.select("k", *[F.col(f"c.{b}") for b in BITMAP]), "k")
     lists = materialize(lists, "ngram-lists")
     discard(found)
-    # a list of two classes is one pair, which the filters may drop before its sets are read
-    whole = F.struct("k", "n", "pos", "left", *BITMAP)
-    kinds = lists.groupBy("token").agg(F.count("*").alias("c"), F.min(whole).alias("lo"), F.max(whole).alias("hi"))
-    kinds = kinds.where((F.col("c") > 2) | _may_link("lo", "hi", num, den) & _bitmaps_agree("lo", "hi", num, den)).select("token", (F.col("c") == 2).alias("pair"))
-    every, lists = lists, materialize(lists.join(kinds, "token"), "ngram-lists")
-    discard(every)
-    wanted = classes.select("k", "c.th").join(lists.select("k").distinct(), "k", "left_semi").select("th")
+    counted = lists.join(lists.groupBy("token").agg(F.count("*").alias("c")), "token")
+    short, long = counted.where(F.col("c") <= SHORT_LIST).drop("c"), materialize(counted.where(F.col("c") > SHORT_LIST).drop("c"), "ngram-lists")
+    pairs = materialize(_candidates(short.withColumn("lab", F.col("k")), num, den), "ngram-pairs")
+    discard(lists)
+    involved = pairs.select(F.col("x").alias("k")).union(pairs.select("h")).union(long.select("k")).distinct()
+    wanted = classes.select("k", "c.th").join(involved, "k", "left_semi").select("th")
     sets = materialize(_sets(docs, wanted, size, text_col), "ngram-sets")
-    labels = link_classes(lists, sets, num, den)
+    links = _Links(num, den)
+    links.test(pairs, sets)
+    if not long.isEmpty():
+        those = materialize(sets.join(long.select("k").distinct(), "k", "left_semi"), "ngram-sets")
+        discard(sets)
+        link_long_lists(links, long, those, num, den)
+    labels = links.labels
+    if labels is None:
+        labels = rows.select("k", F.col("k").alias("lab")).limit(0)
     lows = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("low")).join(labels, "k", "left").withColumn("lab", F.coalesce("lab", "k"))
     lowest = lows.groupBy("lab").agg(F.min("low").alias("component"))
     return lows.join(lowest, "lab").select("k", "component")

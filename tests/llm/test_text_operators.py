@@ -15,12 +15,13 @@ from seamark.llm import exact_dedup, html_extract, lm_scoring, mixing, ngram_joi
 from seamark.llm import queries as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, k string, _row string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, k string, _row string, cut_repeat_share string, copies string, stratum string"
+COLUMNS = [c.split()[0] for c in DOCS.split(", ")]
 
 
 def docs_of(spark, rows):
     """Rows of (id, text, lang, source), with columns whose names an operator might use."""
-    return spark.createDataFrame([(*r, 0, "x", "y") for r in rows], DOCS)
+    return spark.createDataFrame([(*r, 0, "x", "y", "z", "c", "s") for r in rows], DOCS)
 
 
 LONG = " ".join(f"w{i % 977}x{i % 13}" for i in range(30000))
@@ -70,8 +71,8 @@ def test_exact_dedup_survives_hash_collisions(spark):
 
 
 def test_drop_copies_keeps_columns(spark):
-    kept = exact_dedup.drop_copies(docs_of(spark, AWKWARD).drop("_row"))
-    assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars", "k"]
+    kept = exact_dedup.drop_copies(docs_of(spark, AWKWARD))
+    assert kept.columns == COLUMNS
     assert kept.count() == len({re.sub(r"\s", "", t or "") for _, t, *_ in AWKWARD})
 
 
@@ -114,9 +115,10 @@ def near_rows(rng, families=12, size=14):
     return rows
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 6])
-def test_ngram_join_is_exact(spark, rounds, monkeypatch):
+@pytest.mark.parametrize("rounds, short", [(0, 1), (1, 1), (6, 3), (4, 16)])
+def test_ngram_join_is_exact(spark, rounds, short, monkeypatch):
     monkeypatch.setattr(ngram_join, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "SHORT_LIST", short)
     rows = near_rows(np.random.default_rng(rounds)) + AWKWARD
     got = ngram_join.near_duplicates(docs_of(spark, rows)).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows)
@@ -294,7 +296,7 @@ def test_quality_without_labels_and_columns(spark):
     got = quality_rules.judge(docs_of(spark, AWKWARD), lab).collect()
     assert len(got) == len(AWKWARD) and all(r.kept == (not r.base_failed) for r in got)
     kept = quality_rules.keep_good(docs_of(spark, AWKWARD), lab)
-    assert kept.columns == [c.split()[0] for c in DOCS.split(", ")] and kept.count() == sum(r.kept for r in got)
+    assert kept.columns == COLUMNS and kept.count() == sum(r.kept for r in got)
 
 
 # --- 9 mixing
@@ -338,8 +340,8 @@ def test_targets_share_out_the_excess(spark):
 def test_mix_awkward(spark):
     got = mixing.mix(docs_of(spark, AWKWARD)).collect()
     assert len(got) == len(AWKWARD) and all(0 <= r.taken <= 3 * r["size"] for r in got)
-    again = mixing.repeat_to_mix(docs_of(spark, AWKWARD).drop("_row"))
-    assert again.columns == ["doc_id", "text", "lang", "source", "n_chars", "k"] and again.count() == sum(r.copies for r in got)
+    again = mixing.repeat_to_mix(docs_of(spark, AWKWARD))
+    assert again.columns == COLUMNS and again.count() == sum(r.copies for r in got)
 
 
 # --- 5 URLs
@@ -488,7 +490,7 @@ EMPTY = {
     "ngram": lambda s, d: ngram_join.near_duplicates(d),
     "keep one": lambda s, d: ngram_join.keep_one_per_group(d),
     "exact": lambda s, d: exact_dedup.classify_copies(d),
-    "drop copies": lambda s, d: exact_dedup.drop_copies(d.drop("_row")),
+    "drop copies": lambda s, d: exact_dedup.drop_copies(d),
     "mix": lambda s, d: mixing.mix(d),
     "urls": lambda s, d: url_filter.judge_urls(d.selectExpr("doc_id as page_id", "text as url")),
     "html": lambda s, d: html_extract.extract(d.selectExpr("doc_id as page_id", "text as url", "text as html")),
