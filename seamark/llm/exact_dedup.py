@@ -88,4 +88,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that stay, with the columns of ``docs``."""
     with passing() as keep:
         gone = keep(materialize(classify_copies(docs, id_col, text_col).where("not kept").select("_row"), "exact-gone"))
-    return docs.withColumn("_row", F.monotonically_increasing_id()).join(gone, "_row", "left_anti").drop("_row")
+    # rows travel as one struct, so that no name of theirs can clash
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc"))
+    return rows.join(gone, "_row", "left_anti").select("_doc.*")

@@ -183,9 +183,7 @@ def repeat_to_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row repeated as often as the mix takes it; its columns stay."""
     with passing() as keep:
         taken = keep(materialize(mix(docs, **options).where("copies > 0").select("_row", "copies"), "mix-copies"))
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    return (
-        numbered.join(taken, "_row")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .drop("_row", "copies", "_copy")
-    )
+    # rows travel as one struct, so that no name of theirs can clash
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc"))
+    repeated = rows.join(taken, "_row").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select("_doc.*")

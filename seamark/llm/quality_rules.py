@@ -61,8 +61,8 @@ def _repeated_words(words: Column) -> Column:
     return _let(words, windows)
 
 
-def with_metrics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> DataFrame:
-    """``docs`` and the counts ``METRICS`` (each name after ``prefix``) of the whole text; null counts as empty."""
+def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` and the counts ``METRICS`` of the whole text; null counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]")))
     words = F.array_remove(F.split(text, SPACE + "+"), "")
@@ -78,28 +78,28 @@ def with_metrics(docs: DataFrame, text_col: str = "text", prefix: str = "") -> D
     raw = docs.withColumns({
         "_words": per_words,
         "_lines": per_lines,
-        f"{prefix}n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        f"{prefix}n_other": F.regexp_count(text, F.lit(r"[^\p{Ll}\x20\x09-\x0D]")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
+        "n_other": F.regexp_count(text, F.lit(r"[^\p{Ll}\x20\x09-\x0D]")).cast("long"),
     })
     return raw.withColumns({
-        f"{prefix}n_words": F.col("_words.n"),
-        f"{prefix}word_chars": F.col("_words.c"),
-        f"{prefix}n_repeat_words": F.col("_words.r"),
-        f"{prefix}n_lines": F.col("_lines.n"),
-        f"{prefix}n_dup_lines": F.col("_lines.d"),
+        "n_words": F.col("_words.n"),
+        "word_chars": F.col("_words.c"),
+        "n_repeat_words": F.col("_words.r"),
+        "n_lines": F.col("_lines.n"),
+        "n_dup_lines": F.col("_lines.d"),
     }).drop("_words", "_lines")
 
 
-def base_failed(prefix: str = "") -> Column:
-    n, r = F.col(f"{prefix}n_words"), F.col(f"{prefix}n_repeat_words")
+def base_failed() -> Column:
+    n, r = F.col("n_words"), F.col("n_repeat_words")
     return (n < 50) | (100 * r > 50 * n)
 
 
-def scores(prefix: str = "") -> dict[str, Column]:
+def scores() -> dict[str, Column]:
     """Score of each rule; 0 where there is nothing to measure."""
 
     def share(a: str, b: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(f"{prefix}{a}").cast("double"), F.col(f"{prefix}{b}").cast("double")), F.lit(0.0))
+        return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
 
     return {
         "symbols_per_word": share("n_symbols", "n_words"),
@@ -148,11 +148,11 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: float)
     return materialize(certify(holdout.join(good, F.col("doc_id") == F.col("_label_id")), alpha, delta), "quality-cutoffs")
 
 
-def _judged(measured: DataFrame, cuts: DataFrame, stratum_col: str, prefix: str = "") -> DataFrame:
+def _judged(measured: DataFrame, cuts: DataFrame, stratum_col: str) -> DataFrame:
     """``measured`` with the cutoffs of its strata and ``_kept``."""
     joined = measured.join(cuts.withColumnRenamed("stratum", "_stratum"), F.col(stratum_col).eqNullSafe(F.col("_stratum")), "left")
-    reject = base_failed(prefix)
-    for rule, score in scores(prefix).items():
+    reject = base_failed()
+    for rule, score in scores().items():
         reject = reject | F.coalesce(score > F.col(f"cut_{rule}"), F.lit(False))
     return joined.withColumn("_kept", ~reject)
 
@@ -184,5 +184,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """
     with passing() as keep:
         cuts = keep(cutoffs(_measure(docs, id_col, text_col, stratum_col), labels, alpha, delta))
-    judged = _judged(with_metrics(docs, text_col, "_q_"), cuts, stratum_col, "_q_")
-    return judged.where("_kept").select(*docs.columns)
+    # rows travel as one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
+    return _judged(with_metrics(rows), cuts, "stratum").where("_kept").select("_doc.*")
