@@ -83,7 +83,7 @@ def token_index(spark, d):
 
 
 @query("""
-    WITH e AS (SELECT event_id, 'obi.prediction' AS schema, CASE event_id % 7 WHEN 0 THEN '2.0' WHEN 1 THEN '1.7' ELSE '1.0' END AS version, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'p' || event_id::VARCHAR END AS id FROM events)
+    WITH e AS (SELECT event_id, 'prediction' AS schema, CASE event_id % 7 WHEN 0 THEN '2.0' WHEN 1 THEN '1.7' ELSE '1.0' END AS version, CASE WHEN event_id % 11 = 0 THEN NULL ELSE 'p' || event_id::VARCHAR END AS id FROM events)
     SELECT event_id, CASE WHEN split_part(version, '.', 1) <> '1' THEN 'version' WHEN id IS NULL THEN 'id' ELSE 'ok' END AS verdict FROM e""")
 def envelope_verdicts(spark, d):
     """A minor version may be newer; a major one may not. An id must be there."""
