@@ -41,7 +41,7 @@ from seamark.llm.components import components
 from seamark.llm.scratch import discard, materialize, passing
 from seamark.llm.words import shingle_sets
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 #: Lists of up to this many classes give their pairs at once; longer ones go through hubs.
 SHORT_LIST = 16
 #: Hub rounds at most; lists that still mix components go to the join of all their cross pairs.
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     with passing() as keep:
         seen = keep(materialize(describe(docs, size, id_col, text_col), "ngram-classes"))
         rows = seen.where("chunk is null").select("doc_id", "n", "k", "th", *BITMAP)
-        sketch = merge.tree_sum(seen.where("chunk is not null").select("part", "chunk", "payload"), "u8")
+        sketch = merge.tree_sum(seen.where("chunk is not null").select("part", "chunk", "payload"), "u8", most=2**32 - 1)
         if sketch is None:
             return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
         by_class = keep(materialize(_component_of_class(docs, rows, sketch, size, num, den, text_col), "ngram-components"))
@@ -288,7 +288,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
 
 def _component_of_class(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, size: int, num: int, den: int, text_col: str) -> DataFrame:
     """``k``, ``component``: each class with the smallest id of its component."""
-    frequency = docs.sparkSession.sparkContext.broadcast(np.minimum(sketch, np.uint64(2**32 - 1)).astype(np.uint32))
+    frequency = docs.sparkSession.sparkContext.broadcast(sketch)  # 16 MB at any data size
     lists = postings(docs, frequency, size, num, den, text_col)
     # a shingle of one posting joins nothing
     common = lists.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
