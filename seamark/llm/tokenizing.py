@@ -24,6 +24,8 @@ from seamark.llm.words import slices, span_hashes
 
 #: Distinct pieces a worker remembers at most (some 80 MB); later ones are encoded as they come.
 KNOWN_PIECES = 1_500_000
+#: Bytes of text looked up together.
+SLICE_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -127,7 +129,7 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slices of the batch: (row of its first text, ids, offsets of each text into the ids). Null counts as empty."""
-        for row, data, begins in slices(texts, 4 << 20):
+        for row, data, begins in slices(texts, SLICE_BYTES):
             if not len(data):
                 yield row, np.zeros(0, np.uint32), np.zeros(len(begins), np.int64)
                 continue
