@@ -13,7 +13,7 @@ from seamark.llm import exact_dedup, mixing, ngram_join, packing, quality_rules,
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the certified rules keep."""
-    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_rules.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), joint=True)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,15 @@ cutoffs are tried from lax to strict in a fixed order, which needs no further
 correction. The allowed rate of a stratum, ``alpha``, is shared by its rules, so
 with confidence ``1 - delta`` no stratum loses more than ``alpha`` of its good
 documents. A stratum with too few labels certifies nothing and its documents
-are kept. Everything is DataFrame code.
+are kept.
+
+With ``joint``, as the registered queries have it, nine tenths of ``delta`` go
+to one nested sequence of joint cutoffs per stratum: all rules together, lax to
+strict, each step tested with the whole ``alpha`` and corrected over strata
+only. The rest goes to the rules one by one as above. Both hold at once,
+so a stratum takes the set whose cutoffs are stricter in sum: the sequence
+where labels are few, the rules by themselves where one of them would stop the
+sequence. Everything is DataFrame code.
 """
 
 from __future__ import annotations
@@ -32,6 +40,8 @@ CUTOFFS: Mapping[str, Sequence[float]] = {
     "dup_line_share": (0.8, 0.5, 0.3),
     "mean_word_chars": (20.0, 15.0, 12.0, 10.0),
 }
+#: Part of ``delta`` that the sequence of joint cutoffs has.
+SEQUENCE_SHARE = 0.9
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_other")
 
 
@@ -124,28 +134,50 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.aggregate(js, first, step, lambda acc: acc["s"]))
 
 
-def certify(labelled: DataFrame, alpha: float, delta: float, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS) -> DataFrame:
+def joint_steps(cutoffs: Mapping[str, Sequence[float]] = CUTOFFS) -> list[dict[str, int]]:
+    """The nested sequence of joint cutoffs: the place of each rule's cutoff, step by step, all strictest in the last."""
+    steps = max(map(len, cutoffs.values()))
+    return [{rule: -(-(t + 1) * len(cs) // steps) - 1 for rule, cs in cutoffs.items()} for t in range(steps)]
+
+
+def certify(labelled: DataFrame, alpha: float, delta: float, cutoffs: Mapping[str, Sequence[float]] = CUTOFFS, joint: bool = False) -> DataFrame:
     """Per ``stratum``: ``n_good`` and the strictest certified cutoff of each rule (null: none).
 
     ``labelled`` has ``stratum``, ``good`` and the scores. Only documents that
     pass the base rules belong here.
     """
-    counts = [F.sum(F.when(F.col(rule) > c, 1).otherwise(0)).cast("double").alias(f"{rule}_{i}") for rule, cs in cutoffs.items() for i, c in enumerate(cs)]
+
+    def above(reject: Column, name: str) -> Column:
+        return F.sum(F.when(reject, 1).otherwise(0)).cast("double").alias(name)
+
+    steps = joint_steps(cutoffs) if joint else []
+    counts = [above(F.col(rule) > c, f"{rule}_{i}") for rule, cs in cutoffs.items() for i, c in enumerate(cs)]
+    counts += [above(F.greatest(*[F.col(rule) > cutoffs[rule][i] for rule, i in step.items()]), f"joint_{t}") for t, step in enumerate(steps)]
     per = materialize(labelled.where("good").groupBy("stratum").agg(F.count("*").cast("double").alias("n_good"), *counts), "quality-counts")
-    level = delta / max(1, per.count() * len(cutoffs))
+    strata = max(1, per.count())
+    level = delta * (1 - SEQUENCE_SHARE if joint else 1) / (strata * len(cutoffs))
     rate = alpha / len(cutoffs)
-    chosen = []
-    for rule, cs in cutoffs.items():
-        passed = [F.when(binomial_cdf(F.col(f"{rule}_{i}"), F.col("n_good"), rate) <= level, F.lit(float(c))) for i, c in enumerate(cs)]
-        chosen.append(F.array_min(F.array(*passed)).alias(f"cut_{rule}"))
-    return per.select("stratum", F.col("n_good").cast("long").alias("n_good"), *chosen)
+
+    def places(name: str, n: int, rate: float, level: float) -> Column:
+        """How many of ``n`` cutoffs are certified; counts never fall from lax to strict, so these are the first ones."""
+        passed = [F.when(binomial_cdf(F.col(f"{name}_{i}"), F.col("n_good"), rate) <= level, F.lit(i + 1)).otherwise(0) for i in range(n)]
+        return F.array_max(F.array(*passed))
+
+    alone = {rule: places(rule, len(cs), rate, level) for rule, cs in cutoffs.items()}
+    per = per.select("stratum", F.col("n_good").cast("long").alias("n_good"), *[c.alias(f"own_{r}") for r, c in alone.items()], *([places("joint", len(steps), alpha, delta * SEQUENCE_SHARE / strata).alias("step")] if joint else []))
+    chosen = {rule: F.col(f"own_{rule}") for rule in cutoffs}
+    if joint:
+        at = {rule: F.element_at(F.array(F.lit(0), *[F.lit(step[rule] + 1) for step in steps]), F.col("step") + 1) for rule in cutoffs}
+        together = sum(at.values(), F.lit(0)) >= sum(chosen.values(), F.lit(0))
+        chosen = {rule: F.when(together, at[rule]).otherwise(own) for rule, own in chosen.items()}
+    return per.select("stratum", "n_good", *[F.when(c > 0, F.element_at(F.array(*[F.lit(float(x)) for x in cutoffs[rule]]), F.greatest(c, F.lit(1)))).alias(f"cut_{rule}") for rule, c in chosen.items()])
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: float) -> DataFrame:
+def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: float, joint: bool = False) -> DataFrame:
     """The certified cutoffs from a measured table with ``doc_id`` and ``stratum``."""
     good = labels.groupBy(F.col("doc_id").alias("_label_id")).agg((F.min("quality") == 1).alias("good"))
     holdout = measured.where(~base_failed()).select("doc_id", "stratum", *[s.alias(r) for r, s in scores().items()])
-    return materialize(certify(holdout.join(good, F.col("doc_id") == F.col("_label_id")), alpha, delta), "quality-cutoffs")
+    return materialize(certify(holdout.join(good, F.col("doc_id") == F.col("_label_id")), alpha, delta, joint=joint), "quality-cutoffs")
 
 
 def _judged(measured: DataFrame, cuts: DataFrame, stratum_col: str) -> DataFrame:
@@ -162,7 +194,7 @@ def _measure(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> D
     return materialize(with_metrics(named).drop("text"), "quality-metrics")
 
 
-def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.1) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.1, joint: bool = False) -> DataFrame:
     """One row per document: id, the counts, ``base_failed``, ``kept``, the stratum's cutoffs.
 
     ``labels`` has ``doc_id`` and ``quality`` (1: good); a document whose
@@ -172,18 +204,18 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels only the base rules reject.
     """
     measured = _measure(docs, id_col, text_col, stratum_col)
-    judged = _judged(measured, cutoffs(measured, labels, alpha, delta), "stratum")
+    judged = _judged(measured, cutoffs(measured, labels, alpha, delta, joint), "stratum")
     return judged.select("doc_id", *METRICS[:5], base_failed().alias("base_failed"), F.col("_kept").alias("kept"), *[f"cut_{r}" for r in CUTOFFS])
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.1) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.1, joint: bool = False) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
     Texts are measured twice, for the cutoffs and for the verdicts, so that
     they are neither shuffled nor written in between.
     """
     with passing() as keep:
-        cuts = keep(cutoffs(_measure(docs, id_col, text_col, stratum_col), labels, alpha, delta))
+        cuts = keep(cutoffs(_measure(docs, id_col, text_col, stratum_col), labels, alpha, delta, joint))
     # rows travel as one struct, so that no name of theirs can clash
     rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
     return _judged(with_metrics(rows), cuts, "stratum").where("_kept").select("_doc.*")

@@ -20,7 +20,7 @@ def _vocabulary(name: str) -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), joint=True)
 
 
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

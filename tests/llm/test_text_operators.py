@@ -291,6 +291,29 @@ def test_cutoffs_need_evidence_and_limit_false_rejections(spark):
         assert certified == (not any(got[i].kept for i in own if i % 10 == 0))
 
 
+def test_joint_cutoffs_decide_in_every_stratum(spark):
+    """Strata of 400 good labels are too small for the rules one by one; together they certify."""
+    rows, labels = [], []
+    for i in range(2000):
+        bad = i % 5 == 0
+        text = " ".join(f"plain{chr(97 + i % 23)}{chr(97 + i * j % 19)}{chr(97 + j)}word" for j in range(26)) + " " + " ".join(f"more{chr(97 + (i + j) % 26)}{chr(97 + j)}" for j in range(26))
+        rows.append((i, text.replace(" ", " ### ") if bad else text, ("en", "de", "fr", "es")[i // 5 % 4], "a"))
+        labels.append((i, 0 if bad else 1, 0))
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality_rules.judge(docs_of(spark, rows), lab, joint=True).collect()}
+    for i in range(2000):
+        assert got[i].cut_symbols_per_word is not None and not got[i].base_failed and got[i].kept == (i % 5 != 0)
+
+
+def test_a_rule_that_stops_the_sequence_does_not_stop_the_others(spark):
+    """Where good documents exceed one rule's cutoffs, the rules by themselves are certified as before."""
+    rows = [("x", True, 0.0, 0.9, 0.0, 0.0, 5.0)] * 3000 + [("y", True, 0.0, 0.1, 0.0, 0.0, 5.0)] * 100
+    labelled = spark.createDataFrame(rows, "stratum string, good boolean, symbols_per_word double, other_share double, repeat_share double, dup_line_share double, mean_word_chars double")
+    got = {r.stratum: r for r in quality_rules.certify(labelled, 0.02, 0.1, joint=True).collect()}
+    assert got["x"].cut_other_share is None and got["x"].cut_symbols_per_word == 0.1 and got["x"].cut_mean_word_chars == 10.0
+    assert all(got["y"][f"cut_{r}"] is None for r in quality_rules.CUTOFFS)
+
+
 def test_quality_without_labels_and_columns(spark):
     lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = quality_rules.judge(docs_of(spark, AWKWARD), lab).collect()
