@@ -7,7 +7,8 @@ neighbouring tokens with a digit or an at sign, cut into atoms (digit runs,
 letter runs, single signs). Every span of up to ``MAX_ATOMS`` atoms is a
 candidate segment with features of the whole span: its shape, digit count and
 grouping, checksum, ends and surroundings. A dynamic program over the atoms
-chooses boundaries and types together, at most ``MAX_ENTITIES`` per island.
+chooses boundaries and types together over the whole island, however long it
+is and however many entities it holds.
 
 The weights are trained here by maximising the conditional likelihood
 (forward-backward over segmentations) on generated islands, both of personal
@@ -27,7 +28,8 @@ from pyspark.sql import DataFrame
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_ATOMS = 16
-MAX_ENTITIES = 8
+#: Atoms whose segments are scored together; no bound on what is found.
+BLOCK = 256
 #: Log-odds against plain text that an added span needs.
 MARGIN = 2.0
 _BUCKETS = 1 << 14
@@ -131,11 +133,11 @@ def span_features(atoms: list[str], i: int, j: int, before: str) -> list[int]:
     return [_cached_feature(x) for x in names]
 
 
-def _segments(atoms: list[str], before: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and feature ids of the candidate segments."""
+def _segments(atoms: list[str], before: str, first: int = 0, stop: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and feature ids of the candidate segments that start from ``first`` to before ``stop``."""
     starts, ends, feats = [], [], []
-    for i, a in enumerate(atoms):
-        if a.isspace():
+    for i in range(first, len(atoms) if stop is None else min(stop, len(atoms))):
+        if atoms[i].isspace():
             continue
         for j in range(i + 1, min(len(atoms), i + MAX_ATOMS) + 1):
             if atoms[j - 1].isspace():
@@ -276,35 +278,37 @@ def train(examples: int = 1000, epochs: int = 8, seed: int = 7) -> np.ndarray:
 
 
 def decode(atoms: list[str], before: str, weights: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """The best segmentation with at most ``MAX_ENTITIES`` entities: (kind, first atom, end atom, score)."""
-    starts, ends, feats = _segments(atoms, before)
-    if not len(starts):
-        return []
-    scores = weights[feats].sum(axis=1) + weights[_cached_feature("bias")]
-    kinds, best = scores.argmax(axis=1), scores.max(axis=1)
-    n = len(atoms)
-    into: list[list[int]] = [[] for _ in range(n + 1)]
-    for s in np.flatnonzero(best > 0).tolist():
-        into[ends[s]].append(s)
-    value = np.full((MAX_ENTITIES + 1, n + 1), -np.inf)
-    value[:, 0] = 0.0
-    back: dict[tuple[int, int], int] = {}
+    """The best segmentation of all ``atoms``: (kind, first atom, end atom, score).
+
+    Segments are scored in blocks of starts, and only those that beat plain
+    text are kept, so memory follows the island's length.
+    """
+    n, bias = len(atoms), weights[_cached_feature("bias")]
+    into: list[list[tuple[int, int, float]]] = [[] for _ in range(n + 1)]
+    for first in range(0, n, BLOCK):
+        starts, ends, feats = _segments(atoms, before, first, first + BLOCK)
+        if not len(starts):
+            continue
+        scores = weights[feats].sum(axis=1) + bias
+        kinds, best = scores.argmax(axis=1), scores.max(axis=1)
+        for s in np.flatnonzero(best > 0).tolist():
+            into[ends[s]].append((int(starts[s]), int(kinds[s]), float(best[s])))
+    value = [0.0] * (n + 1)
+    back: list[tuple[int, int, float] | None] = [None] * (n + 1)
     for j in range(1, n + 1):
-        value[:, j] = value[:, j - 1]
-        for s in into[j]:
-            for m in range(1, MAX_ENTITIES + 1):
-                v = value[m - 1, starts[s]] + best[s]
-                if v > value[m, j]:
-                    value[m, j] = v
-                    back[m, j] = s
-    out, m, j = [], MAX_ENTITIES, n
+        value[j] = value[j - 1]
+        for segment in into[j]:
+            v = value[segment[0]] + segment[2]
+            if v > value[j]:
+                value[j], back[j] = v, segment
+    out, j = [], n
     while j > 0:
-        s = back.get((m, j))
-        if s is not None and value[m, j] > value[m, j - 1]:
-            out.append((int(kinds[s]), int(starts[s]), int(ends[s]), float(best[s])))
-            j, m = int(starts[s]), m - 1
-        else:
+        segment = back[j]
+        if segment is None:
             j -= 1
+        else:
+            out.append((segment[1], segment[0], j, segment[2]))
+            j = segment[0]
     return out[::-1]
 
 
@@ -327,30 +331,15 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
         for a, b in zip(edges[::2], edges[1::2], strict=True):
             if b - a < 7:
                 continue
-            for part in _windows(_ATOM.findall(text[a:b])):
-                atoms, shift = part
-                at = np.concatenate([[0], np.cumsum([len(x) for x in atoms])]) + a + shift
-                for kind, i, j, score in decode(atoms, word, weights):
-                    if score >= MARGIN:
-                        out.append((kind, int(at[i]), int(at[j])))
-                word = ""
+            atoms = _ATOM.findall(text[a:b])
+            at = np.concatenate([[0], np.cumsum([len(x) for x in atoms])]) + a
+            for kind, i, j, score in decode(atoms, word, weights):
+                if score >= MARGIN:
+                    out.append((kind, int(at[i]), int(at[j])))
+            word = ""
     return out
 
 
-def _windows(atoms: list[str], limit: int = 256) -> Iterator[tuple[list[str], int]]:
-    """An island's atoms in stretches of about ``limit``, cut at white space; with the characters before each."""
-    begin, chars = 0, 0
-    while begin < len(atoms):
-        end = min(len(atoms), begin + limit)
-        if end < len(atoms):
-            cut = next((k for k in range(end, begin + limit // 2, -1) if atoms[k - 1].isspace()), end)
-            end = cut
-        part = atoms[begin:end]
-        yield part, chars
-        chars += sum(map(len, part))
-        begin = end
-
-
 def joined(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
 

@@ -426,6 +426,24 @@ def test_pii_rows(spark):
     assert pii.find(docs_of(spark, AWKWARD)).count() == len(AWKWARD)
 
 
+@pytest.mark.parametrize("n", [9, 20, 42, 43, 100])
+@pytest.mark.parametrize("number", ["(212) 555-0147", "212-555-0147", "212.555.0147"])
+def test_long_lists_of_numbers(n, number):
+    """Every number of a list on one line, those about atom 256 too."""
+    numbers = [number[:-2] + f"{10 + i % 90}" for i in range(n)]
+    text = "call " + " ".join(numbers)
+    got = sorted(pii.added_spans(text, [], pii.train()))
+    assert [text[s:e] for _, s, e in got] == numbers and {k for k, *_ in got} == {3}
+
+
+def test_entity_across_blocks():
+    """Where the blocks of starts end makes no difference."""
+    weights = pii.train()
+    for shift in range(230, 262):
+        text = "x1" * (shift // 2) + "-" * (shift % 2) + " " + "(212) 555-0147"
+        assert (3, len(text) - 14, len(text)) in pii.added_spans(text, [], weights)
+
+
 # --- 10 HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body><header><h1>Site</h1><a href="/">Home</a></header><div id="sidebar"><p>Links, and so on, dear reader.</p></div>
