@@ -2,14 +2,18 @@
 
 The network predicts every word from two words on either side: position-wise
 embeddings are summed through a tanh layer, and a two-level softmax (class,
-then member) gives the word's probability. A document's score is the sum of
-its conditional log-probabilities.
+then member) gives the probability of the word's id. A document's score is the
+sum of its words' conditional log-probabilities.
 
 Vocabulary: the words of all documents are counted; the most frequent have ids
-of their own and the others share hashed ids. Training: every task runs
-AdaGrad over all words of its documents from the same start, and the tasks'
-weights, weighted by their words, are averaged in a tree of sums. The network
-has a fixed size.
+of their own and the others share hashed ids, the buckets. The counts stay
+distributed: a word of a bucket has the probability of the bucket times its
+share of the bucket's words, which a join on the word adds. Training: in each
+of ``ROUNDS`` rounds the tasks run AdaGrad from the same start over the words
+of the round's documents, and their weights and sums of squares, weighted by
+their words, are averaged in a tree of sums, written, and start the next round.
+Every document is in one round. Partitions are merged until a task has
+``TASK_WORDS`` words a round on average. The network has a fixed size.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.llm import merge
+from seamark.llm.scratch import discard
 from seamark.llm.words import word_hashes
 
 GROUPS = 32
@@ -33,6 +38,10 @@ WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 BATCH = 4096
 RATE = 0.3
+#: Averaging rounds; each has its share of the documents.
+ROUNDS = 4
+#: Words that a task has in a round, on average and at least.
+TASK_WORDS = 250_000
 
 _SHAPES = {"embed": (len(OFFSETS), WORDS + 1, WIDTH), "bias": (WIDTH,), "group": (WIDTH, GROUPS), "group_bias": (GROUPS,), "member": (GROUPS, WIDTH, GROUPS), "member_bias": (GROUPS, GROUPS)}
 
@@ -40,9 +49,9 @@ _SHAPES = {"embed": (len(OFFSETS), WORDS + 1, WIDTH), "bias": (WIDTH,), "group":
 class WindowNetwork:
     """The network's weights, its gradient steps and its scores."""
 
-    def __init__(self, weights: dict[str, np.ndarray]):
+    def __init__(self, weights: dict[str, np.ndarray], seen: dict[str, np.ndarray] | None = None):
         self.w = weights
-        self.seen = {k: np.full_like(v, 1e-5) for k, v in weights.items()}
+        self.seen = seen or {k: np.full_like(v, 1e-5) for k, v in weights.items()}
 
     @classmethod
     def start(cls, seed: int = 11) -> "WindowNetwork":
@@ -52,16 +61,21 @@ class WindowNetwork:
         return cls(weights)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.w[k].reshape(-1) for k in _SHAPES]).astype(np.float64)
+        """The weights, then the sums of squares of their slopes."""
+        return np.concatenate([part[k].reshape(-1) for part in (self.w, self.seen) for k in _SHAPES]).astype(np.float64)
 
     @classmethod
     def from_flat(cls, vector: np.ndarray) -> "WindowNetwork":
-        out, at = {}, 0
-        for k, s in _SHAPES.items():
-            n = int(np.prod(s))
-            out[k] = vector[at : at + n].reshape(s).astype(np.float32)
-            at += n
-        return cls(out)
+        parts, at = ({}, {}), 0
+        for out in parts:
+            for k, s in _SHAPES.items():
+                n = int(np.prod(s))
+                out[k] = vector[at : at + n].reshape(s).astype(np.float32)
+                at += n
+        return cls(*parts)
+
+    def copy(self) -> "WindowNetwork":
+        return WindowNetwork.from_flat(self.flat())
 
     def _hidden(self, around: np.ndarray) -> np.ndarray:
         z = self.w["embed"][0][around[0]]
@@ -166,25 +180,74 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, WindowNetwork]:
-    """The frequent words and the network, from all documents."""
-    top = count_words(docs, text_col).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
-    frequent = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def shares_of_buckets(counts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``word``, ``share``: the log of each other word's part of its bucket's words. Only the totals of the buckets are gathered."""
+    known = counts.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT numbers at most
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        network, total = WindowNetwork.start(), 0
+    def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, hashes, before in word_hashes(batch.column(0)):
-                words = ids_of(hashes, shared.value)
-                network.learn(words, windows(words, before))
-                total += len(words)
-        if total:
-            part, chunk, payload = zip(*merge.to_rows(TaskContext.get().partitionId(), np.append(network.flat() * total, float(total)), 1 << 14), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(chunk, pa.int32()), pa.array(payload, pa.binary())], ["part", "chunk", "payload"])
+            words = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = ids_of(words.view(np.uint64), known.value).astype(np.int32)
+            rest = ~np.isin(words.view(np.uint64), known.value)
+            yield pa.RecordBatch.from_arrays([pa.array(words[rest]), pa.array(batch.column(1).to_numpy(zero_copy_only=False)[rest]), pa.array(ids[rest])], ["word", "n", "bucket"])
+
+    rest = counts.select("word", "n").mapInArrow(buckets, "word long, n long, bucket int")
+    totals = rest.groupBy("bucket").agg(F.sum("n").alias("total"))
+    return rest.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("share"))
+
 
-    total = merge.tree_sum(merge.materialize(docs.select(text_col).mapInArrow(rows, merge.SCHEMA), "lm-weights"), "f8")
-    return frequent, WindowNetwork.start() if total is None else WindowNetwork.from_flat(total[:-1] / total[-1])
+def rare_words(docs: DataFrame, frequent: np.ndarray, row_col: str, text_col: str) -> DataFrame:
+    """``row``, ``word``, ``n``: the distinct words of each row that have no ids of their own."""
+    known = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, hashes, before in word_hashes(batch.column(1)):
+                text = np.repeat(np.arange(len(before) - 1), np.diff(before))
+                rest = ~np.isin(hashes, known.value)
+                text, hashes = text[rest], hashes[rest]
+                by = np.lexsort((hashes, text))
+                text, hashes = text[by], hashes[by]
+                new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])]) if len(text) else np.zeros(0, int)
+                n = np.diff(np.append(new, len(text)))
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[first + text[new]]), pa.array(hashes[new].view(np.int64)), pa.array(n.astype(np.int32))], ["row", "word", "n"])
+
+    return docs.select(row_col, text_col).mapInArrow(rows, "row long, word long, n int")
+
+
+def train(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, WindowNetwork, DataFrame]:
+    """The frequent words, the network and the counts of all words, from all documents."""
+    spark = docs.sparkSession
+    counts = merge.materialize(count_words(docs, text_col), "lm-counts")
+    top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    frequent = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    shared = spark.sparkContext.broadcast(frequent)
+    network = WindowNetwork.start()
+    n_words = counts.agg(F.sum("n")).first()[0] or 0
+    tasks = max(1, n_words // ROUNDS // TASK_WORDS)
+    for turn in range(ROUNDS):
+        begin = spark.sparkContext.broadcast(network)
+
+        def rows(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
+            network, total = begin.value.copy(), 0
+            for batch in batches:
+                for _, hashes, before in word_hashes(batch.column(0)):
+                    words = ids_of(hashes, shared.value)
+                    network.learn(words, windows(words, before))
+                    total += len(words)
+            if total:
+                part, chunk, payload = zip(*merge.to_rows(TaskContext.get().partitionId(), np.append(network.flat() * total, float(total)), 1 << 14), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(chunk, pa.int32()), pa.array(payload, pa.binary())], ["part", "chunk", "payload"])
+
+        # by a hash of the text, so that each document has its round however the scan deals it
+        own = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(ROUNDS)) == turn)
+        written = merge.materialize(own.coalesce(tasks).mapInArrow(rows, merge.SCHEMA), "lm-weights")
+        total = merge.tree_sum(written, "f8")
+        if total is not None:
+            network = WindowNetwork.from_flat(total[:-1] / total[-1])
+        discard(written)
+    return frequent, network, counts
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,24 +259,29 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    frequent, network = train(docs, text_col)
+    frequent, network, counts = train(docs, text_col)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, network.w))  # fixed size
+    # rows are numbered as the scan deals them, which is stable for a table of files
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, weights = shared.value
         own = WindowNetwork(weights)
         for batch in batches:
-            counts, sums = [], []
-            for _, hashes, before in word_hashes(batch.column(1)):
+            n_words, sums = [], []
+            for _, hashes, before in word_hashes(batch.column(2)):
                 words = ids_of(hashes, known)
                 logp = np.concatenate([[0.0], np.cumsum(own.score(words, windows(words, before)).astype(np.float64))])
-                counts.append(np.diff(before))
+                n_words.append(np.diff(before))
                 sums.append(logp[before[1:]] - logp[before[:-1]])
-            n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
             s = np.concatenate(sums) if sums else np.zeros(0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(s), pa.array(np.divide(s, n, out=np.zeros_like(s), where=n > 0), mask=n == 0)],
-                ["doc_id", "n_words", "log_likelihood", "mean_log_likelihood"],
-            )
-
-    return docs.select(id_col, text_col).mapInArrow(rows, f"doc_id {id_type}, n_words long, log_likelihood double, mean_log_likelihood double")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(s)], ["row", "doc_id", "n_words", "s"])
+
+    scored = numbered.mapInArrow(rows, f"row long, doc_id {id_type}, n_words long, s double")
+    shares = shares_of_buckets(counts, frequent)
+    within = rare_words(numbered, frequent, "row", "text").join(shares, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("within"))
+    total = F.col("s") + F.coalesce("within", F.lit(0.0))
+    return scored.join(within, "row", "left").select(
+        "doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood")
+    )

@@ -513,6 +513,36 @@ def test_lm_rows(spark):
         assert (r.n_words == 0) == (r.mean_log_likelihood is None) and r.log_likelihood <= 0
 
 
+def test_lm_gives_every_word_its_own_probability(spark):
+    """Two texts that differ in words of one bucket: the difference is the log of their counts; shares of a bucket add to 1."""
+    from seamark.llm.words import word_hashes
+
+    ((_, h, _),) = word_hashes(pa.array([" ".join(f"rare{i}" for i in range(4000))]))
+    ids = lm_scoring.ids_of(h, np.zeros(0, np.uint64))
+    a, b = np.flatnonzero(ids == ids[0])[:2]
+    common = " ".join(f"c{i}" for i in range(lm_scoring.FREQUENT))
+    frame = "c1 c2 c3 {} c4 c5"
+    rows = [(1, frame.format(f"rare{a}"), "", ""), (2, frame.format(f"rare{b}"), "", ""), *[(3 + i, common, "", "") for i in range(50)], *[(100 + i, f"rare{b}", "", "") for i in range(19)]]
+    docs = docs_of(spark, rows)
+    got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs).collect()}
+    assert abs(got[2] - got[1] - np.log(20)) < 1e-3
+    frequent, _, counts = lm_scoring.train(docs)
+    shares = lm_scoring.shares_of_buckets(counts, frequent)
+    total = sum(np.exp(r.share) for r in shares.collect())
+    assert abs(total - 1) < 1e-9
+
+
+def test_lm_rounds_carry_weights_and_squares():
+    rng = np.random.default_rng(1)
+    network = lm_scoring.WindowNetwork.start()
+    ids = rng.integers(0, lm_scoring.WORDS, 500).astype(np.uint16)
+    network.learn(ids, lm_scoring.windows(ids, np.array([0, 500])))
+    again = network.copy()
+    assert all((again.w[k] == network.w[k]).all() and (again.seen[k] == network.seen[k]).all() for k in network.w)
+    again.learn(ids, lm_scoring.windows(ids, np.array([0, 500])))
+    assert (again.w["group"] != network.w["group"]).any()
+
+
 # --- all
 
 
