@@ -5,6 +5,11 @@ Two texts are equal when they are identical after the ASCII white space
 normal form; inside each group of two or more the bytes of every member are
 compared with those of the group's leader, and members that differ (a hash
 collision) are regrouped by their SHA-256.
+
+Rows are numbered and written once, and matched by that number. Groups with
+much of the table are broadcast in joins of narrow rows, and a leader's text
+goes to its members in portions of ``PORTION`` rows, so no key gathers a large
+group in one task.
 """
 
 from __future__ import annotations
@@ -12,8 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.scratch import materialize, passing
+from seamark.llm.scratch import discard, materialize, numbered, passing
+from seamark.llm.skew import join_groups
 
+#: Members of a group that meet a copy of their leader's text in one place.
+PORTION = 1000
 ASCII_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
@@ -25,69 +33,88 @@ def without_space(text: Column) -> Column:
     return out
 
 
-def _numbered(docs: DataFrame, text_col: str) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("_row"),
-        "*",
-        without_space(F.col(text_col)).alias("_norm"),
-    )
+def _digests(text: Column, hash_fn) -> list[Column]:
+    norm = without_space(text)
+    return [F.length(F.coalesce(text, F.lit(""))).cast("long").alias("_len"), hash_fn(norm).alias("_hash"), F.sha2(norm, 256).alias("_sha")]
+
+
+def _order() -> Column:
+    """Who stays: the longest original, then the smallest id (null last), then the first row."""
+    return F.struct((-F.col("_len")).alias("l"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
+
+
+def _grouped(rows: DataFrame, keys: list[str], label: str) -> tuple[DataFrame, int]:
+    """The groups of two or more rows: keys, ``_size``, ``_best``; and the number of all rows."""
+    groups = rows.groupBy(*keys).agg(F.count("*").alias("_size"), F.min(_order()).alias("_best")).where("_size > 1")
+    return materialize(groups, label), rows.count()
+
+
+def _collided(table: DataFrame, keyed: DataFrame, norm: Column) -> DataFrame:
+    """``_row``, ``_hash`` of the members whose bytes are not their leader's."""
+    several = keyed.where("_size > 1")
+    lead, salts = F.col("_best.r"), F.ceil(F.col("_size") / PORTION).cast("int")
+    wanted = several.select("_row", "_hash", lead.alias("_lead"), F.pmod(F.xxhash64("_row"), salts).cast("int").alias("_salt"), salts.alias("_salts"))
+    texts = materialize(table.select("_row", norm.alias("_norm")).join(wanted, "_row"), "exact-texts")
+    leaders = texts.where("_row = _lead").select("_lead", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.col("_norm").alias("_lead_norm"))
+    met = texts.where("_row <> _lead").join(leaders, ["_lead", "_salt"])
+    out = materialize(met.where("_norm <> _lead_norm").select("_row", "_hash"), "exact-collisions")
+    discard(texts)
+    return out
+
+
+def _classify(table: DataFrame, norm: Column) -> DataFrame:
+    """``_row``, ``_id``, ``_sha``, ``_size`` and ``_best`` (both null for a text that stands alone) of every row of ``table``."""
+    narrow = table.select("_row", "_id", "_len", "_hash", "_sha")
+    groups, total = _grouped(narrow, ["_hash"], "exact-groups")
+    keyed = materialize(join_groups(narrow, groups, ["_hash"], "_size", total), "exact-keyed")
+    other = _collided(table, keyed, norm)
+    if not other.isEmpty():
+        # texts of one hash that differ: these hashes alone are grouped again, by SHA-256
+        mixed = keyed.join(other.select("_hash").distinct(), "_hash", "left_semi").drop("_size", "_best")
+        again, total = _grouped(mixed, ["_hash", "_sha"], "exact-groups")
+        regrouped = join_groups(mixed, again, ["_hash", "_sha"], "_size", total)
+        keyed = keyed.join(other.select("_hash").distinct(), "_hash", "left_anti").unionByName(regrouped)
+    return keyed
+
+
+def _stays() -> Column:
+    return F.coalesce(F.col("_row") == F.col("_best.r"), F.lit(True))
 
 
 def classify_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_fn=F.md5) -> DataFrame:
-    """One row per row of ``docs``: ``_row``, the id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
+    """One row per row of ``docs``: the id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
     Of equal texts the row with the most code points in its original text
     stays, then the smallest id (a null id comes last); of rows that agree in
     both exactly one stays. Null and empty texts are equal to each other. An
     empty table gives an empty result. Other columns of ``docs`` are not read,
-    so their names cannot clash.
-
-    ``_row`` numbers the rows as the scan deals them; it is stable for a table
-    of files. ``hash_fn`` is the grouping hash and can be weakened in tests.
+    so their names cannot clash. ``hash_fn`` is the grouping hash and can be
+    weakened in tests.
     """
-    base = _numbered(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text").select(
-        "_row",
-        "_id",
-        F.length(F.coalesce("_text", F.lit(""))).cast("long").alias("_len"),
-        "_norm",
-        hash_fn(F.col("_norm")).alias("_hash"),
-    )
-    narrow = materialize(base.select("_row", "_id", "_len", "_hash", F.sha2("_norm", 256).alias("_sha")), "exact-digests")
-
-    order = F.struct((-F.col("_len")).alias("l"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
-    heads = narrow.groupBy("_hash").agg(F.count("*").alias("_size"), F.min(order).alias("_best"))
-    several = heads.where("_size > 1").select("_hash", F.col("_best.r").alias("_lead"))
-
-    # The bytes of groups of two or more: members meet their leader's text.
-    wanted = narrow.select("_row", "_hash").join(several, "_hash").select("_row", "_lead")
-    texts = materialize(base.select("_row", "_norm").join(wanted, "_row"), "exact-texts")
-    leaders = texts.where("_row = _lead").select("_lead", F.col("_norm").alias("_lead_norm"))
-    collided = (
-        texts.where("_row <> _lead")
-        .join(leaders, "_lead")
-        .where("_norm <> _lead_norm")
-        .select("_row", F.lit(True).alias("_other"))
-    )
-    keyed = narrow.join(materialize(collided, "exact-collisions"), "_row", "left").withColumn(
-        "_variant", F.when(F.col("_other"), F.col("_sha")).otherwise(F.lit(""))
-    )
-    groups = keyed.groupBy("_hash", "_variant").agg(F.count("*").alias("group_size"), F.min(order).alias("_best")).where("group_size > 1")
-    # written, so that the join below has plain exchanges on both sides and a hot group's rows can be split
-    groups = materialize(groups, "exact-groups")
-    return keyed.join(groups, ["_hash", "_variant"], "left").select(
-        "_row",
+    text = F.col(text_col)
+    with passing() as keep:
+        table = numbered(docs, [F.col(id_col).alias("_id"), *_digests(text, hash_fn), without_space(text).alias("_norm")], "exact-texts")
+        keyed = keep(materialize(_classify(table, F.col("_norm")), "exact-classes"))
+    return keyed.select(
         F.col("_id").alias(id_col),
-        F.when(F.col("group_size").isNull(), F.col("_id")).otherwise(F.col("_best.i")).alias("keep_id"),
-        F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
-        F.coalesce(F.col("_row") == F.col("_best.r"), F.lit(True)).alias("kept"),
+        F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_best.i")).alias("keep_id"),
+        F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"),
+        _stays().alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_fn=F.md5) -> DataFrame:
+    """The rows of ``docs`` that stay, with the columns of ``docs``.
+
+    Exactly one row of every group of equal texts stays, chosen as in
+    ``classify_copies``; null and empty texts are one group. Rows that repeat
+    in every column are one group too. ``docs`` may be any plan: it is read
+    once. An empty table gives an empty result, and no column name can clash.
+    """
     with passing() as keep:
-        gone = keep(materialize(classify_copies(docs, id_col, text_col).where("not kept").select("_row"), "exact-gone"))
-    # rows travel as one struct, so that no name of theirs can clash
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc"))
-    return rows.join(gone, "_row", "left_anti").select("_doc.*")
+        # rows travel as one struct, so that no name of theirs can clash
+        table = keep(numbered(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_id"), *_digests(F.col(text_col), hash_fn)], "exact-rows"))
+        norm = without_space(F.col("_doc").getField(text_col))
+        gone = keep(materialize(_classify(table, norm).where(~_stays()).select("_row"), "exact-gone"))
+    return table.join(gone, "_row", "left_anti").select("_doc.*")

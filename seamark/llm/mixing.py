@@ -11,9 +11,11 @@ into one multiplier per source: a document of size ``n`` in source ``s`` has
 Documents of the same source and size share a rate, so the iterations run over
 the (source, size) histogram, which Spark builds and sums.
 
-Rates become whole copies by systematic rounding along the order (source,
-size, id): the copies of a document are the increase of the floor of the
-running sum of rates. The error of a source telescopes to less than its
+Rates become whole copies by systematic rounding along the cells, the pairs
+(source, size): the copies of a cell are the increase of the floor of the
+running sum of rates. Inside a cell, where all rates are equal, every document
+has the same number of copies or one more, and those with one more are the
+first by a hash of the id. The error of a source telescopes to less than its
 largest document. Everything is DataFrame code.
 """
 
@@ -24,8 +26,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.llm.scratch import materialize, passing
+from seamark.llm.scratch import materialize, numbered, passing
 
+#: Cells are broadcast up to this many; beyond it they are joined by a shuffle.
+MOST_CELLS = 200_000
 #: Rates are summed as whole multiples of 2**-SCALE_BITS, so that no sum depends on its order.
 SCALE_BITS = 20
 
@@ -126,31 +130,82 @@ def tilt_multipliers(cells: DataFrame, targets: DataFrame, cap: int, tolerance:
     return state.select("sid", "scale", F.when(~F.col("full"), F.round("lam", 10)).alias("lam"))
 
 
-def _running_floor(rows: DataFrame) -> DataFrame:
-    """Adds ``copies``: how much the floor of the running sum of ``rate`` grows at each row.
+def _cell_copies(cells: DataFrame) -> DataFrame:
+    """``cells`` (``sid``, ``size``, ``n``, ``rate``) with ``base``, the copies of every row, and ``extra``, the rows that have one more.
 
-    The running sum is a distributed prefix sum: rows are range-partitioned by
-    (sid, size, id), which also splits a source or a size that holds most of
-    the rows; each partition sums its own, and the partitions' totals shift
-    them. ``rate`` is a whole number of 2**-SCALE_BITS.
+    ``rate`` is a whole number of 2**-SCALE_BITS. The running sum over all cells
+    is a distributed prefix sum: each range of cells sums its own, and the
+    ranges' totals shift them.
     """
-    ranged = materialize(
-        rows.repartitionByRange(F.col("sid"), F.col("size"), F.col("doc_id"), F.col("_row")).withColumn("_part", F.spark_partition_id()),
-        "mix-rates",
-    )
-    totals = ranged.groupBy("_part").agg(F.sum("rate").alias("_sum"))
-    shift = totals.select(
-        "_part",
-        (F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")).alias("_shift"),
-    )
-    own = Window.partitionBy("_part").orderBy("sid", "size", "doc_id", "_row").rowsBetween(Window.unboundedPreceding, 0)
-    summed = ranged.withColumn("_upto", F.sum("rate").over(own)).join(shift, "_part")
+    ranged = materialize(cells.repartitionByRange("sid", "size").withColumn("_part", F.spark_partition_id()), "mix-cells")
+    mass = F.col("rate") * F.col("n")
+    shift = ranged.groupBy("_part").agg(F.sum(mass).alias("_sum"))
+    shift = shift.select("_part", (F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_sum")).alias("_shift"))
+    own = Window.partitionBy("_part").orderBy("sid", "size").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("_shift") + F.col("_upto")
-    return summed.withColumn("copies", F.shiftright(end, SCALE_BITS) - F.shiftright(end - F.col("rate"), SCALE_BITS))
+    copies = F.shiftright(end, SCALE_BITS) - F.shiftright(end - mass, SCALE_BITS)
+    counted = ranged.withColumn("_upto", F.sum(mass).over(own)).join(shift, "_part").withColumn("_copies", copies)
+    return counted.select("sid", "size", "n", F.floor(F.col("_copies") / F.col("n")).alias("base"), F.pmod(F.col("_copies"), F.col("n")).alias("extra"))
+
+
+def _last_with_extra(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """``sid``, ``size``, ``last``: of each cell the key of the last row, in the order of keys, that has one copy more.
+
+    Rows are ranked across range partitions, so that a cell with much of the
+    table is split: a partition numbers its own and the partitions' counts
+    shift them.
+    """
+    ranged = rows.select("sid", "size", "key").repartitionByRange("sid", "size", "key").withColumn("_part", F.spark_partition_id())
+    ranged = materialize(ranged, "mix-ranks")
+    held = ranged.groupBy("_part", "sid", "size").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("sid", "size").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
+    shift = held.select("_part", "sid", "size", (F.sum("_n").over(before) - F.col("_n")).alias("_shift"))
+    # the cell's last row with a copy more stands in one partition: the one whose ranks reach ``extra``
+    there = shift.join(cells.where("extra > 0").select("sid", "size", "extra"), ["sid", "size"]).join(held, ["_part", "sid", "size"])
+    there = there.where("_shift < extra and extra <= _shift + _n").select("_part", "sid", "size", (F.col("extra") - F.col("_shift")).alias("_at"))
+    own = F.row_number().over(Window.partitionBy("_part", "sid", "size").orderBy("key"))
+    return ranged.join(there, ["_part", "sid", "size"]).withColumn("_own", own).where("_own = _at").select("sid", "size", F.col("key").alias("last"))
+
+
+def _key() -> Column:
+    """Order of the rows of a cell: by a hash first, so that ids of one range are not all taken."""
+    return F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("i"), F.col("_row").alias("r"))
+
+
+def _cells(rows: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
+    """Per source and size: ``_src``, ``_size``, ``source_size``, ``target``, ``base`` and ``last`` (see ``_cell_copies``, ``_last_with_extra``)."""
+    narrow = rows.select("_row", "doc_id", "source", "size")
+    sources = materialize(source_targets(narrow, weights, cap), "mix-targets").withColumnRenamed("source", "_src")
+    sized = narrow.groupBy("source", "size").agg(F.count("*").alias("n"))
+    cells = materialize(sized.join(sources, F.col("source").eqNullSafe(F.col("_src"))).select("source", "sid", "size", "n", "source_size", "target"), "mix-cells")
+    lam = tilt_multipliers(cells.select("sid", "size", "n"), sources.select("sid", "source_size", "target"), cap)
+    tilt = F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(50.0))), F.lit(float(cap)))
+    rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("lam").isNull(), F.lit(float(cap))).otherwise(tilt)
+    rated = cells.join(lam, "sid", "left").select("sid", "size", "n", F.round(rate * (1 << SCALE_BITS)).cast("long").alias("rate"))
+    counted = materialize(_cell_copies(rated), "mix-cells")
+    named = narrow.join(_small(sources.select("_src", "sid")), F.col("source").eqNullSafe(F.col("_src")))
+    last = _last_with_extra(named.select("sid", "size", _key().alias("key")), counted)
+    full = cells.join(counted.drop("n"), ["sid", "size"]).join(last, ["sid", "size"], "left")
+    return materialize(full.select(F.col("source").alias("_src"), F.col("size").alias("_size"), "source_size", "target", "base", "last"), "mix-cells")
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """``table``, to be broadcast where it has few rows."""
+    return F.broadcast(table) if table.count() <= MOST_CELLS else table
+
+
+def _with_copies(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    placed = rows.join(_small(cells), F.col("source").eqNullSafe(F.col("_src")) & (F.col("size") == F.col("_size")))
+    more = F.when(_key() <= F.col("last"), 1).otherwise(0)
+    return placed.withColumn("copies", (F.col("base") + more).cast("long"))
+
+
+def _sized(id_col: str, text_col: str, source_col: str) -> list[Column]:
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")]
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of ``docs``: ``_row``, ``doc_id``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
+    """One row per row of ``docs``: ``doc_id``, ``size``, ``source_size``, ``target``, ``copies``, ``taken``.
 
     A document's size is its number of words. No document is taken more than
     ``cap`` times. A null source is a source of its own, a null text has size
@@ -158,32 +213,24 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, id_co
     target 0. Repeated rows count one by one. An empty table gives an empty
     result; other columns are not read.
     """
-    sizes = materialize(
-        docs.select(
-            F.monotonically_increasing_id().alias("_row"),
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-        ),
-        "mix-sizes",
-    )
-    targets = materialize(source_targets(sizes, weights, cap), "mix-targets")
-    rows = sizes.join(targets.withColumnRenamed("source", "_src"), F.col("source").eqNullSafe(F.col("_src"))).drop("_src", "source")
-    cells = materialize(rows.groupBy("sid", "size").agg(F.count("*").alias("n")), "mix-cells")
-    lam = tilt_multipliers(cells, targets.select("sid", "source_size", "target"), cap)
-    tilt = F.least(F.exp(F.least(F.col("lam") * F.col("size") / F.col("scale"), F.lit(50.0))), F.lit(float(cap)))
-    rate = F.when(F.col("size") == 0, F.lit(0.0)).when(F.col("lam").isNull(), F.lit(float(cap))).otherwise(tilt)
-    rated = rows.join(lam, "sid", "left").withColumn("rate", F.round(rate * (1 << SCALE_BITS)).cast("long"))
-    return _running_floor(rated.select("_row", "doc_id", "sid", "size", "source_size", "target", "rate")).select(
-        "_row", "doc_id", "size", "source_size", "target", F.col("copies").cast("long").alias("copies"), (F.col("copies") * F.col("size")).cast("long").alias("taken")
-    )
+    with passing() as keep:
+        rows = keep(numbered(docs, _sized(id_col, text_col, source_col), "mix-sizes"))
+        cells = keep(_cells(rows, weights, cap))
+    return _with_copies(rows, cells).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
 
-def repeat_to_mix(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row repeated as often as the mix takes it; its columns stay."""
-    with passing() as keep:
-        taken = keep(materialize(mix(docs, **options).where("copies > 0").select("_row", "copies"), "mix-copies"))
+def repeat_to_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``docs`` with every row repeated as often as ``mix`` takes it; its columns stay.
+
+    Rows that are taken 0 times go, so a document without words goes. Null
+    ids, texts and sources count as in ``mix``; equal rows are repeated one by
+    one. ``docs`` may be any plan: it is read once. An empty table gives an
+    empty result, and no column name can clash.
+    """
     # rows travel as one struct, so that no name of theirs can clash
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.struct(*docs.columns).alias("_doc"))
-    repeated = rows.join(taken, "_row").select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return repeated.select("_doc.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    with passing() as keep:
+        rows = keep(numbered(docs, [whole, *_sized(id_col, text_col, source_col)], "mix-rows"))
+        cells = keep(_cells(rows, weights, cap))
+    taken = _with_copies(rows, cells).where("copies > 0")
+    return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")

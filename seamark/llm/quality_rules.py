@@ -189,8 +189,9 @@ def _judged(measured: DataFrame, cuts: DataFrame, stratum_col: str) -> DataFrame
     return joined.withColumn("_kept", ~reject)
 
 
-def _measure(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
+def _measured(docs: DataFrame, columns: list[Column], id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    """``columns``, ``doc_id``, ``stratum`` and the counts of every row, written: texts are measured once."""
+    named = docs.select(*columns, F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
     return materialize(with_metrics(named).drop("text"), "quality-metrics")
 
 
@@ -203,19 +204,25 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows are judged one by one. Empty tables give empty results; without
     labels only the base rules reject.
     """
-    measured = _measure(docs, id_col, text_col, stratum_col)
-    judged = _judged(measured, cutoffs(measured, labels, alpha, delta, joint), "stratum")
+    with passing() as keep:
+        measured = keep(_measured(docs, [], id_col, text_col, stratum_col))
+        cuts = keep(cutoffs(measured, labels, alpha, delta, joint))
+    judged = _judged(measured, cuts, "stratum")
     return judged.select("doc_id", *METRICS[:5], base_failed().alias("base_failed"), F.col("_kept").alias("kept"), *[f"cut_{r}" for r in CUTOFFS])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.1, joint: bool = False) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with the columns of ``docs``.
 
-    Texts are measured twice, for the cutoffs and for the verdicts, so that
-    they are neither shuffled nor written in between.
+    Rows are judged as in ``judge``: a null, empty or short text goes, a null
+    stratum is a stratum, a null id has no label, and rows that repeat stay or
+    go together. ``docs`` may be any plan: it is read once, and written with
+    its counts. An empty table gives an empty result, and no column name can
+    clash.
     """
-    with passing() as keep:
-        cuts = keep(cutoffs(_measure(docs, id_col, text_col, stratum_col), labels, alpha, delta, joint))
     # rows travel as one struct, so that no name of theirs can clash
-    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
-    return _judged(with_metrics(rows), cuts, "stratum").where("_kept").select("_doc.*")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
+    with passing() as keep:
+        measured = keep(_measured(docs, [whole], id_col, text_col, stratum_col))
+        cuts = keep(cutoffs(measured, labels, alpha, delta, joint))
+    return _judged(measured, cuts, "stratum").where("_kept").select("_doc.*")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_roots: dict[str, str] = {}
@@ -23,7 +25,7 @@ def scratch_root(spark: SparkSession) -> str:
         return root
     app = spark.sparkContext.applicationId
     if app not in _own_roots:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _own_roots[app] = "file://" + tempfile.mkdtemp(prefix="seamark-")
     return _own_roots[app]
@@ -58,12 +60,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
-    if _open:
-        _open[-1].append(out)
+    if _stack():
+        _stack()[-1].append(out)
     return out
 
 
-_open: list[list[DataFrame]] = []
+def numbered(docs: DataFrame, columns: list[Column], label: str) -> DataFrame:
+    """``columns`` of ``docs`` with a number for each row in ``_row``, written once.
+
+    A plan that is evaluated twice may deal its rows differently (a shuffle
+    upstream, another number of cores under a scan), so whoever matches rows
+    by number has to read them all from this table.
+    """
+    return materialize(docs.select(F.monotonically_increasing_id().alias("_row"), *columns), label)
+
+
+_local = threading.local()
+
+
+def _stack() -> list[list[DataFrame]]:
+    """The open blocks of this thread: queries in two threads keep to their own tables."""
+    if not hasattr(_local, "open"):
+        _local.open = []
+    return _local.open
 
 
 @contextlib.contextmanager
@@ -76,16 +95,17 @@ def passing():
         kept.append(table)
         return table
 
-    _open.append(own)
+    stack = _stack()
+    stack.append(own)
     try:
         yield keep
     finally:
-        _open.remove(own)
+        stack.pop()
         for table in own:
             if not any(table is k for k in kept):
                 discard(table)
-        if _open:
-            _open[-1].extend(kept)
+        if stack:
+            stack[-1].extend(kept)
 
 
 def discard(table: DataFrame) -> None:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from seamark.llm import exact_dedup, html_extract, lm_scoring, mixing, ngram_join, packing, pii, quality_rules, token_output, tokenizing, url_filter
+from seamark.llm import exact_dedup, html_extract, lm_scoring, mixing, ngram_join, packing, pii, quality_rules, skew, token_output, tokenizing, url_filter
 from seamark.llm import queries as Q
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,6 +76,23 @@ def test_drop_copies_keeps_columns(spark):
     assert kept.count() == len({re.sub(r"\s", "", t or "") for _, t, *_ in AWKWARD})
 
 
+def test_drop_copies_of_a_shuffled_plan(spark):
+    """Rows are matched by numbers, so a plan that deals rows anew at each reading must not lose any."""
+    rows = [(i, f"text number {i * 7919 % 1500} {' ' * (i % 3)}", "en", "a") for i in range(4000)]
+    kept = exact_dedup.drop_copies(docs_of(spark, rows).repartition(7)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted({k for _, k, *_ in brute_copies(rows)})
+
+
+@pytest.mark.parametrize("portion, hot", [(3, 2), (1000, 1000)])
+def test_exact_dedup_of_hot_groups(spark, monkeypatch, portion, hot):
+    monkeypatch.setattr(exact_dedup, "PORTION", portion)
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    rows = [(i, "the same text" if i % 3 else f"text {i % 40}", "en", "a") for i in range(400)]
+    for weak in (F.md5, lambda c: F.substring(F.md5(c), 1, 1)):
+        got = exact_dedup.classify_copies(docs_of(spark, rows), hash_fn=weak).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == brute_copies(rows)
+
+
 # --- 7 n-gram join
 
 
@@ -367,6 +384,15 @@ def test_mix_awkward(spark):
     assert again.columns == COLUMNS and again.count() == sum(r.copies for r in got)
 
 
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_repeat_to_mix_of_a_shuffled_plan(spark, most, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_CELLS", most)
+    rows = [(i, "word " * (i % 37), "en", "abc"[i % 3 if i % 5 else 0]) for i in range(3000)]
+    docs = docs_of(spark, rows)
+    want = Counter({r.doc_id: r.copies for r in mixing.mix(docs).collect() if r.copies})
+    assert Counter(r.doc_id for r in mixing.repeat_to_mix(docs.repartition(7)).collect()) == want
+
+
 # --- 5 URLs
 
 
