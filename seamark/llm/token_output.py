@@ -9,9 +9,11 @@ ascending id order. A block's ``payload`` holds whole documents:
     frames   u32 per frame: its first word (a frame is 1024 ids, the last one less)
     words    u64: selector in the top 4 bits, below it as many ids as the
              selector says, lowest first
-    escapes  u32 position and u32 id for each id of 2**15 or more, which has
+    escapes  u32 position and u32 id for each id of 2**20 or more, which has
              a 0 in the words
 
+The encoder takes the selector with the most ids that fits. Ids below 2**20
+never need the selectors of 30 and 60 bits, so those are for the decoder only.
 The document ids stand beside the payload in ``doc_ids``.
 """
 
@@ -36,9 +38,9 @@ SELECTORS = (
     (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60),
 )
 FRAME = 1024
-ESCAPE_BITS = 15
-#: The encoder uses selectors of up to this many ids; the decoder knows all.
-_REACH = 60
+ESCAPE_BITS = 20
+#: The most ids in a word.
+_REACH = 240
 _COUNTS = np.array([c for c, _ in SELECTORS], np.int64)
 _BIT_LENGTH = np.array([x.bit_length() for x in range(1 << ESCAPE_BITS)], np.uint8)
 _HEADER = struct.Struct("<4sIQIQI")
@@ -62,11 +64,11 @@ def pack_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     n = len(ids)
     rows = -(-n // FRAME)
     big = np.flatnonzero(ids >> ESCAPE_BITS)
-    flat = np.zeros(rows * FRAME, np.uint16)
+    flat = np.zeros(rows * FRAME, np.uint32)
     flat[:n] = ids
     flat[big] = 0
     # zeros after each frame let its last word reach over the end
-    grid = np.zeros((rows, FRAME + _REACH), np.uint16)
+    grid = np.zeros((rows, FRAME + _REACH), np.uint32)
     grid[:, :FRAME] = flat.reshape(rows, FRAME)
     end = np.full(rows, FRAME)
     if rows:
@@ -77,8 +79,7 @@ def pack_ids(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     pick = np.zeros(len(values), np.uint8)
     for k in range(len(SELECTORS) - 1, -1, -1):  # few ids first; a selector with more ids that fits replaces it
         count, bits = SELECTORS[k]
-        if count <= _REACH:
-            np.copyto(pick, np.uint8(k), where=widths[count] <= bits)
+        np.copyto(pick, np.uint8(k), where=widths[count] <= bits)
 
     begins = np.zeros(len(values), bool)
     at = np.arange(rows) * (FRAME + _REACH)
@@ -151,7 +152,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
     """Encode every whole text and write the blocks to ``path`` in ascending id order.
 
     A null or empty text is the end id alone; null ids come first; rows that
-    repeat an id follow each other. Other columns are not read.
+    repeat an id, or all else, follow each other and are written one by one.
+    An empty table writes no block. Other columns are not read.
     """
     id_type = docs.schema[id_col].dataType
     schema = T.StructType([
@@ -200,7 +202,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, i
 
 
 def read_token_files(spark: SparkSession, path: str, id_type: str = "bigint", keep_ids: bool = False) -> DataFrame:
-    """Per document, from the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` (and ``ids``, on demand)."""
+    """Per document, from the files: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32`` (and ``ids``, on demand).
+
+    One row for each row that was written, null and repeated ids included; a
+    document of a null or empty text has its end id alone. A folder without
+    blocks gives an empty result.
+    """
     table = spark.read.schema(f"shard int, block long, n_ids long, doc_ids array<{id_type}>, payload binary").parquet(path)
     schema = f"shard int, block long, doc_id {id_type}, at long, n_tokens long, ids_crc32 long" + ", ids binary" * keep_ids
 

@@ -4,7 +4,8 @@ BPE never merges across pre-tokens, so a text may be cut between pre-tokens
 and its pieces encoded on their own. Texts are cut only where every split in
 use has such a boundary: at white space (see ``_cuts``), and between an ASCII
 letter and a full stop or comma. What is not cut stays one piece, so the ids
-are those of the whole text.
+are those of the whole text. A text that holds one of the tokenizer's added
+tokens, such as an end mark, goes through the library as a whole.
 
 A batch's pieces are hashed together (two 64-bit hashes), each distinct one is
 looked up among those that the worker has encoded before, and only new ones go
@@ -52,8 +53,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized for t in added):
+            raise ValueError("added tokens that are looked for after normalising need whole texts")
+        self.marks = [t.content.encode() for t in added]
         # ids that begin (spaced) or end a pre-token
         vocabulary = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -127,9 +131,35 @@ class PieceEncoder:
         ids = [next(words) if w else next(others) for w in plain]
         return np.frombuffer(b"".join(ids), np.uint32), np.array([len(x) // 4 for x in ids], np.int64)
 
+    def _marked(self, data: np.ndarray, begins: np.ndarray) -> list[int]:
+        """The texts of the slice that may hold an added token."""
+        raw, found = data.tobytes(), set()
+        for mark in self.marks:
+            at = raw.find(mark)
+            while at >= 0:
+                found.add(int(np.searchsorted(begins, at, "right")) - 1)
+                at = raw.find(mark, at + 1)
+        return sorted(found)
+
+    def _stretches(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, bool]]:
+        """Slices of the batch, parted at texts with added tokens: (row of its first text, bytes, where each text begins, whether it is such a text)."""
+        for row, data, begins in slices(texts, SLICE_BYTES):
+            first = 0
+            for i in self._marked(data, begins):
+                if i > first:
+                    yield row + first, data[begins[first] : begins[i]], begins[first : i + 1] - begins[first], False
+                yield row + i, data[begins[i] : begins[i + 1]], begins[i : i + 2] - begins[i], True
+                first = i + 1
+            if first < len(begins) - 1:
+                yield row + first, data[begins[first] :], begins[first:] - begins[first], False
+
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Slices of the batch: (row of its first text, ids, offsets of each text into the ids). Null counts as empty."""
-        for row, data, begins in slices(texts, SLICE_BYTES):
+        for row, data, begins, marked in self._stretches(texts):
+            if marked:
+                ids = np.frombuffer(self._ids([data.tobytes().decode("utf-8", "replace")])[0], np.uint32)
+                yield row, ids, np.array([0, len(ids)], np.int64)
+                continue
             if not len(data):
                 yield row, np.zeros(0, np.uint32), np.zeros(len(begins), np.int64)
                 continue
