@@ -477,11 +477,95 @@ BODY = "<h2>A title</h2><p>First <b>paragraph</b>,\n with a <a href=x>link</a> &
 WANT = ["A title", "First paragraph, with a link <ok> and text, indeed.", "Second one été goes on; it ends.", "one thing, long enough.", "two things"]
 
 
-@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", '<div class="content">%s</div>'])
+WRAPS = ["<article>%s</article>", "<main>%s</main>", '<div class="content">%s</div>', '<div class="content-sidebar-wrap"><div class="post">%s</div></div>', '<div id="search-result-page" class="no-sidebar">%s</div>', '<div class="has-comments"><article>%s</article></div>']
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
 def test_article(wrap):
     assert html_extract.main_text(PAGE % (wrap % BODY)).split("\n\n") == WANT
 
 
+def words_of(rng, low, high):
+    return " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "épsilon"]) for _ in range(int(rng.integers(low, high))))
+
+
+def built_page(rng):
+    """A page put together from an article and what stands around it, and the article's blocks."""
+    def link_list(n):
+        return "<ul>" + "".join(f"<li><a href='/{i}'>{words_of(rng, 1, 3)}</a>" for i in range(n)) + "</ul>"
+
+    blocks, parts = [words_of(rng, 3, 8)], []
+    parts.append(f"<h1>{blocks[0]}</h1>")
+    for _ in range(int(rng.integers(2, 9))):
+        sentence = f"{words_of(rng, 12, 60)}, {words_of(rng, 5, 20)}."
+        blocks.append(sentence)
+        parts.append(rng.choice(["<p>%s</p>", "<p>%s", "<p><b>%s</b></p>", "<p class='x'>%s</p>"]) % sentence.replace("beta gamma", "beta\n <i>gamma</i>"))
+    # a list of links inside the article is no content, marked or not
+    inner = "".join(parts) + f"<div class='z'>{link_list(5)}</div>"
+    wrap = rng.choice(WRAPS + ["<div class='a'><div class='b'>%s</div></div>", "<table><tr><td>%s</table>"])
+    around = [f"<nav>{link_list(6)}</nav>", f"<div class='ad'>{words_of(rng, 4, 9)}.</div>", f"<aside><p>{words_of(rng, 5, 12)}, yes.</p></aside>", f"<div class='cookie-notice'>{words_of(rng, 5, 9)}.</div>", f"<div>{link_list(8)}</div>", "<span style='display:none'>hidden<div>more</div></span>"]
+    rng.shuffle(around)
+    end = f"<div class='comments'><p>{words_of(rng, 5, 12)}.</p></div><footer>{words_of(rng, 3, 6)}</footer>"
+    return "<html><body>" + "".join(around[: int(rng.integers(1, 7))]) + wrap.replace("%s", inner) + end, blocks
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_built_pages(seed):
+    page, blocks = built_page(np.random.default_rng(seed))
+    assert html_extract.main_text(page).split("\n\n") == blocks
+
+
+def test_ratios_leave_link_lists_out_of_a_marked_article():
+    links = "".join(f"<li><a href=x>Story number {i}</a>" for i in range(9))
+    page = f"<article><h1>Head</h1><p>{'Words, and more words. ' * 9}</p><ul class='more'>{links}</ul><p>{'The end, at last. ' * 9}</p></article>"
+    assert "Story" not in html_extract.main_text(page) and "The end" in html_extract.main_text(page)
+
+
+def test_teasers_marked_as_articles_do_not_hide_the_text():
+    teasers = "".join(f"<article class='card'><h3>Teaser {i}</h3></article>" for i in range(4))
+    text = "A long paragraph, with commas, and a full stop. " * 8
+    assert text.strip() in html_extract.main_text(f"<div class='content'><p>{text}</p><p>{text}</p></div>{teasers}")
+
+
+def brute_content(page):
+    """The choice of paths over again, path by path, from the runs of a page without names."""
+    by = defaultdict(list)
+    for r in page.runs:
+        by[r.path].append(r)
+    paths = list(by)
+    chars = [sum(len(r.text) for r in by[p]) / len(by[p]) * sum(len(r.text) - r.linked for r in by[p]) / sum(len(r.text) for r in by[p]) for p in paths]
+    marks = [sum(sum(c in ".,;:!?" for c in r.text) for r in by[p]) / len(by[p]) * sum(len(r.text) - r.linked for r in by[p]) / sum(len(r.text) for r in by[p]) for p in paths]
+
+    def smooth(v, i):
+        return v[max(0, i - 1)] / 4 + v[i] / 2 + v[min(len(v) - 1, i + 1)] / 4
+
+    score = [np.log1p(smooth(chars, i) * (1 + smooth(marks, i)) ** 0.5) for i in range(len(paths))]
+    low = np.mean(score) - html_extract.SPREADS * np.std(score)
+    good = {p for p, v in zip(paths, score) if v >= low and 2 * sum(r.linked for r in by[p]) < sum(len(r.text) for r in by[p])}
+    return [r.text for r in page.runs if r.path in good]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_ratios_against_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    tags = ["p", "div", "td", "li", "pre", "dd"]
+    page = "".join(f"<div class=c{rng.integers(0, 4)}><{(t := rng.choice(tags))}>{words_of(rng, 1, 30)}{rng.choice(['', ',', '. ok.'])}{'<a href=x>' + words_of(rng, 1, 9) + '</a>' if rng.random() < 0.4 else ''}</{t}></div>" for _ in range(25))
+    assert html_extract.content(html_extract.read(page)) == brute_content(html_extract.read(page))
+
+
+@pytest.mark.parametrize("piece", ["<div>x", "<b>x", "<p>", "<table><tr><td>", "<ul><li><div>", "<a ", "<a x='", "<div class=sidebar>x", "<!--", "<"])
+def test_long_pages_take_linear_time(piece):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        html_extract.main_text(piece * n + '"')
+        return time.perf_counter() - began
+
+    seconds(1000)
+    assert seconds(40000) < 40 * seconds(4000) + 1
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "u", "<p>x < y &bogus; z"), (4, "u", "<" * 1000), (4, "u", "<div" + "<p>" * 3000), (5, "u", "plain words, no markup at all")], "page_id long, url string, html string")
     got = html_extract.extract(pages).collect()
