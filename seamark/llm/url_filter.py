@@ -4,27 +4,36 @@ Site rules allow or block a host with all its subdomains under a path; the
 longest rule that fits decides. Where none fits, an Aho-Corasick automaton
 finds the vocabulary's terms in the URL. A term counts only between
 boundaries (no ASCII letter or digit on either side). One strict term rejects,
-and so do distinct soft terms whose weights add up to the limit.
+and so do distinct soft terms whose weights add up to the limit; the limit is
+above every weight, so that takes two of them. Percent-encoded characters are
+decoded before the search.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Vocabulary: terms that reject alone, and terms with weights.
+# Vocabulary: general English terms by theme, chosen without regard to any table. Strict terms reject alone; soft ones have
+# weights: 2 for words of the trade itself, 1 for words that such sites share with others.
 STRICT_TERMS = (
-    "porn", "porno", "xxx", "hentai", "escort", "escorts", "camgirls", "sexcams", "nsfw", "viagra", "cialis", "warez", "malware", "phishing",
-    "spam-farm", "linkfarm", "adult-x", "casino-win", "free-bets", "cheap-pills",
+    "porn", "porno", "pornography", "xxx", "hentai", "nsfw", "milf", "camgirl", "camgirls", "sexcam", "sexcams", "escorts", "upskirt", "bdsm",
+    "viagra", "cialis", "levitra", "warez", "malware", "phishing", "ransomware", "linkfarm",
 )
 SOFT_TERMS: Mapping[str, int] = {
-    "adult": 1, "sex": 1, "sexy": 1, "nude": 1, "cam": 1, "cams": 1, "dating": 1, "casino": 1, "poker": 1, "slots": 1, "bet": 1, "bets": 1, "betting": 1,
-    "jackpot": 1, "pills": 1, "pharmacy": 1, "cheap": 1, "free": 1, "win": 1, "bonus": 1, "loan": 1, "loans": 1, "payday": 1, "torrent": 1, "crack": 1,
-    "keygen": 1, "spam": 1, "farm": 1, "ads": 1, "track": 1, "tracker": 1, "click": 1, "popup": 1, "replica": 1, "seo": 1,
+    # adult
+    "adult": 2, "sex": 2, "sexy": 2, "erotic": 2, "nude": 2, "nudes": 2, "naked": 2, "escort": 2, "fetish": 2, "cam": 1, "cams": 1, "hot": 1, "girls": 1, "babes": 2, "dating": 1, "singles": 1,
+    # gambling
+    "casino": 2, "casinos": 2, "poker": 2, "slots": 2, "slot": 1, "roulette": 2, "blackjack": 2, "bet": 2, "bets": 2, "betting": 2, "jackpot": 2, "lottery": 2, "gambling": 2, "win": 1, "bonus": 1,
+    # pharmacy and money
+    "pills": 2, "pharmacy": 2, "meds": 2, "steroids": 2, "payday": 2, "loan": 1, "loans": 1, "forex": 2, "crypto": 1, "replica": 2, "replicas": 2, "cheap": 1, "discount": 1, "buy": 1, "free": 1, "deals": 1,
+    # stolen goods and advertising
+    "torrent": 2, "torrents": 2, "crack": 2, "cracked": 2, "keygen": 2, "serials": 2, "spam": 2, "farm": 1, "ads": 1, "adserver": 2, "clickbait": 2, "click": 1, "popup": 2, "tracker": 1, "seo": 1, "backlinks": 2, "download": 1,
 }
 
 
@@ -52,7 +61,11 @@ SITE_RULES = (
 class Vocabulary:
     strict: Sequence[str] = STRICT_TERMS
     soft: Mapping[str, int] = field(default_factory=lambda: dict(SOFT_TERMS))
-    limit: int = 2
+    limit: int = 3
+
+    def __post_init__(self) -> None:
+        if any(w >= self.limit for w in self.soft.values()):
+            raise ValueError("a soft term must not reject alone")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -90,7 +103,7 @@ def vocabulary_counts(words: Vocabulary):
         machine.make_automaton()
 
         def hits(url: str | None) -> tuple[int, int, int]:
-            text = (url or "").translate(_FOLD)
+            text = unquote(url or "").translate(_FOLD)
             strict, soft = 0, {}
             for end, (term, weight) in machine.iter(text):
                 before, after = end - len(term), end + 1
@@ -148,7 +161,7 @@ def oracle(rules: Sequence[SiteRule] = SITE_RULES, words: Vocabulary | None = No
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     return rf"""
         WITH u AS (
-            SELECT page_id, translate(coalesce(url, ''), '{upper}', '{upper.lower()}') AS low,
+            SELECT page_id, translate(url_decode(coalesce(url, '')), '{upper}', '{upper.lower()}') AS low,
                    CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
             FROM pages),
         h AS (

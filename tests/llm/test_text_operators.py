@@ -396,13 +396,14 @@ def test_repeat_to_mix_of_a_shuffled_plan(spark, most, monkeypatch):
 
 
 def test_urls(spark):
-    urls = ["http://a.example.net/en/x?y#z", "http://example.net/fr/", "HTTP://WWW.Example.COM/de/1", "https://x.org/fr/1", "nothing", None, "", "http://net", "http://q.com/a://b", "http://u@h.com:8/p", "http://pornography.com/", "http://my-porn.com/", "http://cheap.com/free", "http://freebet.com/free-free"]
+    urls = ["http://a.example.net/en/x?y#z", "http://example.net/fr/", "HTTP://WWW.Example.COM/de/1", "https://x.org/fr/1", "nothing", None, "", "http://net", "http://q.com/a://b", "http://u@h.com:8/p", "http://pornography.com/", "http://my-porn.com/", "http://cheap.com/pills", "http://freebet.com/free-free", "http://p%6Frn.example/", "http://golden-casino.example/bonus", "http://farm.example/free-eggs", "http://a.example/poker-slots", "http://casino.example/", "http://b.example/x%zz%4"]
     pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(urls)] + [(None, "http://xxx.com/", "x")], "page_id long, url string, host string")
     got = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
     assert [(got[i].host, got[i].path, got[i].rule, got[i].verdict) for i in range(5)] == [
         ("a.example.net", "/en/x", "example.net/en/", "allow"), ("example.net", "/fr/", "net/", "block"), ("www.example.com", "/de/1", "example.com/de/", "block"), ("x.org", "/fr/1", "org/fr/", "allow"), ("", "", None, "allow"),
     ]
     assert [got[i].verdict for i in (5, 6, 7, 10, 11, 12, 13)] == ["allow", "allow", "allow", "allow", "block", "block", "allow"]
+    assert [got[i].verdict for i in range(14, 20)] == ["block", "block", "allow", "block", "allow", "allow"]
     assert (got[8].host, got[8].path, got[9].host) == ("q.com", "/a://b", "u@h.com:8") and got[None].verdict == "block"
 
 
