@@ -12,7 +12,8 @@ is and however many entities it holds.
 
 The weights are trained here by maximising the conditional likelihood
 (forward-backward over segmentations) on generated islands, both of personal
-data and of look-alikes: dates, versions, prices, keys and plain numbers.
+data in the forms of many countries and of look-alikes: dates, versions,
+prices, book numbers, coordinates, keys and plain numbers.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ MAX_ATOMS = 16
 #: Atoms whose segments are scored together; no bound on what is found.
 BLOCK = 256
 #: Log-odds against plain text that an added span needs.
-MARGIN = 2.0
+MARGIN = 0.5
 _BUCKETS = 1 << 14
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -89,7 +90,11 @@ def base_spans(text: str) -> list[Span]:
 
 _ISLAND = re.compile(r"(?<!\S)\S*[0-9@]\S*(?:[ \t]{1,3}\S*[0-9@]\S*)*")
 _ATOM = re.compile(r"[0-9]+|[^\W\d_]+|\s+|.", re.S)
-_PHONE_WORDS = frozenset("tel telephone telefon telefono téléphone phone mobile mobil cell call fax whatsapp".split())
+_CUES = ("tel", "phone", "call", "fax", "mobil")
+_PHONE_WORDS = frozenset(
+    "tel telephone telefon telefono teléfono téléphone tél phone mobile mobil móvil movil portable handy cell call ring dial fax whatsapp sms text hotline "
+    "llame llamar appelez appeler rufen anrufen chiama cellulare numéro numero nummer".split()
+)
 
 
 def _feature(name: str) -> int:
@@ -127,7 +132,8 @@ def span_features(atoms: list[str], i: int, j: int, before: str) -> list[int]:
         f"letters:{any(a[0].isalpha() for a in own)}:{'@' in text}",
         f"luhn:{16 <= n <= 19 and luhn(_digits(text))}:{n if 16 <= n <= 19 else 0}",
         f"octets:{len(groups) == 4 and signs == '.' and all(int(a[-6:]) < 256 for a in own if a[0].isdigit())}",
-        f"cue:{before if before in _PHONE_WORDS else ''}:{7 <= n <= 15}",
+        f"cue:{before in _PHONE_WORDS}:{min(n, 16)}:{min(len(groups), 6)}",
+        f"lead:{text.lstrip('(')[:1] == '0'}:{text[:2] == '00'}:{min(n, 16)}:{min(len(groups), 6)}",
         f"domain:{bool(re.search(r'@[a-z0-9-]+(?:[.][a-z0-9-]+)+$', text.lower()))}",
     ]
     return [_cached_feature(x) for x in names]
@@ -148,7 +154,7 @@ def _segments(atoms: list[str], before: str, first: int = 0, stop: int | None =
             starts.append(i)
             ends.append(j)
             feats.append(span_features(atoms, i, j, before))
-    return np.array(starts, int), np.array(ends, int), np.array(feats, int).reshape(len(starts), -1)
+    return np.array(starts, int), np.array(ends, int), np.array(feats, int).reshape(len(starts), len(feats[0]) if feats else 1)
 
 
 def _log_add(values: list[float]) -> float:
@@ -184,30 +190,63 @@ def _number(rng: np.random.Generator, n: int) -> str:
 
 
 def _card(rng: np.random.Generator) -> str:
-    body = _number(rng, int(rng.integers(15, 19)))
+    body = _number(rng, int(rng.integers(15, 19)) if rng.random() < 0.85 else 14)
     return body + next(str(c) for c in range(10) if luhn(body + str(c)))
 
 
+# Forms of phone numbers without a plus sign, by country: 0 to 9 as they stand, x any digit, y one of 2 to 9.
+_PHONE_FORMS = (
+    # North America, with and without area code
+    "(yxx) yxx-xxxx", "(yxx)yxx-xxxx", "yxx-yxx-xxxx", "yxx.yxx.xxxx", "yxx yxx-xxxx", "yxx yxx xxxx", "1-yxx-yxx-xxxx", "1 (yxx) yxx-xxxx", "yxx-xxxx", "yxxyxxxxxx",
+    # Britain and Ireland
+    "020 yxxx xxxx", "(020) yxxx xxxx", "01xx xxx xxxx", "01xxx xxxxxx", "07xxx xxxxxx", "07xxx xxx xxx", "0800 xxx xxx", "01 xxx xxxx",
+    # France
+    "0x xx xx xx xx", "0x.xx.xx.xx.xx", "0x-xx-xx-xx-xx", "0xxxxxxxxx",
+    # Germany, Austria, Switzerland
+    "0y0 xxxxxx", "0y0 xxxxxxx", "0y0/xxxxxxx", "0y0-xxxxxxx", "(0y0) xxxxxxx", "0yxxx xxxxxx", "0yxxx/xxxxxx", "015x xxxxxxxx", "017x xxxxxxx", "04x xxx xx xx",
+    # Spain, Italy, Portugal
+    "9xx xxx xxx", "9xx xx xx xx", "6xx xxx xxx", "6xx xx xx xx", "9xxxxxxxx", "06 xxxx xxxx", "02 xxxxxxxx", "3xx xxxxxxx", "21x xxx xxx",
+    # Netherlands, Belgium, Nordic countries, Poland
+    "020-xxxxxxx", "06-xxxxxxxx", "04xx xx xx xx", "08-xxx xxx xx", "070-xxx xx xx", "xx xx xx xx", "0xx xxx xxxx", "6xx-xxx-xxx",
+    # Asia, Oceania, Latin America
+    "03-xxxx-xxxx", "090-xxxx-xxxx", "0xx-xxxx-xxxx", "yxxxx xxxxx", "(0x) xxxx xxxx", "04xx xxx xxx", "(11) 9xxxx-xxxx", "(xx) xxxx-xxxx", "55 xxxx xxxx",
+    # international prefix in digits
+    "00yx xx xxxx xxxx", "0033 x xx xx xx xx", "0049 yxx xxxxxxx", "011 yx xxx xxx xxx", "+yx (0)xx xxxx xxxx",
+)
+
+
+def _phone(rng: np.random.Generator) -> str:
+    form = _PHONE_FORMS[int(rng.integers(0, len(_PHONE_FORMS)))]
+    if rng.random() < 0.25:  # an area code and a number in groups of any lengths
+        area, rest = "0" + "yxxx"[: int(rng.integers(1, 5))], "x" * int(rng.integers(6, 9))
+        cut = int(rng.integers(2, 5))
+        form = (f"({area})" if rng.random() < 0.25 else area) + " /-"[int(rng.integers(0, 3))] + (rest if rng.random() < 0.4 else rest[:cut] + " " + rest[cut:])
+    return "".join(str(int(rng.integers(0, 10))) if c == "x" else str(int(rng.integers(2, 10))) if c == "y" else c for c in form)
+
+
 def example(rng: np.random.Generator) -> tuple[str, str, list[tuple[int, str]]]:
     """(word before, island, [(kind, text)]): an island with personal data or look-alikes."""
     before, entities, parts = _word(rng), [], []
     for _ in range(int(rng.integers(1, 3))):
         kind = int(rng.integers(0, 9))
-        a, b, c = _number(rng, 3), _number(rng, 3), _number(rng, 4)
         if kind == 0:
             text = f"{_word(rng)}.{_number(rng, 2)}@{_word(rng)}{_number(rng, 1)}.{_word(rng)}.com" if rng.random() < 0.5 else f"{_word(rng)}@{_word(rng)}.org"
         elif kind == 1:
             text = ".".join(str(x) for x in rng.integers(0, 256, 4))
         elif kind == 2:
             d = _card(rng)
-            sep = ("", " ", "-", ".")[int(rng.integers(0, 4))]
-            text = sep.join(d[i : i + 4] for i in range(0, len(d), 4)) if sep else d
+            sep = ("", " ", "-", ".", "/")[int(rng.integers(0, 5))]
+            cuts = (4, 10) if len(d) == 15 else range(4, len(d), 4)
+            text = sep.join(d[i:j] for i, j in zip((0, *cuts), (*cuts, len(d)), strict=True)) if sep else d
         elif kind == 3:
-            forms = (f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{_number(rng, 2)} {a} {b}{c}", f"({a}){b}-{c}", f"{a} {b}-{c}")
-            text = forms[int(rng.integers(0, len(forms)))]
+            text = _phone(rng)
         else:
             year = str(int(rng.integers(1900, 2030)))
+            wrong = _card(rng)
+            wrong = wrong[:-1] + str((int(wrong[-1]) + int(rng.integers(1, 10))) % 10)
             shapes = (
+                wrong,
+                " ".join(wrong[i : i + 4] for i in range(0, len(wrong), 4)),
                 _number(rng, int(rng.integers(1, 15))),
                 _number(rng, 16)[:-1] + "x",
                 f"{rng.integers(1, 13)}.{rng.integers(0, 20)}.{rng.integers(0, 30)}",
@@ -226,18 +265,30 @@ def example(rng: np.random.Generator) -> tuple[str, str, list[tuple[int, str]]]:
                 f"{_number(rng, 5)}-{_number(rng, 4)}",
                 f"{_number(rng, 4)} {_number(rng, 3)} {_number(rng, 2)}",
                 f"({_number(rng, 2)})",
+                f"{_number(rng, int(rng.integers(1, 4)))} {_number(rng, 3)} {_number(rng, 3)}",
+                f"{_number(rng, int(rng.integers(1, 4)))} {_number(rng, int(rng.integers(1, 4)))}",
+                f"{_number(rng, 2)} {_number(rng, 2)} {_number(rng, 2)}",
+                f"978-{_number(rng, 1)}-{_number(rng, 2)}-{_number(rng, 6)}-{_number(rng, 1)}",
+                f"{_number(rng, 2)}.{_number(rng, 4)}, {_number(rng, 1)}.{_number(rng, 4)}",
+                f"{_number(rng, 3)}-{_number(rng, 2)}",
+                f"#{_number(rng, 7)}",
+                f"{_word(rng)}-{_number(rng, 4)}-{_number(rng, 4)}",
+                f"{year}-{rng.integers(10, 13)}-{rng.integers(10, 29)}T{rng.integers(10, 23)}:{rng.integers(10, 59)}:{rng.integers(10, 59)}",
+                f"{_number(rng, 3)},{_number(rng, 3)}.{_number(rng, 2)}",
+                f"{_number(rng, 2)}%",
+                f"{rng.integers(1, 9)}-{rng.integers(1, 9)}",
             )
             text, kind = shapes[int(rng.integers(0, len(shapes)))], -1
         if kind >= 0:
             entities.append((kind, text))
         parts.append(text + (",", ".", "", "", "")[int(rng.integers(0, 5))])
-    if any(k == 3 for k, _ in entities) and rng.random() < 0.3:
-        before = "tel"
+    if any(k == 3 for k, _ in entities) and rng.random() < 0.35:
+        before = _CUES[int(rng.integers(0, len(_CUES)))]
     return before, " ".join(parts), entities
 
 
 @functools.lru_cache(maxsize=2)
-def train(examples: int = 1000, epochs: int = 8, seed: int = 7) -> np.ndarray:
+def train(examples: int = 2000, epochs: int = 5, seed: int = 7) -> np.ndarray:
     """Weights (feature bucket, kind), by AdaGrad on the conditional log-likelihood."""
     rng = np.random.default_rng(seed)
     data = []
@@ -317,8 +368,6 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
     out: list[Span] = []
     taken = sorted((s, e) for _, s, e in base)
     for m in _ISLAND.finditer(text):
-        if m.end() - m.start() < 7:
-            continue
         lo = m.start()
         before = text[max(0, lo - 24) : lo].split()
         word = before[-1].strip(".:,;()").lower() if before else ""
@@ -329,8 +378,6 @@ def added_spans(text: str, base: list[Span], weights: np.ndarray) -> list[Span]:
                 edges += [max(s, lo), min(e, m.end())]
         edges.append(m.end())
         for a, b in zip(edges[::2], edges[1::2], strict=True):
-            if b - a < 7:
-                continue
             atoms = _ATOM.findall(text[a:b])
             at = np.concatenate([[0], np.cumsum([len(x) for x in atoms])]) + a
             for kind, i, j, score in decode(atoms, word, weights):
