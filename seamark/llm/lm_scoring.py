@@ -6,41 +6,49 @@ then member) gives the probability of the word's id. A document's score is the
 sum of its words' conditional log-probabilities.
 
 Vocabulary: the words of all documents are counted; the most frequent have ids
-of their own and the others share hashed ids, the buckets. The counts stay
-distributed: a word of a bucket has the probability of the bucket times its
-share of the bucket's words, which a join on the word adds. Training: in each
-of ``ROUNDS`` rounds the tasks run AdaGrad from the same start over the words
-of the round's documents, and their weights and sums of squares, weighted by
-their words, are averaged in a tree of sums, written, and start the next round.
-Every document is in one round. Partitions are merged until a task has
-``TASK_WORDS`` words a round on average. The network has a fixed size.
+of their own and the others share hashed ids, the buckets. A word of a bucket
+has the probability of the bucket times its share of the bucket's words. The
+shares of up to ``KNOWN`` words, the more frequent ones, go to the tasks with
+the network; those of all others stay distributed and are added by a join on
+the word.
+
+Training: a hash of id and text gives every document its round, one of
+``ROUNDS``, and its slice, which has ``TASK_WORDS`` words on average. In each
+round AdaGrad runs over every slice from the same start, the documents in the
+order of their hashes, and the weights and sums of squares, weighted by words,
+are averaged in a tree of sums and start the next round. So the network depends
+on the documents alone, not on how they are dealt to tasks. It has a fixed size.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.llm import merge
-from seamark.llm.scratch import discard
+from seamark.llm.scratch import discard, materialize, passing
 from seamark.llm.words import word_hashes
 
 GROUPS = 32
 WORDS = GROUPS * GROUPS
 #: Words with ids of their own; the other ids are hashed.
-FREQUENT = WORDS // 2
+FREQUENT = WORDS - 128
+#: Other words whose shares are broadcast, at most: 16 bytes each.
+KNOWN = 200_000
 WIDTH = 16
 OFFSETS = (-2, -1, 1, 2)
 BATCH = 4096
 RATE = 0.3
 #: Averaging rounds; each has its share of the documents.
 ROUNDS = 4
-#: Words that a task has in a round, on average and at least.
+#: Words that are gathered before they are learned.
+CHUNK = 16 * BATCH
+#: Words of a slice on average.
 TASK_WORDS = 250_000
 
 _SHAPES = {"embed": (len(OFFSETS), WORDS + 1, WIDTH), "bias": (WIDTH,), "group": (WIDTH, GROUPS), "group_bias": (GROUPS,), "member": (GROUPS, WIDTH, GROUPS), "member_bias": (GROUPS, GROUPS)}
@@ -180,76 +188,97 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(rows, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def shares_of_buckets(counts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``word``, ``share``: the log of each other word's part of its bucket's words. Only the totals of the buckets are gathered."""
+def _bucket_rows(counts: DataFrame, frequent: np.ndarray) -> DataFrame:
+    """``word``, ``n``, ``bucket`` of the words that have no ids of their own."""
     known = counts.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT numbers at most
 
     def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = ids_of(words.view(np.uint64), known.value).astype(np.int32)
             rest = ~np.isin(words.view(np.uint64), known.value)
-            yield pa.RecordBatch.from_arrays([pa.array(words[rest]), pa.array(batch.column(1).to_numpy(zero_copy_only=False)[rest]), pa.array(ids[rest])], ["word", "n", "bucket"])
+            ids = ids_of(words.view(np.uint64)[rest], known.value).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(words[rest]), pa.array(batch.column(1).to_numpy(zero_copy_only=False)[rest]), pa.array(ids)], ["word", "n", "bucket"])
 
-    rest = counts.select("word", "n").mapInArrow(buckets, "word long, n long, bucket int")
-    totals = rest.groupBy("bucket").agg(F.sum("n").alias("total"))
-    return rest.join(F.broadcast(totals), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("share"))
+    return counts.select("word", "n").mapInArrow(buckets, "word long, n long, bucket int")
 
 
-def rare_words(docs: DataFrame, frequent: np.ndarray, row_col: str, text_col: str) -> DataFrame:
-    """``row``, ``word``, ``n``: the distinct words of each row that have no ids of their own."""
-    known = docs.sparkSession.sparkContext.broadcast(np.sort(frequent))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            numbers = batch.column(0).to_numpy(zero_copy_only=False)
-            for first, hashes, before in word_hashes(batch.column(1)):
-                text = np.repeat(np.arange(len(before) - 1), np.diff(before))
-                rest = ~np.isin(hashes, known.value)
-                text, hashes = text[rest], hashes[rest]
-                by = np.lexsort((hashes, text))
-                text, hashes = text[by], hashes[by]
-                new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (hashes[1:] != hashes[:-1])]) if len(text) else np.zeros(0, int)
-                n = np.diff(np.append(new, len(text)))
-                yield pa.RecordBatch.from_arrays([pa.array(numbers[first + text[new]]), pa.array(hashes[new].view(np.int64)), pa.array(n.astype(np.int32))], ["row", "word", "n"])
-
-    return docs.select(row_col, text_col).mapInArrow(rows, "row long, word long, n int")
+def known_from(counts: DataFrame, most: int) -> int:
+    """The smallest power of two such that no more than ``most`` words are counted as often."""
+    levels = counts.groupBy(F.floor(F.log2("n")).alias("level")).agg(F.count("*").alias("words")).collect()  # 64 rows at most
+    level, total = 64, 0
+    for r in sorted(levels, key=lambda r: -r["level"]):
+        total += r["words"]
+        if total > most:
+            break
+        level = r["level"]
+    return 1 << min(level, 62)
 
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, WindowNetwork, DataFrame]:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, WindowNetwork, DataFrame]:
     """The frequent words, the network and the counts of all words, from all documents."""
     spark = docs.sparkSession
-    counts = merge.materialize(count_words(docs, text_col), "lm-counts")
+    counts = materialize(count_words(docs, text_col), "lm-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
     frequent = np.array([r["word"] for r in top], np.int64).view(np.uint64)
     shared = spark.sparkContext.broadcast(frequent)
+    slices = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // ROUNDS // TASK_WORDS)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, hashes, before in word_hashes(batch.column(1)):
+                raw, bounds = ids_of(hashes, shared.value).tobytes(), (2 * before).tolist()
+                ids = pa.array([raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(ids)), ids], ["hash", "ids"])
+
+    # by a hash of id and text, so that copies of a text spread over the slices
+    named = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("hash"), F.col(text_col))
+    words = named.mapInArrow(encoded, "hash long, ids binary").where(F.length("ids") > 0)
+    place = F.pmod(F.xxhash64("hash"), F.lit(ROUNDS * slices))
+    words = materialize(words.select("hash", "ids", F.pmod(place, F.lit(ROUNDS)).cast("int").alias("round"), F.floor(place / ROUNDS).alias("slice")), "lm-words")
     network = WindowNetwork.start()
-    n_words = counts.agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, n_words // ROUNDS // TASK_WORDS)
     for turn in range(ROUNDS):
         begin = spark.sparkContext.broadcast(network)
 
         def rows(batches: Iterator[pa.RecordBatch], begin=begin) -> Iterator[pa.RecordBatch]:
-            network, total = begin.value.copy(), 0
-            for batch in batches:
-                for _, hashes, before in word_hashes(batch.column(0)):
-                    words = ids_of(hashes, shared.value)
-                    network.learn(words, windows(words, before))
-                    total += len(words)
-            if total:
-                part, chunk, payload = zip(*merge.to_rows(TaskContext.get().partitionId(), np.append(network.flat() * total, float(total)), 1 << 14), strict=True)
+            for part, texts in _by_slice(batches):
+                network, total = begin.value.copy(), 0
+                for ids, before in _chunks(texts):
+                    network.learn(ids, windows(ids, before))
+                    total += len(ids)
+                part, chunk, payload = zip(*merge.to_rows(part, np.append(network.flat() * total, float(total)), 1 << 14), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(chunk, pa.int32()), pa.array(payload, pa.binary())], ["part", "chunk", "payload"])
 
-        # by a hash of the text, so that each document has its round however the scan deals it
-        own = docs.select(text_col).where(F.pmod(F.xxhash64(text_col), F.lit(ROUNDS)) == turn)
-        written = merge.materialize(own.coalesce(tasks).mapInArrow(rows, merge.SCHEMA), "lm-weights")
+        own = words.where(F.col("round") == turn).select("slice", "hash", "ids").repartition(slices, "slice").sortWithinPartitions("slice", "hash", "ids")
+        written = materialize(own.mapInArrow(rows, merge.SCHEMA), "lm-weights")
         total = merge.tree_sum(written, "f8")
         if total is not None:
             network = WindowNetwork.from_flat(total[:-1] / total[-1])
         discard(written)
+    discard(words)
     return frequent, network, counts
 
 
+def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[bytes]]]:
+    """The texts of each slice, from rows in the order of slices; one batch is held."""
+    texts = ((s, ids) for batch in batches for s, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
+    for part, group in itertools.groupby(texts, key=lambda x: x[0]):
+        yield part, (ids for _, ids in group)
+
+
+def _chunks(texts: Iterator[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Whole texts of ``CHUNK`` words together, the last ones less: ids, and where each text begins."""
+    held: list[np.ndarray] = []
+    size = 0
+    for raw in texts:
+        held.append(np.frombuffer(raw, np.uint16))
+        size += len(held[-1])
+        if size >= CHUNK:
+            yield np.concatenate(held), np.concatenate([[0], np.cumsum([len(h) for h in held])])
+            held, size = [], 0
+    if held:
+        yield np.concatenate(held), np.concatenate([[0], np.cumsum([len(h) for h in held])])
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``log_likelihood`` (sum), ``mean_log_likelihood`` (null without words).
 
@@ -259,28 +288,43 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     gives an empty result.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
-    frequent, network, counts = train(docs, text_col)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, network.w))  # fixed size
-    # rows are numbered as the scan deals them, which is stable for a table of files
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, weights = shared.value
-        own = WindowNetwork(weights)
-        for batch in batches:
-            n_words, sums = [], []
-            for _, hashes, before in word_hashes(batch.column(2)):
-                words = ids_of(hashes, known)
-                logp = np.concatenate([[0.0], np.cumsum(own.score(words, windows(words, before)).astype(np.float64))])
-                n_words.append(np.diff(before))
-                sums.append(logp[before[1:]] - logp[before[:-1]])
-            n = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
-            s = np.concatenate(sums) if sums else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(s)], ["row", "doc_id", "n_words", "s"])
-
-    scored = numbered.mapInArrow(rows, f"row long, doc_id {id_type}, n_words long, s double")
-    shares = shares_of_buckets(counts, frequent)
-    within = rare_words(numbered, frequent, "row", "text").join(shares, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("within"))
+    spark = docs.sparkSession
+    with passing() as keep:
+        frequent, network, counts = train(docs, id_col, text_col)
+        rest = materialize(_bucket_rows(counts, frequent), "lm-buckets")
+        totals = {r["bucket"]: r["total"] for r in rest.groupBy("bucket").agg(F.sum("n").alias("total")).collect()}  # WORDS - FREQUENT rows at most
+        least = known_from(rest, KNOWN)
+        known = rest.where(F.col("n") >= least).select("word", "n", "bucket").toPandas().sort_values("word")  # KNOWN rows at most
+        shares = np.log(known["n"].to_numpy(np.float64) / known["bucket"].map(totals).to_numpy(np.float64)) if len(known) else np.zeros(0)
+        shared = spark.sparkContext.broadcast((frequent, network.w, known["word"].to_numpy(np.int64), shares))  # bounded by KNOWN and the network's size
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            frequent, weights, known, shares = shared.value
+            own = WindowNetwork(weights)
+            for batch in batches:
+                for row, hashes, before in word_hashes(batch.column(2)):
+                    words = ids_of(hashes, frequent)
+                    logp = own.score(words, windows(words, before)).astype(np.float64)
+                    rare = np.flatnonzero(words >= FREQUENT)
+                    own_hash = hashes[rare].view(np.int64)
+                    at = np.minimum(np.searchsorted(known, own_hash), max(0, len(known) - 1))
+                    hit = known[at] == own_hash if len(known) else np.zeros(len(rare), bool)
+                    logp[rare[hit]] += shares[at[hit]]
+                    upto = np.concatenate([[0.0], np.cumsum(logp)])
+                    left = rare[~hit]
+                    cut = np.searchsorted(left, before)
+                    others = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(hashes[left].view(np.int64)))
+                    n = len(before) - 1
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.diff(before).astype(np.int64)), pa.array(upto[before[1:]] - upto[before[:-1]]), others], ["row", "doc_id", "n_words", "s", "others"]
+                    )
+
+        numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        scored = keep(materialize(numbered.mapInArrow(rows, f"row long, doc_id {id_type}, n_words long, s double, others array<long>"), "lm-scored"))
+        sums = spark.createDataFrame([(int(b), int(t)) for b, t in totals.items()], "bucket int, total long")
+        shares_of_others = rest.where(F.col("n") < least).join(F.broadcast(sums), "bucket").select("word", F.log(F.col("n") / F.col("total")).alias("share"))
+        words = scored.select("row", F.explode("others").alias("word")).groupBy("row", "word").agg(F.count("*").alias("n"))
+        within = keep(materialize(words.join(shares_of_others, "word").groupBy("row").agg(F.sum(F.col("n") * F.col("share")).alias("within")), "lm-within"))
     total = F.col("s") + F.coalesce("within", F.lit(0.0))
     return scored.join(within, "row", "left").select(
         "doc_id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_likelihood")

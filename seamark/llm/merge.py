@@ -31,7 +31,7 @@ def tree_sum(rows: DataFrame, dtype: str, fan: int = 64, most: int | None = None
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
         total = None
-        for p in group["payload"]:
+        for p in sorted(group["payload"]):  # in an order that no shuffle changes
             v = np.frombuffer(zlib.decompress(p), dtype)
             total = v.copy() if total is None else total + v
         if most is not None and width == 1:

@@ -666,7 +666,7 @@ def test_lm_rows(spark):
         assert (r.n_words == 0) == (r.mean_log_likelihood is None) and r.log_likelihood <= 0
 
 
-def test_lm_gives_every_word_its_own_probability(spark):
+def test_lm_gives_every_word_its_own_probability(spark, monkeypatch):
     """Two texts that differ in words of one bucket: the difference is the log of their counts; shares of a bucket add to 1."""
     from seamark.llm.words import word_hashes
 
@@ -680,9 +680,51 @@ def test_lm_gives_every_word_its_own_probability(spark):
     got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs).collect()}
     assert abs(got[2] - got[1] - np.log(20)) < 1e-3
     frequent, _, counts = lm_scoring.train(docs)
-    shares = lm_scoring.shares_of_buckets(counts, frequent)
-    total = sum(np.exp(r.share) for r in shares.collect())
-    assert abs(total - 1) < 1e-9
+    rest = lm_scoring._bucket_rows(counts, frequent).collect()
+    assert sum(r.n for r in rest) == 1 + 20 and {r.bucket for r in rest} == {int(lm_scoring.ids_of(h[[a]], frequent)[0])}
+    # with no word's share broadcast all come by the join
+    monkeypatch.setattr(lm_scoring, "KNOWN", 0)
+    again = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs).collect()}
+    assert all(abs(again[i] - got[i]) < 1e-3 for i in got)
+
+
+def test_lm_does_not_depend_on_partitions(spark, small, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "TASK_WORDS", 4000)
+    docs = documents(spark, small)
+    one = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs.coalesce(1)).collect()}
+    many = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs.repartition(16)).collect()}
+    assert one.keys() == many.keys() and all(abs(one[i] - many[i]) <= 1e-4 * abs(one[i]) + 1e-6 for i in one)
+
+
+def test_lm_score_against_a_plain_loop(spark):
+    """Every word's probability by sums over all ids, one word at a time."""
+    from seamark.llm.words import word_hashes
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{int(x) ** 2 % 3001}" for x in rng.integers(0, 3000, 60)), "", "") for i in range(40)]
+    docs = docs_of(spark, rows)
+    frequent, network, counts = lm_scoring.train(docs)
+    n = {r.word: r.n for r in counts.collect()}
+    totals = Counter()
+    for r in lm_scoring._bucket_rows(counts, frequent).collect():
+        totals[r.bucket] += r.n
+    w, groups = {k: v.astype(np.float64) for k, v in network.w.items()}, lm_scoring.GROUPS
+    got = {r.doc_id: r.log_likelihood for r in lm_scoring.score(docs).collect()}
+    for i, text, *_ in rows:
+        ((_, hashes, _),) = word_hashes(pa.array([text]))
+        ids, want = lm_scoring.ids_of(hashes, frequent).astype(int), 0.0
+        for at, word in enumerate(ids):
+            z = w["bias"].copy()
+            for k, o in enumerate(lm_scoring.OFFSETS):
+                if 0 <= at + o < len(ids):
+                    z += w["embed"][k][ids[at + o]]
+            h = np.tanh(z)
+            p = np.exp(h @ w["group"] + w["group_bias"])
+            q = np.exp(h @ w["member"][word // groups] + w["member_bias"][word // groups])
+            want += np.log(p[word // groups] / p.sum()) + np.log(q[word % groups] / q.sum())
+            if word >= lm_scoring.FREQUENT:
+                want += np.log(n[int(hashes[at].view(np.int64))] / totals[word])
+        assert abs(got[i] - want) < 1e-3 * abs(want)
 
 
 def test_lm_rounds_carry_weights_and_squares():
