@@ -6,24 +6,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seamark.llm.scratch import materialize
+from seamark.llm.skew import join_groups
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``k``, ``lab``: every node of ``edges`` (``a``, ``b``) with the smallest node it reaches.
 
     Each round takes the smallest label among the neighbours, then the label
-    of the label, until nothing changes. Hubs are aggregated map-side; nothing
-    is collected but one count a round.
+    of the label, until nothing changes. Neighbours are aggregated map-side;
+    the rows of a node with a great part of the edges, or of a label with a
+    great part of the nodes, stay where they are (``join_groups``). Nothing is
+    collected but counts.
     """
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "cc-edges")
-    state = materialize(both.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")).select("k", F.least("k", "m").alias("lab")), "cc-labels")
+    degrees = materialize(both.groupBy(F.col("a").alias("b")).agg(F.count("*").alias("c"), F.min("b").alias("m")), "cc-degrees")
+    n_edges, n_nodes = both.count(), degrees.count()
+    state = degrees.select(F.col("b").alias("k"), F.least("b", "m").alias("lab"), F.lit(None).cast("long").alias("was"))
     while True:
-        near = both.join(state, both["b"] == state["k"]).groupBy("a").agg(F.min("lab").alias("near"))
-        lower = state.join(near, state["k"] == near["a"], "left").select("k", F.col("lab").alias("was"), F.least("lab", "near").alias("lab"))
-        target = state.select(F.col("k").alias("t"), F.col("lab").alias("t_lab"))
-        new = lower.join(target, lower["lab"] == target["t"], "left").select("k", "was", F.least("lab", F.coalesce("t_lab", "lab")).alias("lab"))
-        new = materialize(new, "cc-labels")
+        labels = state.select(F.col("k").alias("b"), "lab").join(degrees.select("b", "c"), "b")
+        near = join_groups(both, labels, ["b"], "c", n_edges, inner=True).groupBy(F.col("a").alias("k")).agg(F.min("lab").alias("near"))
+        lower = state.select("k", F.col("lab").alias("was")).join(near, "k").select("k", "was", F.least("was", "near").alias("via"))
+        # a label is a node itself: its own label may be lower still
+        held = lower.groupBy("via").agg(F.count("*").alias("c")).join(state.select(F.col("k").alias("via"), F.col("lab").alias("next")), "via")
+        new = materialize(join_groups(lower, held, ["via"], "c", n_nodes, inner=True).select("k", F.least("via", "next").alias("lab"), "was"), "cc-labels")
         moved = new.where("lab <> was").count()
-        state = new.select("k", "lab")
+        state = new
         if not moved:
-            return state
+            return state.select("k", "lab")
