@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from seamark.llm.scratch import materialize
 from seamark.llm.skew import join_groups
 
+#: Narrow rows that one task may take of a node or a label.
+HOT_ROWS = 50_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``k``, ``lab``: every node of ``edges`` (``a``, ``b``) with the smallest node it reaches.
@@ -24,11 +27,11 @@ def components(edges: DataFrame) -> DataFrame:
     state = degrees.select(F.col("b").alias("k"), F.least("b", "m").alias("lab"), F.lit(None).cast("long").alias("was"))
     while True:
         labels = state.select(F.col("k").alias("b"), "lab").join(degrees.select("b", "c"), "b")
-        near = join_groups(both, labels, ["b"], "c", n_edges, inner=True).groupBy(F.col("a").alias("k")).agg(F.min("lab").alias("near"))
+        near = join_groups(both, labels, ["b"], "c", n_edges, True, HOT_ROWS).groupBy(F.col("a").alias("k")).agg(F.min("lab").alias("near"))
         lower = state.select("k", F.col("lab").alias("was")).join(near, "k").select("k", "was", F.least("was", "near").alias("via"))
         # a label is a node itself: its own label may be lower still
         held = lower.groupBy("via").agg(F.count("*").alias("c")).join(state.select(F.col("k").alias("via"), F.col("lab").alias("next")), "via")
-        new = materialize(join_groups(lower, held, ["via"], "c", n_nodes, inner=True).select("k", F.least("via", "next").alias("lab"), "was"), "cc-labels")
+        new = materialize(join_groups(lower, held, ["via"], "c", n_nodes, True, HOT_ROWS).select("k", F.least("via", "next").alias("lab"), "was"), "cc-labels")
         moved = new.where("lab <> was").count()
         state = new
         if not moved:

@@ -2,14 +2,15 @@
 
 Two texts are equal when they are identical after the ASCII white space
 ``[\\x20\\x09-\\x0D]`` is deleted. Rows are grouped by the 128-bit MD5 of that
-normal form; inside each group of two or more the bytes of every member are
-compared with those of the group's leader, and members that differ (a hash
-collision) are regrouped by their SHA-256.
-
-Rows are numbered and written once, and matched by that number. Groups with
-much of the table are broadcast in joins of narrow rows, and a leader's text
-goes to its members in portions of ``PORTION`` rows, so no key gathers a large
-group in one task.
+normal form; inside each group of two or more the bytes of all members are
+compared, and a group whose members differ (a hash collision) is regrouped by
+SHA-256.
+
+Nothing depends on how a plan deals its rows: rows are told apart by hash,
+length and id, and only the narrow digests are numbered. Groups with much of
+the table stay where they are in joins (see ``join_groups``), and bytes are
+compared by the least and the greatest text of a group, which tasks find for
+their own rows first.
 """
 
 from __future__ import annotations
@@ -17,11 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seamark.llm.scratch import discard, materialize, numbered, passing
+from seamark.llm.scratch import materialize, numbered, passing
 from seamark.llm.skew import join_groups
 
-#: Members of a group that meet a copy of their leader's text in one place.
-PORTION = 1000
 ASCII_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
@@ -33,52 +32,36 @@ def without_space(text: Column) -> Column:
     return out
 
 
-def _digests(text: Column, hash_fn) -> list[Column]:
+def _digests(docs: DataFrame, id_col: str, text_col: str, hash_fn) -> DataFrame:
+    """``_row``, ``_id``, ``_len``, ``_hash``, ``_sha`` of every row, written."""
+    text = F.col(text_col)
     norm = without_space(text)
-    return [F.length(F.coalesce(text, F.lit(""))).cast("long").alias("_len"), hash_fn(norm).alias("_hash"), F.sha2(norm, 256).alias("_sha")]
-
-
-def _order() -> Column:
-    """Who stays: the longest original, then the smallest id (null last), then the first row."""
-    return F.struct((-F.col("_len")).alias("l"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"))
-
-
-def _grouped(rows: DataFrame, keys: list[str], label: str) -> tuple[DataFrame, int]:
-    """The groups of two or more rows: keys, ``_size``, ``_best``; and the number of all rows."""
-    groups = rows.groupBy(*keys).agg(F.count("*").alias("_size"), F.min(_order()).alias("_best")).where("_size > 1")
-    return materialize(groups, label), rows.count()
-
+    return numbered(docs, [F.col(id_col).alias("_id"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("_len"), hash_fn(norm).alias("_hash"), F.sha2(norm, 256).alias("_sha")], "exact-digests")
 
-def _collided(table: DataFrame, keyed: DataFrame, norm: Column) -> DataFrame:
-    """``_row``, ``_hash`` of the members whose bytes are not their leader's."""
-    several = keyed.where("_size > 1")
-    lead, salts = F.col("_best.r"), F.ceil(F.col("_size") / PORTION).cast("int")
-    wanted = several.select("_row", "_hash", lead.alias("_lead"), F.pmod(F.xxhash64("_row"), salts).cast("int").alias("_salt"), salts.alias("_salts"))
-    texts = materialize(table.select("_row", norm.alias("_norm")).join(wanted, "_row"), "exact-texts")
-    leaders = texts.where("_row = _lead").select("_lead", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt"), F.col("_norm").alias("_lead_norm"))
-    met = texts.where("_row <> _lead").join(leaders, ["_lead", "_salt"])
-    out = materialize(met.where("_norm <> _lead_norm").select("_row", "_hash"), "exact-collisions")
-    discard(texts)
-    return out
-
-
-def _classify(table: DataFrame, norm: Column) -> DataFrame:
-    """``_row``, ``_id``, ``_sha``, ``_size`` and ``_best`` (both null for a text that stands alone) of every row of ``table``."""
-    narrow = table.select("_row", "_id", "_len", "_hash", "_sha")
-    groups, total = _grouped(narrow, ["_hash"], "exact-groups")
-    keyed = materialize(join_groups(narrow, groups, ["_hash"], "_size", total), "exact-keyed")
-    other = _collided(table, keyed, norm)
-    if not other.isEmpty():
-        # texts of one hash that differ: these hashes alone are grouped again, by SHA-256
-        mixed = keyed.join(other.select("_hash").distinct(), "_hash", "left_semi").drop("_size", "_best")
-        again, total = _grouped(mixed, ["_hash", "_sha"], "exact-groups")
-        regrouped = join_groups(mixed, again, ["_hash", "_sha"], "_size", total)
-        keyed = keyed.join(other.select("_hash").distinct(), "_hash", "left_anti").unionByName(regrouped)
-    return keyed
 
+def _groups(digests: DataFrame, keys: list[str]) -> DataFrame:
+    """Groups of two or more rows: ``keys``, ``_size``, the length ``_l``, id ``_i`` and row ``_r`` of the row that stays, and how many rows share that length and id.
 
-def _stays() -> Column:
-    return F.coalesce(F.col("_row") == F.col("_best.r"), F.lit(True))
+    The longest original stays, then the smallest id (null last), then the first row.
+    """
+    same = digests.groupBy(*keys, "_len", "_id").agg(F.count("*").alias("_n"), F.min("_row").alias("_row"))
+    order = F.struct((-F.col("_len")).alias("l"), F.col("_id").isNull().alias("n"), F.col("_id").alias("i"), F.col("_row").alias("r"), F.col("_n").alias("c"))
+    best = same.groupBy(*keys).agg(F.sum("_n").alias("_size"), F.min(order).alias("_b")).where("_size > 1")
+    return best.select(*keys, "_size", (-F.col("_b.l")).alias("_l"), F.col("_b.i").alias("_i"), F.col("_b.r").alias("_r"), F.col("_b.c").alias("_ties"))
+
+
+def _checked_groups(docs: DataFrame, digests: DataFrame, text_col: str, hash_fn) -> tuple[DataFrame, list[str], int]:
+    """The groups with their bytes compared, the columns that name them, and the number of all rows."""
+    groups, total = materialize(_groups(digests, ["_hash"]), "exact-groups"), digests.count()
+    norm = without_space(F.col(text_col))
+    texts = docs.select(hash_fn(norm).alias("_hash"), norm.alias("_norm"))
+    met = join_groups(texts, groups.select("_hash", "_size"), ["_hash"], "_size", total, inner=True)
+    ends = met.groupBy("_hash").agg(F.min("_norm").alias("least"), F.max("_norm").alias("greatest"))
+    mixed = materialize(ends.where("least <> greatest").select("_hash"), "exact-collisions")
+    if mixed.isEmpty():
+        return groups, ["_hash"], total
+    # hashes that stand for different texts: all groups are named by both digests
+    return materialize(_groups(digests, ["_hash", "_sha"]), "exact-groups"), ["_hash", "_sha"], total
 
 
 def classify_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_fn=F.md5) -> DataFrame:
@@ -91,15 +74,15 @@ def classify_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     so their names cannot clash. ``hash_fn`` is the grouping hash and can be
     weakened in tests.
     """
-    text = F.col(text_col)
     with passing() as keep:
-        table = numbered(docs, [F.col(id_col).alias("_id"), *_digests(text, hash_fn), without_space(text).alias("_norm")], "exact-texts")
-        keyed = keep(materialize(_classify(table, F.col("_norm")), "exact-classes"))
-    return keyed.select(
+        digests = keep(_digests(docs, id_col, text_col, hash_fn))
+        groups, keys, total = _checked_groups(docs, digests, text_col, hash_fn)
+        keep(groups)
+    return join_groups(digests, groups, keys, "_size", total).select(
         F.col("_id").alias(id_col),
-        F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_best.i")).alias("keep_id"),
+        F.when(F.col("_size").isNull(), F.col("_id")).otherwise(F.col("_i")).alias("keep_id"),
         F.coalesce("_size", F.lit(1).cast("long")).alias("group_size"),
-        _stays().alias("kept"),
+        F.coalesce(F.col("_row") == F.col("_r"), F.lit(True)).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
 
@@ -108,13 +91,21 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, with the columns of ``docs``.
 
     Exactly one row of every group of equal texts stays, chosen as in
-    ``classify_copies``; null and empty texts are one group. Rows that repeat
-    in every column are one group too. ``docs`` may be any plan: it is read
-    once. An empty table gives an empty result, and no column name can clash.
+    ``classify_copies``; null and empty texts are one group. Of rows that
+    agree in text, length and id, repeated ones too, any one stays. ``docs``
+    may be any plan that gives the same rows whenever it is read, dealt in
+    whatever way. An empty table gives an empty result, and no column name can
+    clash.
     """
     with passing() as keep:
-        # rows travel as one struct, so that no name of theirs can clash
-        table = keep(numbered(docs, [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(id_col).alias("_id"), *_digests(F.col(text_col), hash_fn)], "exact-rows"))
-        norm = without_space(F.col("_doc").getField(text_col))
-        gone = keep(materialize(_classify(table, norm).where(~_stays()).select("_row"), "exact-gone"))
-    return table.join(gone, "_row", "left_anti").select("_doc.*")
+        groups, keys, total = _checked_groups(docs, _digests(docs, id_col, text_col, hash_fn), text_col, hash_fn)
+        keep(groups)
+    # rows travel as one struct, so that no name of theirs can clash
+    text = F.col(text_col)
+    digest = {"_hash": hash_fn(without_space(text)), "_sha": F.sha2(without_space(text), 256)}
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("_len"), F.col(id_col).alias("_id"), *[digest[k].alias(k) for k in keys])
+    best = join_groups(rows, groups, keys, "_size", total).where(F.col("_size").isNull() | ((F.col("_len") == F.col("_l")) & F.col("_id").eqNullSafe(F.col("_i"))))
+    if groups.where("_ties > 1").isEmpty():
+        return best.select("_doc.*")
+    one = best.where("_ties > 1").dropDuplicates(keys)
+    return best.where("_ties is null or _ties = 1").unionByName(one).select("_doc.*")

@@ -15,8 +15,8 @@ Rates become whole copies by systematic rounding along the cells, the pairs
 (source, size): the copies of a cell are the increase of the floor of the
 running sum of rates. Inside a cell, where all rates are equal, every document
 has the same number of copies or one more, and those with one more are the
-first by a hash of the id. The error of a source telescopes to less than its
-largest document. Everything is DataFrame code.
+first by a hash of the id. Rows that agree in id and text are taken alike. But
+for these, the error of a source telescopes to less than its largest document. Everything is DataFrame code.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seamark.llm.scratch import materialize, numbered, passing
+from seamark.llm.scratch import materialize, passing
 
 #: Cells are broadcast up to this many; beyond it they are joined by a shuffle.
 MOST_CELLS = 200_000
@@ -169,12 +169,12 @@ def _last_with_extra(rows: DataFrame, cells: DataFrame) -> DataFrame:
 
 def _key() -> Column:
     """Order of the rows of a cell: by a hash first, so that ids of one range are not all taken."""
-    return F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("i"), F.col("_row").alias("r"))
+    return F.struct(F.xxhash64("doc_id").alias("h"), F.col("doc_id").alias("i"), F.col("mark").alias("m"))
 
 
 def _cells(rows: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     """Per source and size: ``_src``, ``_size``, ``source_size``, ``target``, ``base`` and ``last`` (see ``_cell_copies``, ``_last_with_extra``)."""
-    narrow = rows.select("_row", "doc_id", "source", "size")
+    narrow = rows.select("doc_id", "source", "size", "mark")
     sources = materialize(source_targets(narrow, weights, cap), "mix-targets").withColumnRenamed("source", "_src")
     sized = narrow.groupBy("source", "size").agg(F.count("*").alias("n"))
     cells = materialize(sized.join(sources, F.col("source").eqNullSafe(F.col("_src"))).select("source", "sid", "size", "n", "source_size", "target"), "mix-cells")
@@ -201,7 +201,7 @@ def _with_copies(rows: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def _sized(id_col: str, text_col: str, source_col: str) -> list[Column]:
-    return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")]
+    return [F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("mark")]
 
 
 def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -210,11 +210,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, id_co
     A document's size is its number of words. No document is taken more than
     ``cap`` times. A null source is a source of its own, a null text has size
     0, and an empty document is taken 0 words. A source without words has
-    target 0. Repeated rows count one by one. An empty table gives an empty
+    target 0. Repeated rows count one by one and are taken alike. An empty table gives an empty
     result; other columns are not read.
     """
     with passing() as keep:
-        rows = keep(numbered(docs, _sized(id_col, text_col, source_col), "mix-sizes"))
+        rows = keep(materialize(docs.select(*_sized(id_col, text_col, source_col)), "mix-sizes"))
         cells = keep(_cells(rows, weights, cap))
     return _with_copies(rows, cells).select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
 
@@ -224,13 +224,13 @@ def repeat_to_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int
 
     Rows that are taken 0 times go, so a document without words goes. Null
     ids, texts and sources count as in ``mix``; equal rows are repeated one by
-    one. ``docs`` may be any plan: it is read once. An empty table gives an
-    empty result, and no column name can clash.
+    one. ``docs`` may be any plan that gives the same rows whenever it is read,
+    dealt in whatever way. An empty table gives an empty result, and no column
+    name can clash.
     """
-    # rows travel as one struct, so that no name of theirs can clash
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     with passing() as keep:
-        rows = keep(numbered(docs, [whole, *_sized(id_col, text_col, source_col)], "mix-rows"))
-        cells = keep(_cells(rows, weights, cap))
+        cells = keep(_cells(materialize(docs.select(*_sized(id_col, text_col, source_col)), "mix-sizes"), weights, cap))
+    # rows travel as one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), *_sized(id_col, text_col, source_col))
     taken = _with_copies(rows, cells).where("copies > 0")
     return taken.select("_doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")

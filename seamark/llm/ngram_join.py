@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from seamark.llm import merge
 from seamark.llm.components import components
-from seamark.llm.scratch import discard, materialize, numbered, passing
+from seamark.llm.scratch import discard, materialize, passing
 from seamark.llm.skew import join_groups
 from seamark.llm.words import shingle_sets
 
@@ -58,7 +58,7 @@ WANTED_BITS = 26
 #: Lists of up to this many classes give their pairs at once; longer ones go through hubs.
 SHORT_LIST = 16
 #: Hub rounds at most; lists that still mix components go to the join of all their cross pairs.
-HUB_ROUNDS = 4
+HUB_ROUNDS = 3
 
 
 def _class_of(hashes: np.ndarray) -> int:
@@ -425,21 +425,32 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: tuple[int, int]
     has null). Repeated rows are in one component. An empty table gives an
     empty result; other columns are not read.
     """
+    rows, by_class = _rows_and_components(docs, size, similarity, id_col, text_col)
+    if by_class is None:
+        return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return rows.join(by_class, "k", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component.id")).alias("component_id")
+    )
+
+
+def _rows_and_components(docs: DataFrame, size: int, similarity: tuple[int, int], id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
+    """``doc_id``, ``n``, ``k``, ``th`` and bitmaps of every row, and the component of every class (None for an empty table)."""
     num, den = similarity
     with passing() as keep:
         seen = keep(materialize(describe(docs, size, id_col, text_col), "ngram-classes"))
         rows = seen.where("chunk is null").select("doc_id", "n", "k", "th", *BITMAP, "wide")
         sketch = merge.tree_sum(seen.where("chunk is not null").select("part", "chunk", "payload"), "u8", most=2**32 - 1)
         if sketch is None:
-            return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-        by_class = keep(materialize(_component_of_class(docs, rows, sketch, size, num, den, text_col), "ngram-components"))
-    return rows.join(by_class, "k", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id")
-    )
+            return rows, None
+        return rows, keep(materialize(_component_of_class(docs, rows, sketch, size, num, den, text_col), "ngram-components"))
+
+
+def _named() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("th").alias("th"))
 
 
 def _component_of_class(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, size: int, num: int, den: int, text_col: str) -> DataFrame:
-    """``k``, ``component``: each class with the smallest id of its component."""
+    """``k``, ``component``: each class with the row of its component that has the smallest id (null last): ``none``, ``id``, ``th``."""
     frequency = docs.sparkSession.sparkContext.broadcast(sketch)  # 16 MB at any data size
     met = materialize(meetings(postings(docs, frequency, size, num, den, text_col), num, den), "ngram-met")
     per = rows.where("k is not null").groupBy("k").agg(F.min(F.struct("th", "n", *BITMAP, "wide")).alias("c"))
@@ -460,7 +471,7 @@ def _component_of_class(docs: DataFrame, rows: DataFrame, sketch: np.ndarray, si
     labels = links.labels
     if labels is None:
         labels = rows.select("k", F.col("k").alias("lab")).limit(0)
-    lows = rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("low")).join(labels, "k", "left").withColumn("lab", F.coalesce("lab", "k"))
+    lows = rows.where("k is not null").groupBy("k").agg(F.min(_named()).alias("low")).join(labels, "k", "left").withColumn("lab", F.coalesce("lab", "k"))
     lowest = lows.groupBy("lab").agg(F.min("low").alias("component"))
     return lows.join(lowest, "lab").select("k", "component")
 
@@ -470,15 +481,24 @@ def keep_one_per_group(docs: DataFrame, size: int = 5, similarity: tuple[int, in
 
     A component, as in ``near_duplicates``, keeps the row with the smallest
     id, a null id last; of rows that share it exactly one. Rows whose text has
-    no words, or is null, all stay. ``docs`` may be any plan: it is written
-    once with its rows numbered. An empty table gives an empty result, and no
-    column name can clash.
+    no words, or is null, all stay. ``docs`` may be any plan that gives the
+    same rows whenever it is read, dealt in whatever way: rows are told apart
+    by id and text. An empty table gives an empty result, and no column name
+    can clash.
     """
+    with passing() as keep:
+        rows, by_class = _rows_and_components(docs, size, similarity, id_col, text_col)
+        if by_class is None:
+            return docs
+        held = rows.join(by_class, "k").groupBy(_named().alias("own")).agg(F.count("*").alias("rows"), F.first("component").alias("component"))
+        held = held.withColumn("stays", F.col("own") == F.col("component"))
+        # of rows with one id and text one stays; all others of a component go
+        judged = keep(materialize(held.where("not stays or rows > 1").select("own.id", "own.th", "stays"), "ngram-judged"))
     # rows travel as one struct, so that no name of theirs can clash
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
-    with passing() as keep:
-        table = keep(numbered(docs, [whole, F.col(id_col).alias("_id")], "ngram-rows"))
-        named = table.select(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")).alias("doc_id"), F.col("_doc").getField(text_col).alias("text"))
-        found = near_duplicates(named, size, similarity)
-        gone = keep(materialize(found.where("component_id <> doc_id").select(F.col("doc_id.row").alias("_row")), "ngram-gone"))
-    return table.join(gone, "_row", "left_anti").select("_doc.*")
+    rows = docs.select(whole, F.col(id_col).alias("_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("_th"))
+    same = F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th"))
+    stay = rows.join(judged, same, "left_anti")
+    if not judged.where("stays").isEmpty():
+        stay = stay.unionByName(rows.join(judged.where("stays"), same, "left_semi").dropDuplicates(["_id", "_th"]))
+    return stay.select("_doc.*")

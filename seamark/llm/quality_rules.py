@@ -71,9 +71,9 @@ def _repeated_words(words: Column) -> Column:
     return _let(words, windows)
 
 
-def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` and the counts ``METRICS`` of the whole text; null counts as empty."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def metrics(text: Column) -> Column:
+    """A struct of the counts ``METRICS`` of a whole text; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda line: F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]")))
     words = F.array_remove(F.split(text, SPACE + "+"), "")
     per_words = _let(
@@ -85,31 +85,31 @@ def with_metrics(docs: DataFrame, text_col: str = "text") -> DataFrame:
         ),
     )
     per_lines = _let(lines, lambda ls: F.struct(F.size(ls).cast("long").alias("n"), (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("d")))
-    raw = docs.withColumns({
-        "_words": per_words,
-        "_lines": per_lines,
-        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
-        "n_other": F.regexp_count(text, F.lit(r"[^\p{Ll}\x20\x09-\x0D]")).cast("long"),
-    })
-    return raw.withColumns({
-        "n_words": F.col("_words.n"),
-        "word_chars": F.col("_words.c"),
-        "n_repeat_words": F.col("_words.r"),
-        "n_lines": F.col("_lines.n"),
-        "n_dup_lines": F.col("_lines.d"),
-    }).drop("_words", "_lines")
-
-
-def base_failed() -> Column:
-    n, r = F.col("n_words"), F.col("n_repeat_words")
+    raw = F.struct(
+        per_words.alias("w"),
+        per_lines.alias("l"),
+        F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("s"),
+        F.regexp_count(text, F.lit(r"[^\p{Ll}\x20\x09-\x0D]")).cast("long").alias("o"),
+    )
+
+    def named(m: Column) -> Column:
+        values = (m["w"]["n"], m["w"]["c"], m["s"], m["l"]["d"], m["w"]["r"], m["l"]["n"], m["o"])
+        return F.struct(*[v.alias(name) for name, v in zip(METRICS, values, strict=True)])
+
+    return _let(raw, named)
+
+
+def base_failed(of=F.col) -> Column:
+    """``of`` gives a count by its name."""
+    n, r = of("n_words"), of("n_repeat_words")
     return (n < 50) | (100 * r > 50 * n)
 
 
-def scores() -> dict[str, Column]:
+def scores(of=F.col) -> dict[str, Column]:
     """Score of each rule; 0 where there is nothing to measure."""
 
     def share(a: str, b: str) -> Column:
-        return F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b).cast("double")), F.lit(0.0))
+        return F.coalesce(F.try_divide(of(a).cast("double"), of(b).cast("double")), F.lit(0.0))
 
     return {
         "symbols_per_word": share("n_symbols", "n_words"),
@@ -180,19 +180,22 @@ def cutoffs(measured: DataFrame, labels: DataFrame, alpha: float, delta: float,
     return materialize(certify(holdout.join(good, F.col("doc_id") == F.col("_label_id")), alpha, delta, joint=joint), "quality-cutoffs")
 
 
-def _judged(measured: DataFrame, cuts: DataFrame, stratum_col: str) -> DataFrame:
-    """``measured`` with the cutoffs of its strata and ``_kept``."""
-    joined = measured.join(cuts.withColumnRenamed("stratum", "_stratum"), F.col(stratum_col).eqNullSafe(F.col("_stratum")), "left")
-    reject = base_failed()
-    for rule, score in scores().items():
+def _with_cutoffs(rows: DataFrame, cuts: DataFrame) -> DataFrame:
+    """``rows`` (``stratum``) with ``cut_`` columns of their stratum."""
+    return rows.join(cuts.withColumnRenamed("stratum", "_stratum"), F.col("stratum").eqNullSafe(F.col("_stratum")), "left").drop("_stratum")
+
+
+def _rejected(of=F.col) -> Column:
+    reject = base_failed(of)
+    for rule, score in scores(of).items():
         reject = reject | F.coalesce(score > F.col(f"cut_{rule}"), F.lit(False))
-    return joined.withColumn("_kept", ~reject)
+    return reject
 
 
-def _measured(docs: DataFrame, columns: list[Column], id_col: str, text_col: str, stratum_col: str) -> DataFrame:
-    """``columns``, ``doc_id``, ``stratum`` and the counts of every row, written: texts are measured once."""
-    named = docs.select(*columns, F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"))
-    return materialize(with_metrics(named).drop("text"), "quality-metrics")
+def _measured(docs: DataFrame, id_col: str, text_col: str, stratum_col: str) -> DataFrame:
+    """``doc_id``, ``stratum`` and the counts of every row, written."""
+    named = docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), metrics(F.col(text_col)).alias("m"))
+    return materialize(named.select("doc_id", "stratum", "m.*"), "quality-metrics")
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.1, joint: bool = False) -> DataFrame:
@@ -205,10 +208,10 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     labels only the base rules reject.
     """
     with passing() as keep:
-        measured = keep(_measured(docs, [], id_col, text_col, stratum_col))
+        measured = keep(_measured(docs, id_col, text_col, stratum_col))
         cuts = keep(cutoffs(measured, labels, alpha, delta, joint))
-    judged = _judged(measured, cuts, "stratum")
-    return judged.select("doc_id", *METRICS[:5], base_failed().alias("base_failed"), F.col("_kept").alias("kept"), *[f"cut_{r}" for r in CUTOFFS])
+    judged = _with_cutoffs(measured, cuts)
+    return judged.select("doc_id", *METRICS[:5], base_failed().alias("base_failed"), (~_rejected()).alias("kept"), *[f"cut_{r}" for r in CUTOFFS])
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", alpha: float = 0.02, delta: float = 0.1, joint: bool = False) -> DataFrame:
@@ -216,13 +219,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     Rows are judged as in ``judge``: a null, empty or short text goes, a null
     stratum is a stratum, a null id has no label, and rows that repeat stay or
-    go together. ``docs`` may be any plan: it is read once, and written with
-    its counts. An empty table gives an empty result, and no column name can
-    clash.
+    go together. Texts are measured twice, for the cutoffs and for the
+    verdicts, so that they are neither shuffled nor written in between. An
+    empty table gives an empty result, and no column name can clash.
     """
-    # rows travel as one struct, so that no name of theirs can clash
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
     with passing() as keep:
-        measured = keep(_measured(docs, [whole], id_col, text_col, stratum_col))
-        cuts = keep(cutoffs(measured, labels, alpha, delta, joint))
-    return _judged(measured, cuts, "stratum").where("_kept").select("_doc.*")
+        cuts = keep(cutoffs(_measured(docs, id_col, text_col, stratum_col), labels, alpha, delta, joint))
+    # rows travel as one struct, so that no name of theirs can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(stratum_col).alias("stratum"))
+    # one expression, so that a text is measured once however often a count is used
+    kept = _let(metrics(F.col("_doc").getField(text_col)), lambda m: ~_rejected(lambda name: m[name]))
+    return _with_cutoffs(rows, cuts).where(kept).select("_doc.*")

@@ -9,15 +9,18 @@ from pyspark.sql import functions as F
 HOT_ROWS, HOT_GROUPS = 1000, 1000
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, inner: bool = False) -> DataFrame:
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, inner: bool = False, hot_rows: int | None = None) -> DataFrame:
     """``rows`` with the columns of their group, null where ``groups`` has none (with ``inner``: left out).
 
     ``groups`` has one row per key, with the number of the group's rows in
     ``size``. Groups of more than ``total / HOT_GROUPS`` rows are fewer than
     ``HOT_GROUPS``, so these are broadcast and their rows stay where they are;
-    the rest is joined by a shuffle.
+    the rest is joined by a shuffle. A group is never hot with fewer rows than
+    ``hot_rows`` (``HOT_ROWS`` if not given).
     """
-    limit = max(HOT_ROWS, total // HOT_GROUPS)
+    limit = max(HOT_ROWS if hot_rows is None else hot_rows, total // HOT_GROUPS)
+    if total <= limit:  # no group can be hot
+        return rows.join(groups, keys, "inner" if inner else "left")
     hot = groups.where(F.col(size) > limit)
     stay = rows.join(F.broadcast(hot), keys)
     move = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(groups.where(F.col(size) <= limit), keys, "inner" if inner else "left")

@@ -83,14 +83,15 @@ def test_drop_copies_of_a_shuffled_plan(spark):
     assert sorted(r.doc_id for r in kept) == sorted({k for _, k, *_ in brute_copies(rows)})
 
 
-@pytest.mark.parametrize("portion, hot", [(3, 2), (1000, 1000)])
-def test_exact_dedup_of_hot_groups(spark, monkeypatch, portion, hot):
-    monkeypatch.setattr(exact_dedup, "PORTION", portion)
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_exact_dedup_of_hot_groups(spark, monkeypatch, hot):
     monkeypatch.setattr(skew, "HOT_ROWS", hot)
     rows = [(i, "the same text" if i % 3 else f"text {i % 40}", "en", "a") for i in range(400)]
     for weak in (F.md5, lambda c: F.substring(F.md5(c), 1, 1)):
         got = exact_dedup.classify_copies(docs_of(spark, rows), hash_fn=weak).collect()
         assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got), key=repr) == brute_copies(rows)
+        kept = exact_dedup.drop_copies(docs_of(spark, rows + rows).repartition(5), hash_fn=weak).collect()
+        assert sorted(r.doc_id for r in kept) == sorted({k for _, k, *_ in brute_copies(rows)})
 
 
 # --- 7 n-gram join
@@ -155,6 +156,14 @@ def test_keep_one_per_group(spark):
     assert kept == {c for _, _, c in brute_components(rows)}
 
 
+def test_keep_one_of_rows_with_one_id(spark):
+    """Rows go by id and text: of repeated rows one stays, and a text of its own stays whatever its id."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(7, a, "", ""), (7, a, "", ""), (7, b, "", ""), (3, a + " z", "", ""), (None, b, "", ""), (None, b + " y", "", ""), (8, None, "", ""), (8, None, "", "")]
+    kept = ngram_join.keep_one_per_group(docs_of(spark, rows).repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted([(3, a + " z"), (7, b), (8, None), (8, None)], key=repr)
+
+
 # --- tokenizers, 3 and 4
 
 
@@ -274,7 +283,7 @@ def brute_metrics(text):
 def test_metrics_awkward_and_real(spark, small):
     rows = AWKWARD + [(100, "a b c a b c\n\nx y\nx y\n \nx y", "en", "a"), (101, "# * $ %&|<> ok", "en", "a")]
     d = docs_of(spark, rows).select("doc_id", "text").union(documents(spark, small).select("doc_id", "text"))
-    for r in quality_rules.with_metrics(d).collect():
+    for r in d.select("*", quality_rules.metrics(F.col("text")).alias("m")).select("*", "m.*").collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_metrics(r.text)
 
 
