@@ -7,7 +7,8 @@ compared, and a group whose members differ (a hash collision) is regrouped by
 SHA-256.
 
 Nothing depends on how a plan deals its rows: rows are told apart by hash,
-length and id, and only the narrow digests are numbered. Groups with much of
+length and id, and only the narrow digests are numbered. Texts that stand alone
+are not shuffled, as far as a bitmap of the hashes of groups tells. Groups with much of
 the table stay where they are in joins (see ``join_groups``), and bytes are
 compared by the least and the greatest text of a group, which tasks find for
 their own rows first.
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamark.llm.scratch import materialize, numbered, passing
-from seamark.llm.skew import join_groups
+from seamark.llm.skew import join_groups, with_maybe
 
 ASCII_SPACE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -55,6 +56,7 @@ def _checked_groups(docs: DataFrame, digests: DataFrame, text_col: str, hash_fn)
     groups, total = materialize(_groups(digests, ["_hash"]), "exact-groups"), digests.count()
     norm = without_space(F.col(text_col))
     texts = docs.select(hash_fn(norm).alias("_hash"), norm.alias("_norm"))
+    texts = with_maybe(texts, groups, "_hash").where("_maybe").drop("_maybe")
     met = join_groups(texts, groups.select("_hash", "_size"), ["_hash"], "_size", total, inner=True)
     ends = met.groupBy("_hash").agg(F.min("_norm").alias("least"), F.max("_norm").alias("greatest"))
     mixed = materialize(ends.where("least <> greatest").select("_hash"), "exact-collisions")
@@ -104,8 +106,10 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = F.col(text_col)
     digest = {"_hash": hash_fn(without_space(text)), "_sha": F.sha2(without_space(text), 256)}
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.length(F.coalesce(text, F.lit(""))).cast("long").alias("_len"), F.col(id_col).alias("_id"), *[digest[k].alias(k) for k in keys])
-    best = join_groups(rows, groups, keys, "_size", total).where(F.col("_size").isNull() | ((F.col("_len") == F.col("_l")) & F.col("_id").eqNullSafe(F.col("_i"))))
+    rows = with_maybe(rows, groups, "_hash")
+    alone = rows.where("not _maybe").select("_doc.*")
+    best = join_groups(rows.where("_maybe"), groups, keys, "_size", total).where(F.col("_size").isNull() | ((F.col("_len") == F.col("_l")) & F.col("_id").eqNullSafe(F.col("_i"))))
     if groups.where("_ties > 1").isEmpty():
-        return best.select("_doc.*")
+        return alone.unionByName(best.select("_doc.*"))
     one = best.where("_ties > 1").dropDuplicates(keys)
-    return best.where("_ties is null or _ties = 1").unionByName(one).select("_doc.*")
+    return alone.unionByName(best.where("_ties is null or _ties = 1").unionByName(one).select("_doc.*"))

@@ -56,7 +56,7 @@ SKETCH_BITS = 22
 #: Bits of the bitmap of wanted texts.
 WANTED_BITS = 26
 #: Lists of up to this many classes give their pairs at once; longer ones go through hubs.
-SHORT_LIST = 16
+SHORT_LIST = 8
 #: Hub rounds at most; lists that still mix components go to the join of all their cross pairs.
 HUB_ROUNDS = 3
 
