@@ -46,7 +46,7 @@ def connective_triplets(spark, d):
 VESSEL_TERMS = "go-fast boat|go fast boat|panga|semi-submersible|narco submarine|narco-submarine|fishing vessel|bulk carrier|container ship|tanker|cargo vessel|speedboat|motor vessel|sailing vessel"
 DRUG_TERMS = "cocaine|heroin|fentanyl|methamphetamine|meth|marijuana|cannabis|MDMA|ecstasy|ketamine|oxycodone|opioid|precursor chemicals|coca paste|crack cocaine|crystal meth|synthetic opioid"
 SIGHTINGS = """sightings AS (SELECT o_orderkey, 'A ' || CASE o_orderkey % 4 WHEN 0 THEN 'Fishing Vessel' WHEN 1 THEN 'panga' WHEN 2 THEN 'tanker' ELSE 'yacht' END || ' IMO ' || lpad((o_custkey + 9000000)::VARCHAR, 7, '0') || ' carried ' || (o_orderkey % 9000)::VARCHAR
-    || ' kg of ' || CASE o_orderkey % 3 WHEN 0 THEN 'cocaine' WHEN 1 THEN 'Fentanyl' ELSE 'coffee' END || ' worth $' || (o_orderkey % 90 + 1)::VARCHAR || ' million' AS note FROM orders WHERE o_orderkey % 5 = 0)"""
+    || ' kg of ' || CASE o_orderkey % 3 WHEN 0 THEN 'cocaine' WHEN 1 THEN 'Fentanyl' ELSE 'coffee' END || ' worth $' || (o_orderkey % 90 + 1)::VARCHAR || ' million' AS note FROM orders)"""
 
 
 @query(f"""
@@ -60,7 +60,7 @@ def dictionary_entities(spark, d):
     kind = F.when(k % 4 == 0, "Fishing Vessel").when(k % 4 == 1, "panga").when(k % 4 == 2, "tanker").otherwise("yacht")
     cargo = F.when(k % 3 == 0, "cocaine").when(k % 3 == 1, "Fentanyl").otherwise("coffee")
     note = F.concat(F.lit("A "), kind, F.lit(" IMO "), F.lpad((F.col("o_custkey") + 9000000).cast("string"), 7, "0"), F.lit(" carried "), (k % 9000).cast("string"), F.lit(" kg of "), cargo, F.lit(" worth $"), (k % 90 + 1).cast("string"), F.lit(" million"))
-    n = T.load(spark, d, "orders").where("o_orderkey % 5 = 0").select("o_orderkey", note.alias("note"))
+    n = T.load(spark, d, "orders").select("o_orderkey", note.alias("note"))
     money = r"\$\s*([0-9,.]+)\s*(million)?"
     return n.select(
         "o_orderkey",

@@ -11,7 +11,7 @@ from seamark.plans.registry import query
 from seamark.tables import with_views
 
 CASCADE = """p AS (
-    SELECT src AS root, dst AS node, 1 AS hops, [edge_id] AS ids, least(coalesce(confidence, 0.5), 1.0)::DOUBLE AS score FROM causes WHERE src % 10 = 0
+    SELECT src AS root, dst AS node, 1 AS hops, [edge_id] AS ids, least(coalesce(confidence, 0.5), 1.0)::DOUBLE AS score FROM causes
     UNION ALL
     SELECT p.root, c.dst, p.hops + 1, list_append(p.ids, c.edge_id), p.score * least(coalesce(c.confidence, 0.5), 1.0) FROM p JOIN causes c ON c.src = p.node
     WHERE p.hops < {hops} AND NOT list_contains(p.ids, c.edge_id))"""
@@ -21,7 +21,7 @@ def roots_of(spark, d, condition):
     return T.causes(spark, d).where(condition).select(F.col("src").alias("root")).distinct()
 
 
-def cascade(spark, d, hops, floor, condition="src % 10 = 0"):
+def cascade(spark, d, hops, floor, condition="src is not null"):
     return expand_paths(T.causes(spark, d), roots_of(spark, d, condition), hops, F.coalesce("confidence", F.lit(0.5)), floor)
 
 
@@ -50,7 +50,7 @@ def chain_report(spark, d):
 
 
 @query(with_views("causes", """
-    WITH up AS (SELECT src AS root, dst AS mid, coalesce(confidence, 0.5)::DOUBLE AS s1, edge_id AS e1 FROM causes WHERE src % 10 = 0),
+    WITH up AS (SELECT src AS root, dst AS mid, coalesce(confidence, 0.5)::DOUBLE AS s1, edge_id AS e1 FROM causes),
     side AS (SELECT root, c.src AS mid, s1, e1 FROM up JOIN causes c ON c.dst = up.mid AND c.edge_id <> up.e1),
     down AS (SELECT root, c.dst AS node, s1 * coalesce(c.confidence, 0.5) AS s2, 1 AS hops, [c.edge_id] AS ids FROM side JOIN causes c ON c.src = side.mid AND c.edge_id <> side.e1
              UNION ALL SELECT root, c.dst, s2 * coalesce(c.confidence, 0.5), hops + 1, list_append(ids, c.edge_id) FROM down JOIN causes c ON c.src = down.node WHERE hops < 3 AND NOT list_contains(ids, c.edge_id))
@@ -58,7 +58,7 @@ def chain_report(spark, d):
 def mixed_direction_cascade(spark, d):
     """Forward, back over a shared effect, then forward again."""
     c = T.causes(spark, d).withColumn("w", F.coalesce("confidence", F.lit(0.5)))
-    up = c.where("src % 10 = 0").select(F.col("src").alias("root"), F.col("dst").alias("mid"), F.col("w").alias("s1"), F.col("edge_id").alias("e1"))
+    up = c.select(F.col("src").alias("root"), F.col("dst").alias("mid"), F.col("w").alias("s1"), F.col("edge_id").alias("e1"))
     side = up.join(c.select(F.col("dst").alias("mid"), F.col("src").alias("back"), "edge_id"), "mid").where("edge_id <> e1").select("root", F.col("back").alias("mid"), "s1", "e1")
     e = c.select("edge_id", F.col("src").alias("f"), F.col("dst").alias("t"), "w")
     level = side.join(e, (F.col("mid") == F.col("f")) & (F.col("edge_id") != F.col("e1"))).select("root", F.col("t").alias("node"), (F.col("s1") * F.col("w")).alias("s2"), F.array("edge_id").alias("ids")).where("s2 > 0.05")
@@ -71,7 +71,7 @@ def mixed_direction_cascade(spark, d):
 
 
 OWNERS = """up AS (
-    SELECT dst AS root, src AS node, 1 AS hops, [edge_id] AS ids, pct / 100.0::DOUBLE AS share FROM ownership WHERE dst % 50 = 7
+    SELECT dst AS root, src AS node, 1 AS hops, [edge_id] AS ids, pct / 100.0::DOUBLE AS share FROM ownership
     UNION ALL
     SELECT up.root, o.src, up.hops + 1, list_append(up.ids, o.edge_id), up.share * o.pct / 100.0 FROM up JOIN ownership o ON o.dst = up.node WHERE up.hops < 10 AND NOT list_contains(up.ids, o.edge_id))"""
 
@@ -82,14 +82,17 @@ def upward(edges):
 
 
 def owned(spark, d):
-    return T.ownership(spark, d).where("dst % 50 = 7").select(F.col("dst").alias("root")).distinct()
+    return T.ownership(spark, d).select(F.col("dst").alias("root")).distinct()
 
 
-@query(with_views("ownership", f"WITH {OWNERS} SELECT DISTINCT root, node AS owner, hops, round(share * 100, 6) AS pct FROM up WHERE node = 0 OR node % 5 = 0", recursive=True))
+@query(with_views("ownership", f"WITH {OWNERS} SELECT DISTINCT root, node AS owner, hops, round(share * 100 + 1e-9, 3) AS pct FROM up WHERE node = 0 OR node % 5 = 0", recursive=True))
 def ultimate_owners(spark, d):
-    """Owners at any depth with their effective share: persons (every fifth node) and the root company."""
+    """Owners at any depth with their effective share: persons (every fifth node) and the root company.
+
+    A billionth is added before rounding, as products of whole percents often end in a half.
+    """
     p = expand_paths(upward(T.ownership(spark, d)), owned(spark, d), 10, F.col("pct") / 100)
-    return p.where("node = 0 or node % 5 = 0").select("root", F.col("node").alias("owner"), "hops", F.round(F.col("score") * 100, 6).alias("pct")).distinct()
+    return p.where("node = 0 or node % 5 = 0").select("root", F.col("node").alias("owner"), "hops", F.round(F.col("score") * 100 + 1e-9, 3).alias("pct")).distinct()
 
 
 @query(with_views("ownership", """
@@ -112,14 +115,14 @@ def ownership_unmask(spark, d):
 
 @query(with_views("ownership", """
     WITH e AS (SELECT src AS a, dst AS b FROM ownership UNION SELECT dst, src FROM ownership),
-    r AS (SELECT DISTINCT a AS root, a AS node, 0 AS hops FROM e WHERE a % 25 = 4 UNION SELECT r.root, e.b, r.hops + 1 FROM r JOIN e ON e.a = r.node WHERE r.hops < 3),
+    r AS (SELECT DISTINCT a AS root, a AS node, 0 AS hops FROM e UNION SELECT r.root, e.b, r.hops + 1 FROM r JOIN e ON e.a = r.node WHERE r.hops < 3),
     m AS (SELECT root, min(hops) AS hops FROM r WHERE node % 41 = 0 GROUP BY 1)
     SELECT s.root, coalesce(m.hops, -1) AS hops, CASE WHEN m.hops IS NULL THEN 'NONE' WHEN m.hops <= 1 THEN 'CRITICAL' WHEN m.hops = 2 THEN 'HIGH' WHEN m.hops = 3 THEN 'MEDIUM' ELSE 'LOW' END AS level
     FROM (SELECT DISTINCT root FROM r) s LEFT JOIN m ON m.root = s.root""", recursive=True))
 def sanctions_proximity(spark, d):
     """Distance to the nearest sanctioned node (every 41st), ignoring direction."""
     o = T.ownership(spark, d)
-    nodes = o.select(F.col("src").alias("root")).union(o.select("dst")).distinct().where("root % 25 = 4")
+    nodes = o.select(F.col("src").alias("root")).union(o.select("dst")).distinct()
     m = reach(o, nodes, 3, undirected=True).where("node % 41 = 0").groupBy("root").agg(F.min("hops").alias("hops"))
     level = F.when(F.col("hops").isNull(), "NONE").when(F.col("hops") <= 1, "CRITICAL").when(F.col("hops") == 2, "HIGH").when(F.col("hops") == 3, "MEDIUM").otherwise("LOW")
     return nodes.join(m, "root", "left").select("root", F.coalesce("hops", F.lit(-1)).alias("hops"), level.alias("level"))
@@ -193,12 +196,12 @@ def page_rank(spark, d):
 
 
 @query(with_views("contacts", """
-    WITH e AS (SELECT vessel_id AS a, -event_id - 1 AS b FROM contacts WHERE event_id % 20 = 0), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    WITH e AS (SELECT vessel_id AS a, -event_id - 1 AS b FROM contacts), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
     r AS (SELECT DISTINCT a AS node, a AS low FROM s WHERE a < 0 UNION SELECT s.b, r.low FROM r JOIN s ON s.a = r.node), c AS (SELECT node, min(low) AS component FROM r GROUP BY 1)
     SELECT component, count(*) AS size FROM c GROUP BY 1""", recursive=True))
 def contact_components(spark, d):
     """Components of the vessel-event graph; events are negative nodes."""
-    e = T.contacts(spark, d).where("event_id % 20 = 0").select(F.col("vessel_id").alias("src"), (-F.col("event_id") - 1).alias("dst"))
+    e = T.contacts(spark, d).select(F.col("vessel_id").alias("src"), (-F.col("event_id") - 1).alias("dst"))
     return graph.connected_components(e).groupBy("component").agg(F.count("*").alias("size"))
 
 

@@ -195,17 +195,19 @@ def net_heat_map(spark, d):
 
 
 @query(typed("""
-    WITH e AS (SELECT vessel_id, event_id, seen FROM typed WHERE kind = 'ENCOUNTER' AND event_id % 16 = 0)
-    SELECT x.vessel_id AS a, y.vessel_id AS b, z.vessel_id AS c, count(*) AS n
-    FROM e x JOIN e y ON x.event_id = y.event_id AND x.vessel_id <> y.vessel_id JOIN e y2 ON y2.vessel_id = y.vessel_id AND y2.event_id <> y.event_id
-    JOIN e z ON z.event_id = y2.event_id AND z.vessel_id <> y2.vessel_id
-    WHERE x.vessel_id < z.vessel_id GROUP BY ALL HAVING count(*) >= 3"""))
+    WITH e AS (SELECT vessel_id, event_id FROM typed WHERE kind = 'ENCOUNTER'), s AS (SELECT event_id, count(*) - 1 AS others FROM e GROUP BY 1)
+    SELECT vessel_id AS middle, count(*) AS meetings, sum(others)::BIGINT AS partners, ((sum(others) * sum(others) - sum(others * others)) / 2)::BIGINT AS chains
+    FROM e JOIN s ON e.event_id = s.event_id GROUP BY 1"""))
 def net_two_step_chains(spark, d):
-    e = of_kind(spark, d, "ENCOUNTER").where("event_id % 16 = 0").select("vessel_id", "event_id")
-    x, y = e.select(F.col("vessel_id").alias("a"), "event_id"), e.select(F.col("vessel_id").alias("b"), "event_id")
-    ab = x.join(y, "event_id").where("a <> b").select("a", "b", F.col("event_id").alias("e1"))
-    bc = y.join(e.select(F.col("vessel_id").alias("c"), "event_id"), "event_id").where("b <> c").select("b", "c", F.col("event_id").alias("e2"))
-    return ab.join(bc, "b").where("e1 <> e2 and a < c").groupBy("a", "b", "c").agg(F.count("*").alias("n")).where("n >= 3")
+    """Chains of two meetings through each vessel, partner to vessel to partner over two events.
+
+    Counted without listing them: of all pairs of a vessel's partners those of one event are taken off.
+    """
+    e = of_kind(spark, d, "ENCOUNTER").select("vessel_id", "event_id")
+    s = e.groupBy("event_id").agg((F.count("*") - 1).alias("others"))
+    others = F.sum("others")
+    chains = ((others * others - F.sum(F.col("others") * F.col("others"))) / 2).cast("long")
+    return e.join(s, "event_id").groupBy(F.col("vessel_id").alias("middle")).agg(F.count("*").alias("meetings"), others.alias("partners"), chains.alias("chains"))
 
 
 @query(with_views("vessels", """

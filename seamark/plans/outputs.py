@@ -53,9 +53,9 @@ def turtle_vessels(spark, d):
 
 @query(with_views("positions", """
     SELECT position_id, '<event version="2.0" uid="P' || position_id::VARCHAR || '" type="' || CASE WHEN value > 200 THEN 'a-h-S' WHEN nav_status > 5 THEN 'a-s-S' ELSE 'a-n-S' END || '" time="' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"><point lat="' || printf('%.4f', round(lat, 4)) || '" lon="' ||
-           printf('%.4f', round(lon, 4)) || '"/><detail><remarks>' || event_type || ' &amp; ' || nav_status::VARCHAR || '</remarks></detail></event>' AS cot FROM positions WHERE position_id % 10 = 0"""))
+           printf('%.4f', round(lon, 4)) || '"/><detail><remarks>' || event_type || ' &amp; ' || nav_status::VARCHAR || '</remarks></detail></event>' AS cot FROM positions"""))
 def cot_positions(spark, d):
-    p = T.positions(spark, d).where("position_id % 10 = 0")
+    p = T.positions(spark, d)
     kind = F.when(F.col("value") > 200, "a-h-S").when(F.col("nav_status") > 5, "a-s-S").otherwise("a-n-S")
     body = exports.cot_event(F.concat(F.lit("P"), F.col("position_id").cast("string")), kind, F.round("lat", 4), F.round("lon", 4), F.col("ts"), F.concat("event_type", F.lit(" & "), F.col("nav_status").cast("string")))
     return p.select("position_id", body.alias("cot"))

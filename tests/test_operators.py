@@ -213,3 +213,23 @@ def test_hot_queries_stay_in_the_jvm_and_push_filters(spark, small):
         assert "Python" not in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     plan = QUERIES["volume_by_country"](spark, small)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(o_orderdate)" in plan
+
+
+def test_near_join_loses_no_pair(spark):
+    """Any latitude, across 180 degrees: all pairs inside the radius, as by comparing all with all."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from seamark.functions.geo import haversine_km
+    from seamark.operators.joins import near_join
+
+    rng = np.random.default_rng(3)
+    lat = np.r_[rng.uniform(-90, 90, 120), rng.uniform(85, 90, 60), rng.uniform(-5, 5, 60)]
+    lon = np.r_[rng.uniform(-180, 180, 180), rng.choice([-179.9, 179.9, 179.5], 60)]
+    a = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(zip(lat, lon))], "a int, lat double, lon double")
+    b = a.select(F.col("a").alias("b"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
+    km = haversine_km(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon"))
+    for radius in (30, 700):
+        got = near_join(a, b, radius, right_on=("b_lat", "b_lon")).where(km <= radius).select("a", "b")
+        want = a.crossJoin(b).where(km <= radius).select("a", "b")
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
