@@ -23,10 +23,10 @@ import pyarrow as pa
 
 from seamark.llm.words import slices, span_hashes
 
-#: Distinct pieces a worker remembers at most (some 80 MB); later ones are encoded as they come.
-KNOWN_PIECES = 1_500_000
+#: Distinct pieces a worker remembers at most (some 55 MB); later ones are encoded as they come.
+KNOWN_PIECES = 1_000_000
 #: Bytes of text looked up together.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True

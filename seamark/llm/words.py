@@ -18,8 +18,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _SECOND_BASE = 0xC2B2AE3D27D4EB4F
 _STEP = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(64)], np.uint64)
-#: Bytes hashed together.
+#: Bytes of text read together.
 SLICE_BYTES = 1 << 20
+#: Bytes hashed together; a worker keeps two tables of as many powers for each base.
+STRETCH_BYTES = (1 << 18) - 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,7 +42,7 @@ def _byte_values(fold: bool) -> np.ndarray:
 _VALUES = {fold: _byte_values(fold) for fold in (True, False)}
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def _powers(size: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     def table(b: int) -> np.ndarray:
         out = np.full(size, b, np.uint64)
@@ -55,10 +57,10 @@ def _polynomials(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: b
     out = np.empty(len(starts), np.uint64)
     a = 0
     while a < len(starts):  # stretches that stay in the processor's cache
-        b = max(a + 1, int(np.searchsorted(ends, starts[a] + SLICE_BYTES, "right")))
+        b = max(a + 1, int(np.searchsorted(ends, starts[a] + STRETCH_BYTES, "right")))
         lo, hi = starts[a], ends[b - 1]
         size = int(hi - lo)
-        up, down = _powers(1 << max(20, (size + 1).bit_length()), base)
+        up, down = _powers(1 << max(18, size.bit_length()), base)
         sums = np.zeros(size + 1, np.uint64)
         np.cumsum(_VALUES[fold][data[lo:hi]] * up[:size], out=sums[1:])
         begin, end = starts[a:b] - lo, ends[a:b] - lo
