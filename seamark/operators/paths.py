@@ -11,7 +11,9 @@ from seamark.operators.graph import ensure_checkpoint_dir
 def expand_paths(edges: DataFrame, roots: DataFrame, max_hops: int, weight: Column | None = None, floor: float | None = None, undirected: bool = False, min_hops: int = 1) -> DataFrame:
     """One row per path of ``min_hops`` to ``max_hops`` edges from each root: ``root``, ``node``, ``hops``, ``edge_ids``, ``nodes``, ``score``.
 
-    ``edges`` has ``edge_id``, ``src``, ``dst``; ``roots`` has ``root``. A path
+    ``edges`` has ``edge_id``, ``src``, ``dst``; ``roots`` has ``root``. Roots
+    may bring the way that led to them: ``node``, ``hops``, ``edge_ids`` and
+    ``score``; ``max_hops`` counts from there. A path
     uses an edge once; nodes may repeat. ``score`` is the product of
     ``weight`` (at most 1) along the path. With ``floor``, only paths above it
     stay; as products never rise, a path at or below it is given up at once.
@@ -19,9 +21,15 @@ def expand_paths(edges: DataFrame, roots: DataFrame, max_hops: int, weight: Colu
     e = edges.withColumn("_w", F.lit(1.0) if weight is None else F.least(weight, F.lit(1.0))).select("edge_id", F.col("src").alias("_from"), F.col("dst").alias("_to"), "_w")
     if undirected:
         e = e.unionByName(e.select("edge_id", F.col("_to").alias("_from"), F.col("_from").alias("_to"), "_w"))
-    level = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops"), F.array().cast("array<string>").alias("edge_ids"), F.array("root").alias("nodes"), F.lit(1.0).alias("score"))
+    blank = {"node": F.col("root"), "hops": F.lit(0), "edge_ids": F.array().cast("array<string>"), "score": F.lit(1.0)}
+    begin = {name: F.col(name) if name in roots.columns else value for name, value in blank.items()}
+    level = roots.select("root", *[value.alias(name) for name, value in begin.items()], F.array(begin["node"]).alias("nodes"))
     levels = [level] if min_hops == 0 else []
-    for _ in range(max_hops):
+    ensure_checkpoint_dir(edges.sparkSession)
+    for hop in range(max_hops):
+        if hop > 1:  # each level is computed once, not again under every deeper one
+            level = level.checkpoint()
+            levels[-1] = level
         level = level.join(e, (F.col("node") == F.col("_from")) & ~F.array_contains("edge_ids", F.col("edge_id"))).select(
             "root",
             F.col("_to").alias("node"),
@@ -36,7 +44,7 @@ def expand_paths(edges: DataFrame, roots: DataFrame, max_hops: int, weight: Colu
     out = levels[0]
     for x in levels[1:]:
         out = out.unionByName(x)
-    return out.where(F.col("hops") >= min_hops)
+    return out if min_hops <= 1 else out.where(F.col("hops") >= min_hops)
 
 
 def reach(edges: DataFrame, roots: DataFrame, max_hops: int, undirected: bool = False, with_root: bool = True) -> DataFrame:
