@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from seamark.llm import exact_dedup, html_extract, lm_scoring, mixing, ngram_join, packing, pii, quality_rules, scratch, token_output, url_filter
+from seamark.llm import conversation_repair, exact_dedup, html_extract, lm_scoring, mixing, ngram_join, packing, periodic_runs, pii, quality_rules, scratch, sharding, token_output, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +63,43 @@ def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(_table(spark, sf_dir, "documents"), shards=24, points=128)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One document in ten gets a periodic tail, by the checksum of its id."""
+    word = r"[^\x20\x09-\x0D]+"
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    n, g = F.size("w"), F.floor(mark / 10)
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    tail = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.element_at("w", F.when(i < a, i + 1).otherwise(a + (i - a) % p + 1).cast("int")))
+    chosen = (mark % 10 == 0) & F.col("text").rlike(word)
+    split = docs.withColumn("w", F.when(chosen, F.regexp_extract_all("text", F.lit(word), F.lit(0))))
+    found = periodic_runs.find_runs(split.select("doc_id", F.when(F.col("w").isNotNull(), F.array_join(tail, " ")).otherwise(F.col("text")).alias("text")), least_length=6, least_exponent=4)
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("s"), r["period"].alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    told = found.select("doc_id", "runs", "collapsed", best.alias("b"), F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("").alias("lines"))
+    return told.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("b.s").alias("start"),
+        (-F.col("b.l")).alias("length"),
+        F.col("b.p").alias("period"),
+        F.floor(-1000 * F.col("b.l") / F.col("b.p")).alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    return conversation_repair.digest(conversation_repair.repair(conversation_repair.damage(conversations)), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,11 +113,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_exact_dedup,
         op9_mixing,
         op10_html_extract,
+        op11_sharding,
+        op12_periodic_runs,
+        op13_conversation_repair,
     )
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_url_filter": url_filter.oracle(),
+    "op11_sharding": sharding.oracle(shards=24, points=128),
+    "op13_conversation_repair": conversation_repair.oracle(),
     "op7_ngram_join": r"""
         WITH RECURSIVE w AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
