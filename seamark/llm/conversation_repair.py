@@ -149,6 +149,8 @@ class Repair:
 
     def __init__(self, stacks: Stacks, prices: Prices):
         self.stacks, self.prices = stacks, prices
+        # what one stack can still do any other can do for two more inserted turns and a deleted system turn
+        self.reach = 2 * prices.insert + prices.delete
         #: node: (cost, audit, the initials that edits lead to), of what is not handed on yet
         self.tops: dict[int, tuple[int, str, str]] = {0: (0, "", "")}
 
@@ -179,7 +181,8 @@ class Repair:
                 offer(self.stacks.after(node, initial), (cost + more, audit + "K", roles + initial))
                 for role in ROLES:
                     offer(self.stacks.after(node, role), (cost + self.prices.rerole + more, audit + "R", roles + role))
-        self.tops = tops
+        most = min(cost for cost, _, _ in tops.values()) + self.reach
+        self.tops = {node: top for node, top in tops.items() if top[0] <= most}
 
     def agreed(self) -> tuple[str, str]:
         """The edits that all stacks share, with the initials they lead to; later calls go on from there."""

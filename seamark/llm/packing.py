@@ -127,26 +127,26 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id
         encode = encoder(tokenizer, spaced=False).encode
         end = int(end_id).to_bytes(4, "little")
         step = 4 * capacity
+
+        def table(ids: pa.Array, rows: list[list]) -> pa.RecordBatch:
+            out = [ids, pa.array(rows[1], pa.int32()), *(pa.array(c, pa.int64()) for c in rows[2:5])]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            if keep_ids:
+                out.append(pa.array(rows[5], pa.binary()))
+                names.append("ids")
+            return pa.RecordBatch.from_arrays(out, names)
+
         for batch in batches:
-            rows: list[list] = [[], [], [], [], [], []]
-            for row, ids, offsets in encode(batch.column(1)):
-                raw, bounds = ids.tobytes(), (4 * offsets).tolist()
+            for row, ids, offsets in encode(batch.column(1)):  # a slice of the batch, handed on at once
+                rows: list[list] = [[], [], [], [], [], []]
+                bounds = offsets.tolist()
                 for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False), row):
-                    own = raw[a:b] + end
+                    own = ids[a:b].tobytes() + end
                     for k, at in enumerate(range(0, len(own), step)):
                         part = own[at : at + step]
                         for col, v in zip(rows, (i, k, at // 4, len(part) // 4, zlib.crc32(part), part if keep_ids else None), strict=True):
                             col.append(v)
-            out = [
-                batch.column(0).take(pa.array(rows[0], pa.int64())),
-                pa.array(rows[1], pa.int32()),
-                *(pa.array(c, pa.int64()) for c in rows[2:5]),
-            ]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            if keep_ids:
-                out.append(pa.array(rows[5], pa.binary()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(out, names)
+                yield table(batch.column(0).take(pa.array(rows[0], pa.int64())), rows)
 
     return docs.select(id_col, text_col).mapInArrow(cut, schema)
 

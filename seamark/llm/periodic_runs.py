@@ -132,7 +132,7 @@ def maximal_runs(ranks: np.ndarray, least_length: int, least_exponent: int) -> l
     n = len(ranks)
     if n < 2:
         return []
-    found: set[tuple[int, int, int]] = set()
+    found: dict[tuple[int, int], int] = {}  # a stretch that a lying hash has given to a multiple of its period keeps the smallest
     for order in (ranks, ranks.max() - ranks):
         periods = np.array(lyndon_lengths(order.tolist()), np.int64)
         starts = np.arange(n, dtype=np.int64)
@@ -147,10 +147,12 @@ def maximal_runs(ranks: np.ndarray, least_length: int, least_exponent: int) -> l
         length = left + right + periods
         long = length >= np.maximum(least_length, least_exponent * periods)
         claims = sorted(set(zip((starts - left)[long].tolist(), length[long].tolist(), periods[long].tolist())))
-        for start, size, period in claims:
-            if (start, size, period) not in found:
-                found.update(_checked(ranks, start, size, period, least_length, least_exponent))
-    return sorted(found, key=lambda r: (r[0], r[2]))
+        for claim in claims:
+            if found.get(claim[:2]) == claim[2]:
+                continue
+            for start, size, period in _checked(ranks, *claim, least_length, least_exponent):
+                found[start, size] = min(period, found.get((start, size), period))
+    return sorted(((start, size, period) for (start, size), period in found.items()), key=lambda r: (r[0], r[2]))
 
 
 def _checked(ranks: np.ndarray, start: int, size: int, period: int, least_length: int, least_exponent: int) -> Iterator[tuple[int, int, int]]:
@@ -189,14 +191,10 @@ def word_runs(words: list[bytes], least_length: int, least_exponent: int) -> lis
     codes = np.fromiter(map(number.get, words, repeat(-1)), np.int64, len(words))
     runs = []
     for first, stretch in _stretches(codes, least_length, least_exponent):
-        again = np.bincount(np.unique(stretch, return_inverse=True)[1])
-        if again.min() >= least_exponent:
-            runs += [(first + s, size, p) for s, size, p in maximal_runs(stretch, least_length, least_exponent)]
-            continue
+        _, name, again = np.unique(stretch, return_inverse=True, return_counts=True)
         # words that are frequent in the text but not here cut once more
-        rare = np.flatnonzero(again[np.unique(stretch, return_inverse=True)[1]] < least_exponent).tolist()
         at = 0
-        for stop in [*rare, len(stretch)]:
+        for stop in [*np.flatnonzero(again[name] < least_exponent).tolist(), len(stretch)]:
             if stop - at >= least_length:
                 runs += [(first + at + s, size, p) for s, size, p in maximal_runs(stretch[at:stop], least_length, least_exponent)]
             at = stop + 1

@@ -17,13 +17,14 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
 from seamark.llm.words import slices, span_hashes
 
-#: Distinct pieces a worker remembers at most (some 55 MB); later ones are encoded as they come.
+#: Distinct pieces a worker remembers at most (some 35 MB); later ones are encoded as they come.
 KNOWN_PIECES = 1_000_000
 #: Bytes of text looked up together.
 SLICE_BYTES = 1 << 20
@@ -41,6 +42,38 @@ _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
 _encoders: dict[tuple[str, bool], "PieceEncoder"] = {}
 
 
+@dataclass
+class Known:
+    """Pieces by two hashes, sorted by the first: where their ids begin in the pool and how many they are."""
+
+    keys: np.ndarray
+    checks: np.ndarray
+    begin: np.ndarray
+    count: np.ndarray
+
+    @staticmethod
+    def empty() -> Known:
+        return Known(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+
+    def find(self, keys: np.ndarray, checks: np.ndarray, begin: np.ndarray, count: np.ndarray, known: np.ndarray) -> None:
+        """Fill in ``begin``, ``count`` and ``known`` of the pieces that are here."""
+        if not len(self.keys):
+            return
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        here = np.flatnonzero((self.keys[at] == keys) & (self.checks[at] == checks) & ~known)
+        begin[here], count[here], known[here] = self.begin[at[here]], self.count[at[here]], True
+
+    def merged(self, new: Known) -> Known:
+        """Both tables in one; a key that both have with different checks stays as it was here."""
+        if not len(self.keys):
+            return new
+        at = np.minimum(np.searchsorted(self.keys, new.keys), len(self.keys) - 1)
+        fresh = self.keys[at] != new.keys
+        into = np.searchsorted(self.keys, new.keys[fresh])
+        pairs = ((self.keys, new.keys), (self.checks, new.checks), (self.begin, new.begin), (self.count, new.count))
+        return Known(*(np.insert(old, into, more[fresh]) for old, more in pairs))
+
+
 class PieceEncoder:
     """Encodes batches of texts.
 
@@ -63,11 +96,11 @@ class PieceEncoder:
         self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.edge[i] = token.startswith("Ġ") if spaced else token.endswith("</w>")
-        self.keys = np.zeros(0, np.uint64)
-        self.checks = np.zeros(0, np.uint64)
-        self.begin = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
+        #: ids of the known pieces, one after another, and how many of them are in use
+        self.pool = np.zeros(1 << 16, np.uint32)
+        self.used = 0
+        #: a large table that is seldom merged anew, and a small one of the latest pieces
+        self.known = [Known.empty(), Known.empty()]
 
     def _cuts(self, data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Starts and ends of the pieces of ``data``; texts begin at ``begins``."""
@@ -166,40 +199,42 @@ class PieceEncoder:
             starts, ends = self._cuts(data, begins)
             key, check = span_hashes(data, starts, ends, fold=not self.spaced)
             distinct, where, inverse = np.unique(key, return_index=True, return_inverse=True)
-            if not (check == check[where][inverse]).all():  # two pieces share a hash: no lookup for this slice
+            clash = not (check == check[where][inverse]).all()
+            if clash:  # two pieces share a hash: no lookup for this slice
                 where, inverse = np.arange(len(key)), np.arange(len(key))
-                at, known = np.zeros(len(key), np.int64), np.zeros(len(key), bool)
-            else:
-                at = np.minimum(np.searchsorted(self.keys, distinct), max(0, len(self.keys) - 1))
-                known = (self.keys[at] == distinct) & (self.checks[at] == check[where]) if len(self.keys) else np.zeros(len(distinct), bool)
-            begin, count = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64)
-            begin[known], count[known] = self.begin[at[known]], self.count[at[known]]
+            begin, count, known = np.zeros(len(where), np.int64), np.zeros(len(where), np.int64), np.zeros(len(where), bool)
+            for table in () if clash else self.known:
+                table.find(distinct, check[where], begin, count, known)
             new = np.flatnonzero(~known)
-            pool = self.pool
             if len(new):
                 raw = data.tobytes()
                 pieces = [raw[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
                 ids, n = self._encode_new(pieces)
-                begin[new], count[new] = len(pool) + np.cumsum(n) - n, n
-                pool = np.concatenate([pool, ids])
-                if len(self.keys) + len(new) <= KNOWN_PIECES and len(where) == len(distinct):
-                    self._remember(distinct[new], check[where[new]], begin[new], n, pool)
+                begin[new], count[new] = self.used + np.cumsum(n) - n, n
+                self._put(ids)
+                if not clash and sum(len(t.keys) for t in self.known) + len(new) <= KNOWN_PIECES:
+                    self.used += len(ids)
+                    self._remember(Known(distinct[new], check[where[new]], begin[new].astype(np.uint32), n.astype(np.uint32)))
             lengths = count[inverse]
             upto = np.concatenate([[0], np.cumsum(lengths)])
-            flat = pool[np.repeat(begin[inverse] - upto[:-1], lengths) + np.arange(upto[-1])]
+            flat = self.pool[np.repeat(begin[inverse] - upto[:-1], lengths) + np.arange(upto[-1])]
             yield row, flat, upto[np.searchsorted(starts, begins)]
 
-    def _remember(self, keys: np.ndarray, checks: np.ndarray, begin: np.ndarray, count: np.ndarray, pool: np.ndarray) -> None:
-        if len(self.keys):  # a key with another check stays as it was
-            fresh = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] != keys
-        else:
-            fresh = np.ones(len(keys), bool)
-        keys, checks, begin, count = keys[fresh], checks[fresh], begin[fresh], count[fresh]
-        order = np.argsort(np.concatenate([self.keys, keys]), kind="stable")
-        self.keys, self.checks, self.begin, self.count = (
-            np.concatenate(two)[order] for two in ((self.keys, keys), (self.checks, checks), (self.begin, begin), (self.count, count))
-        )
-        self.pool = pool
+    def _put(self, ids: np.ndarray) -> None:
+        """Write ``ids`` behind what the pool holds; it grows by halves."""
+        need = self.used + len(ids)
+        if need > len(self.pool):
+            pool = np.zeros(max(need, len(self.pool) * 3 // 2), np.uint32)
+            pool[: self.used] = self.pool[: self.used]
+            self.pool = pool
+        self.pool[self.used : need] = ids
+
+    def _remember(self, new: Known) -> None:
+        large, small = self.known
+        small = small.merged(new)
+        if len(small.keys) > max(1 << 14, len(large.keys) // 4):
+            large, small = large.merged(small), Known.empty()
+        self.known = [large, small]
 
 
 def encoder(path: str, spaced: bool) -> PieceEncoder:
