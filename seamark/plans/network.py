@@ -6,11 +6,13 @@ STANDARD and SMALL ones loitering, the others dark periods and port calls.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from seamark import tables as T
 from seamark.functions import geo
+from seamark.operators.contains import contains_join
+from seamark.operators.joins import top_per_key
 from seamark.plans.registry import query
 from seamark.tables import with_views
 
@@ -176,17 +178,38 @@ def net_port_chain(spark, d):
     return p.select(F.col("event_id").alias("port_id"), "mmsi", "seen", F.row_number().over(w).alias("visit"), F.lag("event_id").over(w).alias("previous_port"))
 
 
-@query(typed("""
-    WITH o AS (SELECT owner_name, count(*) AS vessels FROM vessels GROUP BY 1),
-    s AS (SELECT s_suppkey, 'owner ' || (s_suppkey % 60)::VARCHAR || ' holding' AS legal FROM supplier)
+LEGAL = """s AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'the owner ' || (s_suppkey % 60)::VARCHAR || ' holding' WHEN 1 THEN 'sea owner ' || (s_suppkey % 60)::VARCHAR ELSE 'r ' || (s_suppkey % 60)::VARCHAR END AS legal FROM supplier)"""
+
+
+def legal_names(spark, d):
+    """Company names: some hold an owner's name, some are held by one."""
+    k = F.col("s_suppkey")
+    number = (k % 60).cast("string")
+    legal = F.when(k % 3 == 0, F.concat(F.lit("the owner "), number, F.lit(" holding"))).when(k % 3 == 1, F.concat(F.lit("sea owner "), number)).otherwise(F.concat(F.lit("r "), number))
+    return T.load(spark, d, "supplier").select(k.alias("company_id"), legal.alias("legal"))
+
+
+@query(typed(f"""
+    WITH o AS (SELECT owner_name, count(*) AS vessels FROM vessels GROUP BY 1), {LEGAL}
     SELECT owner_name, vessels, s_suppkey AS company_id FROM o JOIN s ON contains(legal, lower(owner_name)) OR contains(lower(owner_name), legal)"""))
 def net_owner_to_company(spark, d):
+    """Owners and companies whose names contain each other, wherever in the name."""
     owners = T.vessels(spark, d).groupBy("owner_name").agg(F.count("*").alias("vessels")).withColumn("low", F.lower("owner_name"))
-    companies = T.load(spark, d, "supplier").select(F.col("s_suppkey").alias("company_id"), F.concat(F.lit("owner "), (F.col("s_suppkey") % 60).cast("string"), F.lit(" holding")).alias("legal"))
-    # containment both ways; the shared first word is the block that keeps the join an equi-join
-    block = F.split("legal", " ")[0]
-    joined = owners.join(companies, (F.split("low", " ")[0] == block) & (F.contains("legal", F.col("low")) | F.contains("low", F.col("legal"))))
-    return joined.select("owner_name", "vessels", "company_id")
+    companies = legal_names(spark, d)
+    pairs = contains_join(owners, companies, "low", "legal").unionByName(contains_join(companies, owners, "legal", "low"))
+    return pairs.select("owner_name", "vessels", "company_id").distinct()
+
+
+@query("""
+    WITH t AS (SELECT DISTINCT upper(unnest(string_split(p_name, ' '))) AS term FROM part),
+    n AS (SELECT p_partkey AS entity_id, upper(p_type || p_name || ' of ' || p_brand) AS name FROM part)
+    SELECT term, entity_id, name FROM t JOIN n ON contains(name, term) WHERE length(term) >= 3 QUALIFY row_number() OVER (PARTITION BY term ORDER BY entity_id) <= 5""")
+def entity_links(spark, d):
+    """Terms linked to the names that contain them, five a term."""
+    p = T.load(spark, d, "part")
+    terms = p.select(F.explode(F.split(F.upper("p_name"), " ")).alias("term")).distinct().where("length(term) >= 3")
+    names = p.select(F.col("p_partkey").alias("entity_id"), F.upper(F.concat("p_type", "p_name", F.lit(" of "), "p_brand")).alias("name"))
+    return top_per_key(contains_join(terms, names, "term", "name"), ["term"], [F.col("entity_id")], 5).select("term", "entity_id", "name")
 
 
 @query(typed("SELECT round(lat) AS cell_lat, round(lon) AS cell_lon, kind, count(*) AS n FROM typed GROUP BY ALL ORDER BY n DESC, cell_lat, cell_lon, kind LIMIT 50"))
@@ -195,19 +218,45 @@ def net_heat_map(spark, d):
 
 
 @query(typed("""
-    WITH e AS (SELECT vessel_id, event_id FROM typed WHERE kind = 'ENCOUNTER'), s AS (SELECT event_id, count(*) - 1 AS others FROM e GROUP BY 1)
-    SELECT vessel_id AS middle, count(*) AS meetings, sum(others)::BIGINT AS partners, ((sum(others) * sum(others) - sum(others * others)) / 2)::BIGINT AS chains
-    FROM e JOIN s ON e.event_id = s.event_id GROUP BY 1"""))
-def net_two_step_chains(spark, d):
-    """Chains of two meetings through each vessel, partner to vessel to partner over two events.
-
-    Counted without listing them: of all pairs of a vessel's partners those of one event are taken off.
+    WITH e AS (SELECT vessel_id, mmsi, event_id, min(seen) OVER (PARTITION BY event_id) AS began FROM typed JOIN vessels USING (vessel_id) WHERE kind = 'ENCOUNTER')
+    SELECT a.mmsi AS a_mmsi, b1.mmsi AS b_mmsi, c.mmsi AS c_mmsi, b1.event_id AS first_event, b2.event_id AS second_event, b1.began AS t1, b2.began AS t2
+    FROM e AS b1 JOIN e AS b2 ON b1.vessel_id = b2.vessel_id AND b1.event_id <> b2.event_id JOIN e AS a ON a.event_id = b1.event_id AND a.vessel_id <> b1.vessel_id
+    JOIN e AS c ON c.event_id = b2.event_id AND c.vessel_id <> b2.vessel_id AND a.mmsi < c.mmsi
+    ORDER BY t2 DESC, second_event, a_mmsi, b_mmsi, c_mmsi, first_event LIMIT 20"""))
+def net_two_step_chains(spark, d, most=20):
+    """Vessels a, b and c where a meets b in one event and b meets c in another, the newest second events first.
+
+    A second event has such a chain if a vessel that one of its vessels meets
+    elsewhere comes before another of its own, which the least partners of each
+    vessel tell without listing pairs. The newest ``most`` such events hold the
+    newest ``most`` chains, so only these are expanded.
     """
-    e = of_kind(spark, d, "ENCOUNTER").select("vessel_id", "event_id")
-    s = e.groupBy("event_id").agg((F.count("*") - 1).alias("others"))
-    others = F.sum("others")
-    chains = ((others * others - F.sum(F.col("others") * F.col("others"))) / 2).cast("long")
-    return e.join(s, "event_id").groupBy(F.col("vessel_id").alias("middle")).agg(F.count("*").alias("meetings"), others.alias("partners"), chains.alias("chains"))
+    e = of_kind(spark, d, "ENCOUNTER").join(T.vessels(spark, d).select("vessel_id", "mmsi"), "vessel_id").select("mmsi", "event_id", "seen")
+    events = e.groupBy("event_id").agg(F.min("seen").alias("began"))
+    met = e.select("mmsi", "event_id").distinct()
+    # of each event the two least and the two greatest vessels, so that one can be left out
+    ends = events
+    for name, order in (("least", F.asc("mmsi")), ("most", F.desc("mmsi"))):
+        two = top_per_key(met, ["event_id"], [order], 2).groupBy("event_id").agg(F.array_sort(F.collect_list("mmsi")).alias("pair"))
+        ends = ends.join(two.select("event_id", F.col("pair").alias(name) if name == "least" else F.reverse("pair").alias(name)), "event_id")
+    there = met.join(ends, "event_id")
+    other = F.filter("least", lambda m: m != F.col("mmsi"))[0]
+    last = F.filter("most", lambda m: m != F.col("mmsi"))[0]
+    there = there.withColumns({"partner": other, "last": last})
+    # of each vessel its least partner in any event, and in any event but that one
+    firsts = there.where("partner is not null").groupBy("mmsi", "event_id").agg(F.min("partner").alias("partner"))
+    two = firsts.withColumn("n", F.row_number().over(Window.partitionBy("mmsi").orderBy("partner", "event_id"))).where("n <= 2")
+    two = two.groupBy("mmsi").agg(F.max(F.when(F.col("n") == 1, F.struct("partner", "event_id"))).alias("one"), F.max(F.when(F.col("n") == 2, F.col("partner"))).alias("next"))
+    before = F.when(F.col("one.event_id") == F.col("event_id"), F.col("next")).otherwise(F.col("one.partner"))
+    second = there.join(two, "mmsi").where(before < F.col("last")).select("event_id", "began").distinct().orderBy(F.desc("began"), "event_id").limit(most)
+    b2 = e.join(second, "event_id").select(F.col("mmsi").alias("b_mmsi"), F.col("event_id").alias("second_event"), F.col("began").alias("t2"))
+    c = e.select(F.col("mmsi").alias("c_mmsi"), F.col("event_id").alias("second_event"))
+    b1 = e.select(F.col("mmsi").alias("b_mmsi"), F.col("event_id").alias("first_event"))
+    a = e.select(F.col("mmsi").alias("a_mmsi"), F.col("event_id").alias("first_event"))
+    starts = events.select(F.col("event_id").alias("first_event"), F.col("began").alias("t1"))
+    chains = b2.join(c, "second_event").where("c_mmsi <> b_mmsi").join(b1, "b_mmsi").where("first_event <> second_event").join(a, "first_event").where("a_mmsi <> b_mmsi and a_mmsi < c_mmsi")
+    newest = chains.orderBy(F.desc("t2"), "second_event", "a_mmsi", "b_mmsi", "c_mmsi", "first_event").limit(most)
+    return newest.join(starts, "first_event").select("a_mmsi", "b_mmsi", "c_mmsi", "first_event", "second_event", "t1", "t2")
 
 
 @query(with_views("vessels", """
