@@ -25,12 +25,13 @@ def cell_join(left: DataFrame, right: DataFrame, degrees: float, left_on=("lat",
     return spread.join(held, (F.col("_cy") == F.col("_ry")) & (F.col("_cx") == F.col("_rx"))).drop("_cy", "_cx", "_ry", "_rx")
 
 
-def near_join(left: DataFrame, right: DataFrame, km: float, left_on=("lat", "lon"), right_on=("lat", "lon"), times: tuple[str, str, int, int] | None = None) -> DataFrame:
+def near_join(left: DataFrame, right: DataFrame, km: float, left_on=("lat", "lon"), right_on=("lat", "lon"), times: tuple[str, str, int, int] | None = None, same: tuple[str, str] | None = None) -> DataFrame:
     """Pairs that may lie within ``km``, by equality of grid cells; callers refine by exact distance.
 
     Cells are as high as the radius. Towards the poles a radius spans more
     degrees of longitude, so a left row meets as many cells as its latitude
-    asks for, across 180 degrees too. With ``times`` (time columns of both
+    asks for, across 180 degrees too. ``same`` names a column of each side that
+    must be equal too. With ``times`` (time columns of both
     sides, seconds back and ahead) time buckets join the key, and pairs are
     those inside the window. Columns of both sides must have different names.
     """
@@ -45,15 +46,17 @@ def near_join(left: DataFrame, right: DataFrame, km: float, left_on=("lat", "lon
     columns = F.when(2 * reach + 1 >= around, F.sequence(F.lit(0), F.lit(around - 1))).otherwise(F.sequence(own - reach, own + reach))
     spread = left.withColumn("_cy", F.explode(near_cells(lat, degrees))).withColumn("_cx", F.explode(columns)).withColumn("_cx", F.pmod(F.col("_cx").cast("long"), F.lit(around)))
     held = right.withColumns({"_ry": cell(rlat, degrees), "_rx": F.pmod(F.floor((rlon + 180.0) / width).cast("long"), F.lit(around))})
-    same = (F.col("_cy") == F.col("_ry")) & (F.col("_cx") == F.col("_rx"))
+    meet = (F.col("_cy") == F.col("_ry")) & (F.col("_cx") == F.col("_rx"))
+    if same is not None:
+        meet = meet & (F.col(same[0]) == F.col(same[1]))
     if times is None:
-        return spread.join(held, same).drop("_cy", "_cx", "_ry", "_rx")
+        return spread.join(held, meet).drop("_cy", "_cx", "_ry", "_rx")
     left_ts, right_ts, back, ahead = times
     step = max(1, back + ahead) * 1_000_000
     at, other = micros(left_ts), micros(right_ts)
     buckets = F.sequence(F.floor((at - back * 1_000_000) / step).cast("long"), F.floor((at + ahead * 1_000_000) / step).cast("long"))
     spread, held = spread.withColumn("_b", F.explode(buckets)), held.withColumn("_rb", F.floor(other / step).cast("long"))
-    joined = spread.join(held, same & (F.col("_b") == F.col("_rb"))).drop("_cy", "_cx", "_ry", "_rx", "_b", "_rb")
+    joined = spread.join(held, meet & (F.col("_b") == F.col("_rb"))).drop("_cy", "_cx", "_ry", "_rx", "_b", "_rb")
     return joined.where((other >= at - back * 1_000_000) & (other <= at + ahead * 1_000_000))
 
 

@@ -49,3 +49,67 @@ def test_table_writer_is_idempotent(spark, tmp_path):
 def test_retries(spark):
     d = spark.createDataFrame([("TIMEOUT", 2, "t"), ("TIMEOUT", 3, "t"), ("SCHEMA_VALIDATION", 0, "t"), ("TIMEOUT", None, None)], "category string, _retry_count int, _original_topic string")
     assert [(r.category, r._retry_count) for r in detectors.retries(d).collect()] == [("TIMEOUT", 3)]
+
+
+def test_pair_stream_equals_batch(spark, small, tmp_path):
+    import random
+
+    from seamark.operators.pairs import close_reports, together, transfers, valid_positions
+    from seamark.streaming.pairs import pair_writer
+    from seamark.tables import micros
+
+    larger = small.replace("sf0.001", "sf0.01")
+    rows = T.positions(spark, larger).where("vessel_id % 60 < 20").withColumn("ts", F.col("ts").cast("timestamp")).select("position_id", "vessel_id", "ts", "lat", "lon").collect()
+    last = max(r.ts for r in rows)
+    rng = random.Random(11)
+    late = timedelta(hours=30)
+    # arrival: up to 30 hours after the time of the position, so batches overlap in time
+    arrivals = sorted(((r.ts + timedelta(hours=rng.uniform(0, 29)), tuple(r)) for r in rows), key=lambda x: x[0])
+    cuts = [0, len(rows) // 5, len(rows) // 5, len(rows) // 2, len(rows) - 40, len(rows)]
+    batches = [[r for _, r in arrivals[a:b]] for a, b in zip(cuts, cuts[1:])]
+    batches[3] += batches[2][:50]  # some come twice
+    batches.append([(10**9, 10**9, last + 3 * late, 0.0, 0.0)])  # moves the clock past all
+    write = pair_writer(f"file://{tmp_path}/pairs", km=25 * 1.852, stale_minutes=360, lateness_minutes=30 * 60)
+    schema = "position_id long, vessel_id long, ts timestamp, lat double, lon double"
+    for k, b in enumerate(batches):
+        write(spark.createDataFrame(b, schema), k)
+        if k in (2, 4):
+            write(spark.createDataFrame(b, schema), k)  # a batch that is run again
+    got = [tuple(r) for r in spark.read.option("recursiveFileLookup", "true").parquet(f"file://{tmp_path}/pairs/events").collect()]
+    p = spark.createDataFrame(rows, schema).select("position_id", "vessel_id", micros("ts").alias("at"), "lat", "lon")
+    want = [tuple(r) for r in transfers(together(close_reports(valid_positions(p), 25 * 1.852, 360 * 60_000_000)), 30).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_pairs_as_read_one_by_one(spark):
+    import random
+
+    from seamark.operators.pairs import close_reports, together, transfers, valid_positions
+
+    rng = random.Random(5)
+    rows, t = [], 0
+    for k in range(600):
+        t += rng.randrange(0, 8) * 60_000_000
+        v = rng.randrange(6)
+        rows.append((k, v, t, 10 + rng.choice([0.0, 0.004, 0.004, 0.02]), 179.999 + rng.choice([0.0, 0.003])))
+    minutes, stale, km = 30, 90 * 60_000_000, 1.0
+    latest, open_pairs, want = {}, {}, []
+    for k, v, at, lat, lon in rows:
+        for w, (wat, wlat, wlon) in latest.items():
+            if w == v:
+                continue
+            key = frozenset((v, w))
+            a, b, c, d = map(__import__("math").radians, (lat, lon, wlat, wlon))
+            m = __import__("math")
+            h = m.sin((c - a) / 2) ** 2 + m.cos(a) * m.cos(c) * m.sin((d - b) / 2) ** 2
+            if at - wat <= stale and 2 * 6371 * m.asin(m.sqrt(h)) <= km:
+                first = open_pairs.setdefault(key, [at, v, w, False])
+                if at - first[0] >= minutes * 60_000_000 and not first[3]:
+                    first[3] = True
+                    want.append((first[1], first[2], first[0], at))
+            else:
+                open_pairs.pop(key, None)
+        latest[v] = (at, lat, lon)
+    df = spark.createDataFrame(rows, "position_id long, vessel_id long, at long, lat double, lon double").repartition(5)
+    got = transfers(together(close_reports(valid_positions(df), km, stale)), minutes).select("vessel_a", "vessel_b", "began_us", "told_us")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 3
