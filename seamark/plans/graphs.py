@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from seamark import tables as T
 from seamark.operators import graph
+from seamark.operators.communities import modularity_communities
 from seamark.operators.paths import expand_paths, reach
 from seamark.plans.registry import query
 from seamark.tables import with_views
@@ -207,8 +208,9 @@ def contact_components(spark, d):
 
 @query()
 def communities(spark, d):
-    """Label propagation; no SQL, as labels move in synchronous rounds."""
-    return graph.label_communities(T.causes(spark, d)).groupBy("community").agg(F.count("*").alias("size"), F.min("node").alias("first"))
+    """Communities of the graph of effects by modularity, with their size and smallest node; no SQL, as nodes move in rounds."""
+    found = modularity_communities(T.causes(spark, d))
+    return found.groupBy("community").agg(F.count("*").alias("size"), F.min("node").alias("first"))
 
 
 @query()

@@ -77,7 +77,7 @@ def ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cause-to-effect edges between suppliers' event types, with confidences below one."""
     s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
-    size = F.lit(100)
+    size = s.agg(F.max("k") + 1).scalar()
     parts = [
         s.select(F.concat(F.lit(p), F.col("k").cast("string")).alias("edge_id"), F.col("k").alias("src"), ((F.col("k") * m + a) % size).alias("dst"), conf.alias("confidence"))
         for p, m, a, conf in (
@@ -109,10 +109,10 @@ VIEWS = {
         SELECT 'x' || c_custkey::VARCHAR, c_custkey, (c_custkey * 7 + 3) % 97, 10.0::DOUBLE + c_custkey % 40 FROM customer WHERE c_custkey % 29 = 0 AND c_custkey < 290)""",
     "causes": """causes AS (
         SELECT * FROM (
-            SELECT 'a' || s_suppkey::VARCHAR AS edge_id, s_suppkey AS src, (s_suppkey * 3 + 1) % 100 AS dst,
+            SELECT 'a' || s_suppkey::VARCHAR AS edge_id, s_suppkey AS src, (s_suppkey * 3 + 1) % (SELECT max(s_suppkey) + 1 FROM supplier) AS dst,
                    CASE WHEN s_suppkey % 11 = 0 THEN NULL ELSE (s_suppkey % 7 + 3) / 10.0::DOUBLE END AS confidence FROM supplier
             UNION ALL
-            SELECT 'b' || s_suppkey::VARCHAR, s_suppkey, (s_suppkey * 7 + 5) % 100, (s_suppkey % 5 + 4) / 10.0::DOUBLE FROM supplier)
+            SELECT 'b' || s_suppkey::VARCHAR, s_suppkey, (s_suppkey * 7 + 5) % (SELECT max(s_suppkey) + 1 FROM supplier), (s_suppkey % 5 + 4) / 10.0::DOUBLE FROM supplier)
         WHERE src <> dst)""",
 }
 
