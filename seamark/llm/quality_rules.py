@@ -12,10 +12,10 @@ with confidence ``1 - delta`` no stratum loses more than ``alpha`` of its good
 documents. A stratum with too few labels certifies nothing and its documents
 are kept.
 
-With ``joint``, as the registered queries have it, nine tenths of ``delta`` go
+With ``joint``, as the registered queries have it, half of ``delta`` goes
 to one nested sequence of joint cutoffs per stratum: all rules together, lax to
 strict, each step tested with the whole ``alpha`` and corrected over strata
-only. The rest goes to the rules one by one as above. Both hold at once,
+only. The other half goes to the rules one by one as above. Both hold at once,
 so a stratum takes the set whose cutoffs are stricter in sum: the sequence
 where labels are few, the rules by themselves where one of them would stop the
 sequence. Everything is DataFrame code.
@@ -40,8 +40,8 @@ CUTOFFS: Mapping[str, Sequence[float]] = {
     "dup_line_share": (0.8, 0.5, 0.3),
     "mean_word_chars": (20.0, 15.0, 12.0, 10.0),
 }
-#: Part of ``delta`` that the sequence of joint cutoffs has.
-SEQUENCE_SHARE = 0.9
+#: Part of ``delta`` that the sequence of joint cutoffs has: even parts, set without looking at any labels.
+SEQUENCE_SHARE = 0.5
 METRICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_other")
 
 
