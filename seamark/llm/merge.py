@@ -48,5 +48,5 @@ def tree_sum(rows: DataFrame, dtype: str, fan: int = 64, most: int | None = None
         if width == 1:
             break
         rows = materialize(rows, "tree-sum")
-    found = sorted((r["chunk"], r["payload"]) for r in rows.collect())
-    return np.concatenate([np.frombuffer(zlib.decompress(p), dtype if most is None else "u4") for _, p in found])
+    parts = {r["chunk"]: r["payload"] for r in rows.collect()}
+    return np.concatenate([np.frombuffer(zlib.decompress(parts.pop(k)), dtype if most is None else "u4") for k in sorted(parts)])

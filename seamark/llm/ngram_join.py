@@ -308,13 +308,15 @@ def _near_by_bitmap(pairs: DataFrame, classes: DataFrame, num: int, den: int) ->
         for batch in batches:
             total = np.zeros(len(batch), np.int64)
             apart = np.zeros(len(batch), np.int64)
-            for i, (a, b) in enumerate(batch.column(2).to_pylist()):
+            for i, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 total[i] = a["n"] + b["n"]
                 apart[i] = _wide_differences(a["wide"], b["wide"])
             near = (total - apart) * (num + den) >= 2 * num * total
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near)], ["x", "h", "near"])
 
-    return _with_ends(pairs, classes, F.struct("n", "wide")).mapInArrow(rows, "x long, h long, near boolean")
+    ends = {end: classes.select(F.col("k").alias(end), F.struct("n", "wide").alias(f"of_{end}")) for end in ("x", "h")}
+    both = pairs.join(ends["x"], "x").join(ends["h"], "h").select("x", "h", "of_x", "of_h")
+    return both.mapInArrow(rows, "x long, h long, near boolean")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -361,7 +363,9 @@ class _Links:
         return pairs.where("_x <> _h").select("x", "h")
 
     def test(self, pairs: DataFrame, sets: DataFrame) -> int:
-        """Verify the pairs; the number that links."""
+        """Verify the pairs, a written table; the number that links."""
+        if pairs.isEmpty():
+            return 0
         judged = materialize(_near_by_bitmap(pairs, self.classes, self.num, self.den), "ngram-pairs")
         checked = _verify(judged.where("near"), sets, self.num, self.den).union(judged.where("not near"))
         found = materialize(checked.select(F.least("x", "h").alias("a"), F.greatest("x", "h").alias("b"), "linked"), "ngram-verified")
