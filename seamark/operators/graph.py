@@ -7,6 +7,7 @@ a lost executor costs one round.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="seamark-"))
 
 
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new path in the folder for checkpoints, which all executors share."""
+    ensure_checkpoint_dir(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return f"{root}/{label}-{uuid.uuid4().hex}"
+
+
 def pagerank(edges: DataFrame, rounds: int = 10, damping: float = 0.85) -> DataFrame:
     """``node``, ``rank`` after a fixed number of power iterations; ranks sum to 1.
 

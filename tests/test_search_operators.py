@@ -169,3 +169,37 @@ def test_sessions_fit_known_rates():
     assert abs(rate - 0.25) < 0.03 and all(abs(fitted[i][1] - m[i][1]) < 0.04 for i in range(3))
     _, skipped = linkage.fit_matches(table, u, [2])
     assert all(abs(skipped[i][1] - m[i][1]) < 0.08 for i in range(2))
+
+
+def test_search_finds_what_a_full_scan_finds(spark, tmp_path):
+    from seamark.operators import search as S
+
+    rng = random.Random(6)
+    common, rare = [f"c{i}" for i in range(5)], [f"r{i}" for i in range(300)]
+    docs = [(i, " ".join(rng.choices(common, k=rng.randint(0, 12)) + rng.choices(rare, k=rng.randint(0, 4)))) for i in range(400)] + [(1000, None), (1001, "")]
+    asked = [(i, " ".join(rng.choices(common, k=3) + rng.choices(rare, k=rng.randint(0, 2)))) for i in range(25)] + [(90, None), (91, "unknown")]
+    path = f"file://{tmp_path}/index"
+    S.write_index(spark.createDataFrame(docs, "d long, text string"), "d", S.words(F.col("text")), path)
+    got = {}
+    for r in S.search(spark, path, spark.createDataFrame(asked, "q long, text string"), "q", S.words(F.col("text")), k=7).collect():
+        got.setdefault(r["q"], []).append((r["place"], r["doc"], r["score"]))
+    terms = {d: Counter((t or "").split()) for d, t in docs}
+    df = Counter(t for c in terms.values() for t in c)
+    mean = sum(c.total() for c in terms.values()) / len(docs)
+    for q, text in asked:
+        scores = {}
+        for d, c in terms.items():
+            hit = [t for t in set((text or "").split()) if t in c]
+            if hit:
+                scores[d] = sum(math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * c.total() / mean)) for t in hit)
+        best = sorted(scores, key=lambda d: (-round(scores[d], 6), d))[:7]
+        assert [d for _, d, _ in sorted(got.get(q, []))] == best
+        assert all(abs(s - scores[d]) < 2e-6 for _, d, s in got.get(q, []))
+
+
+def test_names_that_sound_alike_share_a_piece(spark):
+    from seamark.operators.search import name_pieces
+
+    rows = spark.createDataFrame([("Smith",), ("Smyth",), ("",), (None,), ("ab",)], "name string").select(name_pieces(F.col("name"))).collect()
+    a, b, empty, null, short = (set(r[0]) for r in rows)
+    assert a & b and any(x.startswith("#") for x in a & b) and not empty and not null and short == {"#A100"}
