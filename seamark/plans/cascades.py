@@ -142,31 +142,39 @@ def cartel_to_maritime(spark, d):
 @query(recursive(f"""WITH {INCIDENTS},
     p AS (SELECT i.event_id AS root, e.dst AS node, 1 AS hops, [e.edge_id] AS ids, e.c AS score FROM incidents i JOIN leads e ON e.src = i.event_id WHERE event_type = 'CARTEL_INTERDICTION' AND e.c > 0.005
           UNION ALL SELECT p.root, e.dst, p.hops + 1, list_append(p.ids, e.edge_id), p.score * e.c FROM p JOIN leads e ON e.src = p.node WHERE p.hops < 5 AND NOT list_contains(p.ids, e.edge_id) AND p.score * e.c > 0.005)
-    SELECT a.instrument, count(*) AS paths, round(max(p.score * a.c), 6) AS best FROM p JOIN incidents i ON i.event_id = p.node JOIN affects a ON a.event_id = p.node WHERE i.domain = 'financial' AND p.score * a.c > 0.005 GROUP BY 1"""))
-def revenue_feedback(spark, d):
-    """Instruments moved by financial incidents that interdictions lead to: paths and best confidence each."""
+    SELECT p.root AS interdiction_id, p.node AS financial_id, i.event_type AS financial_type, a.instrument, p.hops + 1 AS hops, array_to_string(p.ids, '>') AS path, round(p.score * a.c, 6) AS score
+    FROM p JOIN incidents i ON i.event_id = p.node JOIN affects a ON a.event_id = p.node WHERE i.domain = 'financial' AND p.score * a.c > 0.005
+    ORDER BY score DESC, path, a.instrument LIMIT 30"""))
+def revenue_feedback(spark, d, most=30):
+    """The strongest ways from an interdiction through a financial incident to an instrument that it moves."""
     p = from_incidents(spark, d, "event_type = 'CARTEL_INTERDICTION'", "domain = 'financial'", 5, 0.005)
-    # paths to one incident are put together before they meet its instruments, where equal scores allow it
-    per_score = p.groupBy("node", "score").agg(F.count("*").alias("n"))
-    j = per_score.join(affects(spark, d), F.col("node") == F.col("event_id")).withColumn("s", F.col("score") * F.col("c")).where("s > 0.005")
-    return j.groupBy("instrument").agg(F.sum("n").alias("paths"), F.round(F.max("s"), 6).alias("best"))
+    j = p.join(affects(spark, d), F.col("node") == F.col("event_id")).withColumn("s", F.col("score") * F.col("c")).where("s > 0.005")
+    kinds = incidents(spark, d).select(F.col("event_id").alias("financial_id"), F.col("event_type").alias("financial_type"))
+    ways = j.select(F.col("root").alias("interdiction_id"), F.col("node").alias("financial_id"), "instrument", (F.col("hops") + 1).alias("hops"), F.array_join("edge_ids", ">").alias("path"), F.round("s", 6).alias("score"))
+    return ways.orderBy(F.desc("score"), "path", "instrument").limit(most).join(kinds, "financial_id")
 
 
 @query(with_views("vessels ownership", """
     WITH t AS (SELECT DISTINCT o_custkey AS src, -l_suppkey - 1 AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
     e AS (SELECT edge_id, src, dst FROM ownership UNION ALL SELECT 's' || src::VARCHAR || dst::VARCHAR, src, dst FROM t),
-    p AS (SELECT vessel_id AS root, e.dst AS node, 1 AS hops, [edge_id] AS ids FROM vessels JOIN e ON e.src = vessel_id WHERE sanctions_status = 'SANCTIONED'
-          UNION ALL SELECT root, e.dst, hops + 1, list_append(ids, e.edge_id) FROM p JOIN e ON e.src = p.node WHERE hops < 4 AND NOT list_contains(ids, e.edge_id))
-    SELECT root AS person, hops AS layers, count(*) AS trails, count(DISTINCT node) AS entities FROM p WHERE node < 0 GROUP BY ALL""", recursive=True))
-def money_trail(spark, d):
-    """From sanctioned owners through what they control to those they paid (negative nodes)."""
+    names AS (SELECT vessel_id AS node, name FROM vessels UNION ALL SELECT -s_suppkey - 1, s_name FROM supplier),
+    p AS (SELECT vessel_id AS root, e.dst AS node, 1 AS hops, [edge_id] AS ids, [n.name] AS chain FROM vessels JOIN e ON e.src = vessel_id LEFT JOIN names n ON n.node = e.dst WHERE sanctions_status = 'SANCTIONED'
+          UNION ALL SELECT root, e.dst, hops + 1, list_append(ids, e.edge_id), list_append(chain, n.name) FROM p JOIN e ON e.src = p.node LEFT JOIN names n ON n.node = e.dst WHERE hops < 4 AND NOT list_contains(ids, e.edge_id))
+    SELECT v.name AS person, array_to_string(chain, '>') AS financial_chain, hops AS layers FROM p JOIN vessels v ON v.vessel_id = p.root
+    WHERE p.node < 0 ORDER BY layers DESC, p.root, array_to_string(ids, '>') LIMIT 30""", recursive=True))
+def money_trail(spark, d, most=30):
+    """From sanctioned owners through what they control to those they paid (negative nodes): the longest trails, by name."""
     o, li = T.load(spark, d, "orders"), T.load(spark, d, "lineitem")
     paid = li.join(o, li["l_orderkey"] == o["o_orderkey"]).select(F.col("o_custkey").alias("src"), (-F.col("l_suppkey") - 1).alias("dst")).distinct()
     paid = paid.select(F.concat(F.lit("s"), F.col("src").cast("string"), F.col("dst").cast("string")).alias("edge_id"), "src", "dst")
-    own = T.ownership(spark, d).select("edge_id", "src", "dst")
-    roots = T.vessels(spark, d).where("sanctions_status = 'SANCTIONED'").select(F.col("vessel_id").alias("root"))
-    p = expand_paths(own.unionByName(paid), roots, 4).where("node < 0")
-    return p.groupBy(F.col("root").alias("person"), F.col("hops").alias("layers")).agg(F.count("*").alias("trails"), F.countDistinct("node").alias("entities"))
+    v = T.vessels(spark, d)
+    roots = v.where("sanctions_status = 'SANCTIONED'").select(F.col("vessel_id").alias("root"))
+    trails = expand_paths(T.ownership(spark, d).select("edge_id", "src", "dst").unionByName(paid), roots, 4).where("node < 0")
+    longest = trails.withColumn("path", F.array_join("edge_ids", ">")).orderBy(F.desc("hops"), "root", "path").limit(most)
+    names = v.select(F.col("vessel_id").alias("n"), "name").unionByName(T.load(spark, d, "supplier").select((-F.col("s_suppkey") - 1).alias("n"), F.col("s_name").alias("name")))
+    steps = longest.select("root", "path", "hops", F.posexplode("nodes").alias("at", "n")).join(names, "n", "left")
+    named = steps.groupBy("root", "path", "hops").agg(F.array_sort(F.collect_list(F.struct("at", "name"))).alias("s"))
+    return named.select(F.col("s")[0]["name"].alias("person"), F.array_join(F.transform(F.slice("s", 2, 9), lambda x: x["name"]), ">").alias("financial_chain"), F.col("hops").alias("layers"))
 
 
 @query(with_views("vessels ownership", """

@@ -96,15 +96,27 @@ def ultimate_owners(spark, d):
     return p.where("node = 0 or node % 5 = 0").select("root", F.col("node").alias("owner"), "hops", F.round(F.col("score") * 100 + 1e-9, 3).alias("pct")).distinct()
 
 
-@query(with_views("ownership", """
-    WITH down AS (SELECT src AS root, dst AS node, 1 AS level, [edge_id] AS ids, pct FROM ownership WHERE src = 3
-                  UNION ALL SELECT root, o.dst, level + 1, list_append(ids, o.edge_id), o.pct FROM down JOIN ownership o ON o.src = down.node WHERE level < 5 AND NOT list_contains(ids, o.edge_id))
-    SELECT node, level, round(pct, 4) AS last_pct, array_to_string(ids, '>') AS chain FROM down""", recursive=True))
-def ownership_tree_down(spark, d):
-    o = T.ownership(spark, d)
-    p = expand_paths(o, o.where("src = 3").select(F.col("src").alias("root")).distinct(), 5)
-    last = o.select(F.col("edge_id").alias("last"), "pct")
-    return p.withColumn("last", F.element_at("edge_ids", -1)).join(last, "last").select("node", F.col("hops").alias("level"), F.round("pct", 4).alias("last_pct"), F.array_join("edge_ids", ">").alias("chain"))
+TREE = """WITH t AS (SELECT {far} AS node, 1 AS level, [edge_id] AS ids, [{near}, {far}] AS nodes, pct FROM ownership WHERE {near} = {root}
+                  UNION ALL SELECT o.{far}, level + 1, list_append(ids, o.edge_id), list_append(nodes, o.{far}), o.pct FROM t JOIN ownership o ON o.{near} = t.node WHERE level < 10 AND NOT list_contains(ids, o.edge_id))
+    SELECT node, level, round(pct, 4) AS last_pct, array_to_string(ids, '>') AS edges, array_to_string(nodes, '>') AS chain FROM t"""
+
+
+def ownership_tree(edges, root, levels=10):
+    """Every way of up to ten holdings from ``root``, with the share of the last one; ``edges`` point away from it."""
+    p = expand_paths(edges, edges.where(F.col("src") == root).select(F.col("src").alias("root")).distinct(), levels)
+    last = edges.select(F.col("edge_id").alias("last"), "pct")
+    ways = p.withColumn("last", F.element_at("edge_ids", -1)).join(last, "last")
+    return ways.select("node", F.col("hops").alias("level"), F.round("pct", 4).alias("last_pct"), F.array_join("edge_ids", ">").alias("edges"), F.array_join(F.col("nodes").cast("array<string>"), ">").alias("chain"))
+
+
+@query(with_views("ownership", TREE.format(near="src", far="dst", root=3), recursive=True))
+def ownership_tree_down(spark, d, root=3):
+    return ownership_tree(T.ownership(spark, d), root)
+
+
+@query(with_views("ownership", TREE.format(near="dst", far="src", root=90), recursive=True))
+def ownership_tree_up(spark, d, root=90):
+    return ownership_tree(upward(T.ownership(spark, d)), root)
 
 
 @query(with_views("ownership", f"WITH {OWNERS} SELECT root, node AS owner, min(hops) AS depth FROM up GROUP BY ALL", recursive=True))
