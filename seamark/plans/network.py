@@ -22,10 +22,10 @@ TYPED = """typed AS (
     FROM contacts JOIN part ON event_id = p_partkey)"""
 
 
-def typed(body: str) -> str:
+def typed(body: str, more: str = "") -> str:
     body = body.strip()
     rest = ", " + body[5:] if body.upper().startswith("WITH ") else " " + body
-    return with_views("vessels contacts", f"WITH {TYPED}{rest}")
+    return with_views(f"vessels contacts {more}", f"WITH {TYPED}{rest}")
 
 
 def typed_contacts(spark: SparkSession, d: str) -> DataFrame:

@@ -5,38 +5,70 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seamark import tables as T
-from seamark.plans.network import counts_by_vessel, typed
+from seamark.functions import risk
+from seamark.plans.network import typed, typed_contacts
 from seamark.plans.registry import query
-from seamark.tables import with_views
+from seamark.plans.tracks import GAPS, detect_gaps
+from seamark.tables import micros, with_views
 
-# Flags of convenience by their number here, and the weights of the vessel score.
+# Flags of convenience by their number here.
 OPEN_FLAGS = (3, 7, 11, 19)
-RISK_SQL = """4.0 * (sanctions_status = 'SANCTIONED')::INT + 3.0 * (vessel_id % 37 = 0)::INT + 2.0 * (coalesce(dark, 0) > 3)::INT + 0.2 * least(coalesce(dark, 0), 5) + 2.5 * (coalesce(encounters, 0) > 8)::INT
-    + 1.0 * (regexp_extract(flag, '[0-9]+')::INT IN (3, 7, 11, 19))::INT + 0.5 * least(vessel_id % 5, 3) + 1.0 * (vessel_id % 23 = 0)::INT"""
 
 
 @query(typed(f"""
-    WITH c AS (SELECT vessel_id, count(*) FILTER (kind = 'ENCOUNTER') AS encounters, count(*) FILTER (kind = 'DARK') AS dark FROM typed GROUP BY 1)
-    SELECT v.vessel_id, round(least(10.0, {RISK_SQL.replace("vessel_id", "v.vessel_id")}), 2) AS risk FROM vessels v LEFT JOIN c ON c.vessel_id = v.vessel_id"""))
+    WITH {GAPS}, g AS (SELECT vessel_id, count(*) FILTER (epoch_us(ts) >= epoch_us(TIMESTAMP '{T.AS_OF}') - 2592000000000) AS month,
+                              count(*) FILTER (epoch_us(ts) >= epoch_us(TIMESTAMP '{T.AS_OF}') - 86400000000) AS day FROM caused GROUP BY 1),
+    c AS (SELECT vessel_id, count(*) FILTER (kind = 'ENCOUNTER') AS encounters, count(*) FILTER (kind = 'PORT' AND event_id % 50 = 3) AS ports,
+                 count(*) FILTER (kind = 'LOITERING' AND hours >= 40 AND lat < 12 AND lon < -66) AS routes FROM typed GROUP BY 1),
+    m AS (SELECT vessel_id, date_trunc('month', seen) AS month FROM typed WHERE kind IN ('ENCOUNTER', 'DARK') GROUP BY ALL HAVING count(DISTINCT kind) = 2),
+    e AS (SELECT event_id, count(DISTINCT vessel_id) AS n FROM typed JOIN vessels USING (vessel_id) WHERE kind = 'ENCOUNTER' AND sanctions_status = 'SANCTIONED' GROUP BY 1),
+    near AS (SELECT DISTINCT t.vessel_id FROM typed t JOIN e USING (event_id) JOIN vessels v ON v.vessel_id = t.vessel_id WHERE t.kind = 'ENCOUNTER' AND n > (v.sanctions_status = 'SANCTIONED')::INT),
+    held AS (SELECT DISTINCT o.dst AS vessel_id FROM ownership o JOIN vessels v ON v.vessel_id = o.src WHERE v.sanctions_status = 'SANCTIONED'),
+    known AS (SELECT DISTINCT dst AS vessel_id FROM ownership WHERE pct >= 55)
+    SELECT v.vessel_id, least(10.0, round(4.0 * (sanctions_status = 'SANCTIONED')::INT + 3.0 * (held.vessel_id IS NOT NULL)::INT + 2.0 * (coalesce(day, 0) > 0)::INT + 0.2 * least(coalesce(g.month, 0), 5)
+           + 2.5 * (coalesce(encounters, 0) > 8)::INT + 3.0 * (v.vessel_id IN (SELECT vessel_id FROM m))::INT + 1.5 * (coalesce(ports, 0) > 0)::INT + 1.0 * (regexp_extract(flag, '[0-9]+')::INT IN (3, 7, 11, 19))::INT
+           + 0.5 * least(v.vessel_id % 5, 3) + 1.0 * (known.vessel_id IS NULL)::INT + 2.5 * (coalesce(routes, 0) > 0)::INT + 1.5 * (near.vessel_id IS NOT NULL)::INT, 2))::DOUBLE AS risk
+    FROM vessels v LEFT JOIN c USING (vessel_id) LEFT JOIN g USING (vessel_id) LEFT JOIN near USING (vessel_id) LEFT JOIN held USING (vessel_id) LEFT JOIN known USING (vessel_id)""", "positions ownership"))
 def vessel_risk(spark, d):
-    """The weighted vessel score, from 0 to 10."""
-    v = T.vessels(spark, d).join(counts_by_vessel(spark, d), "vessel_id", "left").fillna(0, ["encounters", "dark"])
-    k = F.col("vessel_id")
-
-    def if_(cond, w):
-        return F.when(cond, w).otherwise(0.0)
-
-    score = (
-        if_(F.col("sanctions_status") == "SANCTIONED", 4.0)
-        + if_(k % 37 == 0, 3.0)
-        + if_(F.col("dark") > 3, 2.0)
-        + 0.2 * F.least("dark", F.lit(5))
-        + if_(F.col("encounters") > 8, 2.5)
-        + if_(F.regexp_extract("flag", "[0-9]+", 0).cast("int").isin(*OPEN_FLAGS), 1.0)
-        + 0.5 * F.least(k % 5, F.lit(3))
-        + if_(k % 23 == 0, 1.0)
+    """The vessel score from all twelve indicators: listing, owners, gaps, transfers, ports, flags, routes and company."""
+    v = T.vessels(spark, d)
+    ended = micros("ts")
+    as_of = F.unix_micros(F.lit(T.AS_OF).cast("timestamp"))
+    day = 86_400_000_000
+    gaps = detect_gaps(T.positions(spark, d)).groupBy("vessel_id").agg(F.count_if(ended >= as_of - 30 * day).alias("month"), F.count_if(ended >= as_of - day).alias("day"))
+    t = typed_contacts(spark, d)
+    kind = F.col("kind")
+    route = (kind == "LOITERING") & (F.col("hours") >= 40) & (F.col("lat") < 12) & (F.col("lon") < -66)
+    # one pass over the contacts, by month first: a dark period and an encounter in one month may be one affair
+    by_month = t.groupBy("vessel_id", F.date_trunc("month", "seen").alias("in_month")).agg(
+        F.count_if(kind == "ENCOUNTER").alias("met"), F.count_if(kind == "DARK").alias("dark"), F.count_if((kind == "PORT") & (F.col("event_id") % 50 == 3)).alias("ports"), F.count_if(route).alias("routes")
     )
-    return v.select("vessel_id", F.round(F.least(F.lit(10.0), score), 2).alias("risk"))
+    counts = by_month.groupBy("vessel_id").agg(F.sum("met").alias("encounters"), F.sum("ports").alias("ports"), F.sum("routes").alias("routes"), F.bool_or((F.col("met") > 0) & (F.col("dark") > 0)).alias("dark_transfer"))
+    listed = v.where("sanctions_status = 'SANCTIONED'").select("vessel_id")
+    met = t.where("kind = 'ENCOUNTER'").select("vessel_id", "event_id").distinct()
+    with_listed = met.join(listed, "vessel_id").groupBy("event_id").agg(F.count("*").alias("n"))
+    near = met.join(with_listed, "event_id").groupBy("vessel_id").agg(F.max("n").alias("company"))
+    o = T.ownership(spark, d)
+    owners = o.join(listed.withColumnRenamed("vessel_id", "src"), "src", "left_semi").select(F.col("dst").alias("vessel_id"), F.lit(True).alias("owner_listed")).distinct()
+    known = o.where("pct >= 55").select(F.col("dst").alias("vessel_id"), F.lit(True).alias("owner_known")).distinct()
+    for part in (counts, gaps, near, owners, known):
+        v = v.join(part, "vessel_id", "left")
+    listing = F.col("sanctions_status") == "SANCTIONED"
+    score = risk.vessel_risk({
+        "sanctioned": listing,
+        "owner_sanctioned": F.col("owner_listed"),
+        "gap_last_day": F.col("day") > 0,
+        "gaps_last_month": F.col("month"),
+        "transfer": F.col("encounters") > 8,
+        "dark_transfer": F.col("dark_transfer"),
+        "risky_port": F.col("ports") > 0,
+        "risky_flag": F.regexp_extract("flag", "[0-9]+", 0).cast("int").isin(*OPEN_FLAGS),
+        "flag_changes": F.col("vessel_id") % 5,
+        "owner_unknown": F.col("owner_known").isNull(),
+        "cartel_route": F.col("routes") > 0,
+        "near_sanctioned": F.col("company") > F.when(listing, 1).otherwise(0),
+    })
+    return v.select("vessel_id", score.alias("risk"))
 
 
 COMPANY = """company AS (SELECT s_suppkey AS company_id, 'Company ' || s_suppkey::VARCHAR AS name, s_nationkey AS jurisdiction, s_suppkey * 7 % 40 AS address_id, s_suppkey % 12 AS agent_id,
@@ -52,26 +84,39 @@ def companies(spark, d):
 
 
 @query(f"""
-    WITH {COMPANY}, a AS (SELECT address_id, count(*) AS at_address FROM company GROUP BY 1), g AS (SELECT agent_id, count(*) AS of_agent FROM company GROUP BY 1),
-    s AS (SELECT company_id, 2.0 * (at_address > 2)::INT + 2.0 * (of_agent > 8)::INT + 2.0 * (jurisdiction IN (3, 7, 11))::INT + CASE WHEN employees IS NULL THEN 0.5 WHEN employees = 0 THEN 1.0 ELSE 0.0 END + 1.0 * overdue::INT
-                 + 1.0 * (age_days < 365)::INT + 1.0 * regexp_matches(name, '^Company [0-9]$')::INT AS score FROM company JOIN a USING (address_id) JOIN g USING (agent_id))
-    SELECT company_id, round(score, 2) AS score, CASE WHEN score >= 5 THEN 'SHELL' WHEN score >= 3 THEN 'POSSIBLE' ELSE 'NORMAL' END AS class FROM s""")
+    WITH {COMPANY}, a AS (SELECT address_id, count(*) - 1 AS others FROM company GROUP BY 1),
+    o AS (SELECT dst AS company_id, max(pct) AS pct FROM own GROUP BY 1),
+    x AS (SELECT l_suppkey AS company_id, count(DISTINCT l_partkey) AS kinds FROM lineitem WHERE l_quantity >= 45 GROUP BY 1),
+    s AS (SELECT c.company_id, 2.0 * (jurisdiction IN (3, 7, 11))::INT + 2.0 * (agent_id IN (2, 5))::INT + 2.0 * (coalesce(pct, 0) < 60)::INT + CASE WHEN employees IS NULL THEN 0.5 WHEN employees = 0 THEN 1.0 ELSE 0.0 END
+                 + 1.0 * (company_id % 14 = 3)::INT + 1.0 * (others > 10)::INT + 1.0 * (age_days <= 365)::INT + 1.0 * (coalesce(kinds, 0) = 0)::INT + 1.0 * overdue::INT + 0.5 * regexp_matches(name, '^Company [0-9]$')::INT
+                 + 0.5 * (company_id % 12 = company_id % 16)::INT + 0.5 * (address_id % 8 = 0)::INT AS score
+          FROM company c JOIN a USING (address_id) LEFT JOIN o USING (company_id) LEFT JOIN x USING (company_id))
+    SELECT company_id, round(score, 2)::DOUBLE AS score, CASE WHEN score >= 5 THEN 'SHELL' WHEN score >= 3 THEN 'POSSIBLE' ELSE 'NORMAL' END AS class FROM s""".replace("FROM own ", "FROM (SELECT c_custkey AS dst, 51.0 + c_custkey % 49 AS pct FROM customer WHERE c_custkey > 0 UNION ALL SELECT (c_custkey * 7 + 3) % 97, 10.0 + c_custkey % 40 FROM customer WHERE c_custkey % 29 = 0 AND c_custkey < 290) "))
 def shell_score(spark, d):
-    """Indicators of a shell company; an unknown headcount counts half."""
+    """All twelve indicators of a shell company; an unknown headcount counts half."""
     c = companies(spark, d)
-    at = c.groupBy("address_id").agg(F.count("*").alias("at_address"))
-    of = c.groupBy("agent_id").agg(F.count("*").alias("of_agent"))
-    rules = {
-        "shared_address": F.when(F.col("at_address") > 2, 2.0),
-        "shared_agent": F.when(F.col("of_agent") > 8, 2.0),
-        "jurisdiction": F.when(F.col("jurisdiction").isin(3, 7, 11), 2.0),
-        "no_staff": F.when(F.col("employees").isNull(), 0.5).when(F.col("employees") == 0, 1.0),
-        "overdue": F.when(F.col("overdue"), 1.0),
-        "young": F.when(F.col("age_days") < 365, 1.0),
-        "generic_name": F.when(F.col("name").rlike("^Company [0-9]$"), 1.0),
-    }
-    score = sum((F.coalesce(r, F.lit(0.0)) for r in rules.values()), F.lit(0.0))
-    s = c.join(at, "address_id").join(of, "agent_id").withColumn("score", F.round(score, 2))
+    others = c.groupBy("address_id").agg((F.count("*") - 1).alias("others"))
+    owner = T.ownership(spark, d).groupBy(F.col("dst").alias("company_id")).agg(F.max("pct").alias("pct"))
+    active = T.load(spark, d, "lineitem").where("l_quantity >= 45").groupBy(F.col("l_suppkey").alias("company_id")).agg(F.count("*").alias("kinds"))
+    s = c.join(others, "address_id").join(owner, "company_id", "left").join(active, "company_id", "left")
+    k = F.col("company_id")
+    points = risk.shell_points(
+        {
+            "opaque_jurisdiction": F.col("jurisdiction").isin(3, 7, 11),
+            "formation_agent": F.col("agent_id").isin(2, 5),
+            "no_owner": F.coalesce("pct", F.lit(0.0)) < 60,
+            "nominee": k % 14 == 3,
+            "shared_address": F.col("others") > 10,
+            "young": F.col("age_days") <= 365,
+            "no_activity": F.col("kinds").isNull(),
+            "overdue": F.col("overdue"),
+            "generic_name": F.col("name").rlike("^Company [0-9]$"),
+            "agent_directs": k % 12 == k % 16,
+            "po_box": F.col("address_id") % 8 == 0,
+        },
+        F.col("employees"),
+    )
+    s = s.withColumn("score", points)
     return s.select("company_id", "score", F.when(F.col("score") >= 5, "SHELL").when(F.col("score") >= 3, "POSSIBLE").otherwise("NORMAL").alias("class"))
 
 

@@ -203,3 +203,22 @@ def test_names_that_sound_alike_share_a_piece(spark):
     rows = spark.createDataFrame([("Smith",), ("Smyth",), ("",), (None,), ("ab",)], "name string").select(name_pieces(F.col("name"))).collect()
     a, b, empty, null, short = (set(r[0]) for r in rows)
     assert a & b and any(x.startswith("#") for x in a & b) and not empty and not null and short == {"#A100"}
+
+
+def test_risk_scores_of_known_vessels(spark):
+    from seamark.functions import risk
+
+    yes, no = F.lit(True), F.lit(None).cast("boolean")
+    every = {n: F.lit(9) if isinstance(w, tuple) else yes for n, w in risk.VESSEL_WEIGHTS.items()}
+    r = spark.range(1).select(
+        risk.vessel_risk({n: yes for n in ("sanctioned", "risky_flag", "owner_unknown", "owner_sanctioned", "gap_last_day", "dark_transfer", "cartel_route", "near_sanctioned")}).alias("worst"),
+        risk.vessel_risk({"sanctioned": F.lit(False), "near_sanctioned": no, "gaps_last_month": F.lit(None).cast("int")}).alias("clean"),
+        risk.vessel_risk({"risky_flag": yes, "owner_unknown": yes}).alias("flag"),
+        risk.weighted_sum(risk.VESSEL_WEIGHTS, every).alias("all"),
+        risk.vessel_risk({"gaps_last_month": F.lit(40), "flag_changes": F.lit(-2)}).alias("counts"),
+        risk.shell_points({n: yes for n in risk.SHELL_WEIGHTS if n != "no_staff"}, F.lit(0)).alias("shell"),
+        risk.shell_points({}, F.lit(None).cast("int")).alias("half"),
+    ).first()
+    assert (r.worst, r.clean, r.flag, r.counts, r.shell, r.half) == (10.0, 0.0, 2.0, 1.0, 13.5, 0.5) and abs(r.all - 24.5) < 1e-9
+    with pytest.raises(KeyError):
+        risk.vessel_risk({"moon": yes})
