@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from seamark import tables as T
 from seamark.plans.registry import query
-from seamark.sinks import exports, merge
+from seamark.sinks import exports, graph, merge
 from seamark.tables import with_views
 
 
@@ -59,3 +59,40 @@ def cot_positions(spark, d):
     kind = F.when(F.col("value") > 200, "a-h-S").when(F.col("nav_status") > 5, "a-s-S").otherwise("a-n-S")
     body = exports.cot_event(F.concat(F.lit("P"), F.col("position_id").cast("string")), kind, F.round("lat", 4), F.round("lon", 4), F.col("ts"), F.concat("event_type", F.lit(" & "), F.col("nav_status").cast("string")))
     return p.select("position_id", body.alias("cot"))
+
+
+FLEET = """fleet AS (SELECT 'v' || vessel_id::VARCHAR AS node, CASE WHEN vessel_id % 3 > 0 THEN 9000000 + vessel_id END AS imo, CASE WHEN vessel_id % 4 > 0 THEN mmsi END AS mmsi, name, sanctions_status AS status FROM vessels WHERE vessel_id % 5 > 0),
+    listed AS (SELECT vessel_id AS n, CASE WHEN vessel_id % 2 = 0 THEN 9000000 + vessel_id END AS imo, CASE WHEN vessel_id % 7 > 0 THEN mmsi END AS mmsi, 'L ' || name AS name FROM vessels WHERE vessel_id % 3 = 0 OR vessel_id % 5 = 0)"""
+
+
+@query(with_views("vessels", f"""
+    WITH {FLEET},
+    one AS (SELECT imo, arg_max({{'mmsi': mmsi, 'name': name}}, n) AS l, arg_min({{'mmsi': mmsi, 'name': name}}, n) AS f FROM listed WHERE imo IS NOT NULL GROUP BY 1),
+    a AS (SELECT node, fleet.imo, mmsi, name, CASE WHEN one.imo IS NOT NULL THEN 'SANCTIONED' ELSE status END AS status FROM fleet LEFT JOIN one ON one.imo = fleet.imo
+          UNION ALL SELECT 'imo:' || imo::VARCHAR, imo, f.mmsi, f.name, 'SANCTIONED' FROM one WHERE imo NOT IN (SELECT imo FROM fleet WHERE imo IS NOT NULL)),
+    two AS (SELECT mmsi, arg_min(name, n) AS name FROM listed WHERE imo IS NULL AND mmsi IS NOT NULL GROUP BY 1)
+    SELECT node, imo, a.mmsi, a.name, CASE WHEN two.mmsi IS NOT NULL THEN 'SANCTIONED' ELSE status END AS status FROM a LEFT JOIN two ON two.mmsi = a.mmsi
+    UNION ALL SELECT 'mmsi:' || mmsi, NULL, mmsi, name, 'SANCTIONED' FROM two WHERE mmsi NOT IN (SELECT mmsi FROM a WHERE mmsi IS NOT NULL)"""))
+def sanctions_merged(spark, d):
+    """The fleet after a list is merged by IMO number, or by MMSI where it has none: listed vessels are marked or made."""
+    v = T.vessels(spark, d)
+    k = F.col("vessel_id")
+    fleet = v.where("vessel_id % 5 > 0").select(F.concat(F.lit("v"), k.cast("string")).alias("node"), F.when(k % 3 > 0, k + 9_000_000).alias("imo"), F.when(k % 4 > 0, F.col("mmsi")).alias("mmsi"), "name", F.col("sanctions_status").alias("status"))
+    listed = v.where("vessel_id % 3 = 0 or vessel_id % 5 = 0").select(k.alias("n"), F.when(k % 2 == 0, k + 9_000_000).alias("imo"), F.when(k % 7 > 0, F.col("mmsi")).alias("mmsi"), F.concat(F.lit("L "), "name").alias("name"), F.lit("SANCTIONED").alias("status"))
+    return graph.merge_nodes(fleet, listed, ["imo", "mmsi"], ["n"], set_columns=["status"], create_columns=["mmsi", "name"])
+
+
+@query(with_views("vessels contacts", f"""
+    WITH {FLEET}, e AS (SELECT c.vessel_id, event_id, mmsi FROM contacts c JOIN vessels v ON v.vessel_id = c.vessel_id),
+    m AS (SELECT DISTINCT mmsi FROM e WHERE vessel_id % 2 = 0), n AS (SELECT node, mmsi FROM fleet UNION ALL SELECT 'mmsi:' || mmsi, mmsi FROM m WHERE mmsi NOT IN (SELECT mmsi FROM fleet WHERE mmsi IS NOT NULL)),
+    i AS (SELECT DISTINCT node, event_id FROM e JOIN n ON n.mmsi = e.mmsi WHERE vessel_id % 2 = 0)
+    SELECT node, count(*) AS events, min(event_id) AS first_event FROM i GROUP BY 1"""))
+def event_edges(spark, d):
+    """Events tied to their vessel, which is made if the fleet does not have it: edges per vessel."""
+    v = T.vessels(spark, d)
+    k = F.col("vessel_id")
+    fleet = v.where("vessel_id % 5 > 0").select(F.concat(F.lit("v"), k.cast("string")).alias("node"), F.when(k % 3 > 0, k + 9_000_000).alias("imo"), F.when(k % 4 > 0, F.col("mmsi")).alias("mmsi"), "name", F.col("sanctions_status").alias("status"))
+    told = T.contacts(spark, d).where("vessel_id % 2 = 0").join(v.select("vessel_id", "mmsi"), "vessel_id").select("mmsi", "event_id")
+    nodes = graph.merge_nodes(fleet, told, ["mmsi"], ["event_id"])
+    edges = graph.node_edges(nodes, told, ["mmsi"], "event_id", "INVOLVED_IN")
+    return edges.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("events"), F.min(F.col("dst").cast("long")).alias("first_event"))

@@ -222,3 +222,32 @@ def test_risk_scores_of_known_vessels(spark):
     assert (r.worst, r.clean, r.flag, r.counts, r.shell, r.half) == (10.0, 0.0, 2.0, 1.0, 13.5, 0.5) and abs(r.all - 24.5) < 1e-9
     with pytest.raises(KeyError):
         risk.vessel_risk({"moon": yes})
+
+
+def test_graph_tables_are_one_version(spark, tmp_path):
+    from seamark.sinks import graph
+
+    empty = {"vessels": "node string, mmsi string, gfw string, name string", "events": "node string, start long", "edges": "src string, dst string, kind string"}
+
+    def step(tables, batch):
+        vessels = graph.merge_nodes(tables["vessels"], batch, ["mmsi", "gfw"], ["start"], create_columns=["name"])
+        met = batch.select(F.col("other").alias("mmsi"), F.lit(None).cast("string").alias("gfw"), "event", "start")
+        vessels = graph.merge_nodes(vessels, met, ["mmsi"], ["start"])
+        events = tables["events"].unionByName(batch.select(F.col("event").alias("node"), "start")).groupBy("node").agg(F.min("start").alias("start"))
+        edges = tables["edges"].unionByName(graph.node_edges(vessels, batch, ["mmsi", "gfw"], "event", "INVOLVED_IN")).unionByName(graph.node_edges(vessels, met, ["mmsi"], "event", "ENCOUNTERED")).distinct()
+        return {"vessels": vessels, "events": events, "edges": graph.with_both_ends(edges, vessels, events)[0]}
+
+    write = graph.graph_writer(f"file://{tmp_path}/g", step, empty)
+    schema = "event string, start long, mmsi string, gfw string, name string, other string"
+    first = spark.createDataFrame([("e1", 1, "m1", None, "Ann", "m2"), ("e2", 2, None, "g1", "Bob", None), ("e3", 3, None, None, "no key", None)], schema)
+    second = spark.createDataFrame([("e1", 9, "m1", "g1", "Other", "m3"), ("e4", 4, "m2", None, "Cy", None)], schema)
+    write(first, 0)
+    write(second, 1)
+    write(second, 1)
+    assert graph.last_version(spark, f"file://{tmp_path}/g") == 1
+    read = lambda n: sorted((tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/g/version=1/{n}").collect()), key=repr)
+    assert read("vessels") == sorted([("mmsi:m1", "m1", None, "Ann"), ("gfw:g1", None, "g1", "Bob"), ("mmsi:m2", "m2", None, None), ("mmsi:m3", "m3", None, None)], key=repr)
+    assert read("events") == [("e1", 1), ("e2", 2), ("e3", 3), ("e4", 4)]
+    assert read("edges") == sorted([("mmsi:m1", "e1", "INVOLVED_IN"), ("gfw:g1", "e2", "INVOLVED_IN"), ("mmsi:m2", "e1", "ENCOUNTERED"), ("mmsi:m3", "e1", "ENCOUNTERED"), ("mmsi:m2", "e4", "INVOLVED_IN")], key=repr)
+    bad = graph.with_both_ends(spark.createDataFrame([("mmsi:m1", "e9", "x")], "src string, dst string, kind string"), spark.createDataFrame([("mmsi:m1",)], "node string"), spark.createDataFrame([("e1",)], "node string"))
+    assert bad[0].count() == 0 and bad[1].count() == 1
