@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seamark import tables as T
 from seamark.functions.geo import haversine_km, haversine_sql
-from seamark.operators import joins, series
+from seamark.operators import alerts, joins, series
 from seamark.plans.registry import query
 from seamark.tables import micros, with_views
 
@@ -290,3 +290,15 @@ def position_errors(spark, d):
     """Every broken rule of a position, in a fixed order; rows without any are valid."""
     rules = {"mmsi": F.col("vessel_id") % 17 == 0, "lat": F.col("lat") > 20, "speed": (F.col("lon") < -75) & (F.col("speed_kts") > 40), "nav_status": F.col("nav_status") > 6}
     return T.positions(spark, d).select("position_id", F.array_join(F.array_compact(F.array(*[F.when(c, k) for k, c in rules.items()])), ",").alias("errors"))
+
+
+@query("""
+    WITH RECURSIVE f AS (SELECT 's' || (user_id % 5)::VARCHAR AS source, epoch_us(ts) // 1000000 AS second FROM events WHERE event_type = 'error'),
+    p AS (SELECT source, second, count(*) AS n FROM f GROUP BY ALL),
+    c AS MATERIALIZED (SELECT a.source, a.second, sum(b.n)::BIGINT AS failures FROM p a JOIN p b ON a.source = b.source AND b.second BETWEEN a.second - 21599 AND a.second GROUP BY ALL HAVING sum(b.n) >= 6),
+    r AS (SELECT source, min(second) AS second FROM c GROUP BY 1 UNION ALL SELECT r.source, min(c.second) FROM r JOIN c ON c.source = r.source AND c.second >= r.second + 43200 GROUP BY r.source, r.second)
+    SELECT source, second, failures FROM r JOIN c USING (source, second)""")
+def failure_alerts(spark, d):
+    """Sources with six failures in six hours, told again after twelve hours at the soonest."""
+    e = T.load(spark, d, "events").where("event_type = 'error'").select(F.concat(F.lit("s"), (F.col("user_id") % 5).cast("string")).alias("source"), F.floor(micros("ts") / 1_000_000).alias("second"))
+    return alerts.after_silence(alerts.failure_counts(e, 6, 21600), 43200)

@@ -54,6 +54,49 @@ def failure_spikes(errors: DataFrame, threshold: int = 100, window: str = "5 min
     return counts.where(F.col("n") >= threshold).select("source", F.col("window.start").alias("began"), F.col("window.end").alias("ended"), "n")
 
 
+def spike_alerts(errors: DataFrame, threshold: int = 100, window: int = 300, quiet: int = 600, lateness: str = "10 minutes", forget: str = "1 hour") -> DataFrame:
+    """Alerts of sources with ``threshold`` failures in the last ``window`` seconds; a source is silent for ``quiet`` seconds after each.
+
+    ``operators/alerts.py`` has the batch form. Failures count by whole
+    seconds, taken in order once the watermark has passed them, so the state of
+    a source is a count for each second of the window or still waiting, the
+    time of its last alert and how far it has come. A source unheard for
+    ``forget`` past the watermark leaves the state, its silence included.
+    """
+    forget_s = max(int(pd.Timedelta(forget).total_seconds()), window, quiet)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seconds, counts, told, done = state.get if state.exists else ([], [], None, None)
+        held = {int(s): int(n) for s, n in zip(seconds, counts, strict=True)}
+        if not state.hasTimedOut:
+            for frame in frames:
+                for s, n in frame.groupby("second").size().items():
+                    if done is None or s > done:
+                        held[int(s)] = held.get(int(s), 0) + int(n)
+        whole = state.getCurrentWatermarkMs() // 1000 - 1  # the last second that is over
+        out = []
+        for s in sorted(x for x in held if x <= whole and (done is None or x > done)):
+            n = sum(c for t, c in held.items() if s - window < t <= s)
+            if n >= threshold and (told is None or s - told >= quiet):
+                told = s
+                out.append((key[0], s, n))
+        done = whole if done is None else max(done, whole)
+        waiting = [s for s in held if s > done]
+        last = max(held, default=done)
+        held = {s: n for s, n in held.items() if s > done - window}
+        if not waiting and last + forget_s <= done:
+            state.remove()
+        else:
+            state.update((sorted(held), [held[s] for s in sorted(held)], told, done))
+            wake = min(waiting) + 1 if waiting else last + forget_s + 1
+            state.setTimeoutTimestamp(max(wake * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["source", "second", "failures"])
+
+    rows = errors.withWatermark("ts", lateness).select("source", "ts", F.unix_seconds("ts").alias("second"))
+    state = "seconds array<long>, counts array<long>, told long, done long"
+    return rows.groupBy("source").applyInPandasWithState(step, "source string, second long, failures long", state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def session_counts(events: DataFrame, gap: str = "1 hour", lateness: str = "1 day") -> DataFrame:
     """Sessions of each user, by event time."""
     s = events.withWatermark("ts", lateness).groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))

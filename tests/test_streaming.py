@@ -113,3 +113,36 @@ def test_pairs_as_read_one_by_one(spark):
     df = spark.createDataFrame(rows, "position_id long, vessel_id long, at long, lat double, lon double").repartition(5)
     got = transfers(together(close_reports(valid_positions(df), km, stale)), minutes).select("vessel_a", "vessel_b", "began_us", "told_us")
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 3
+
+
+def test_alerts_are_followed_by_silence(spark, tmp_path):
+    import random
+
+    from seamark.operators import alerts
+
+    rng = random.Random(2)
+    t0, rows, t = datetime(2026, 1, 1), [], 0
+    for k in range(900):
+        t += rng.choice([0, 1, 2, 3, 40]) if k % 300 < 250 else rng.choice([1, 200])
+        rows.append((rng.choice("ab"), t0 + timedelta(seconds=t)))
+    epoch = int((t0 - datetime(1970, 1, 1)).total_seconds())
+    times, told, want = {}, {}, []
+    per = sorted({(s, int((ts - t0).total_seconds()) + epoch) for s, ts in rows}, key=lambda x: x[1])
+    for s, second in per:
+        n = sum(r == s and second - 60 < int((ts - t0).total_seconds()) + epoch <= second for r, ts in rows)
+        if n >= 8 and second - told.get(s, -(10**12)) >= 90:
+            told[s] = second
+            want.append((s, second, n))
+    df = spark.createDataFrame(rows, "source string, ts timestamp")
+    got = alerts.after_silence(alerts.failure_counts(df.select("source", F.unix_seconds("ts").alias("second")), 8, 60), 90)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and len(want) > 8
+    # the stream takes the same rows in another order, file by file
+    order = sorted(rows, key=lambda r: (r[1] + timedelta(seconds=rng.uniform(0, 50))))
+    last = (max(ts for _, ts in rows), "zz")
+    for k in range(6):
+        spark.createDataFrame(order[k * 150 : (k + 1) * 150], "source string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    for k in (6, 7):
+        spark.createDataFrame([("end", last[0] + timedelta(days=k))], "source string, ts timestamp").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = spark.readStream.schema("source string, ts timestamp").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = run(detectors.spike_alerts(stream, 8, 60, 90, lateness="10 minutes"), "alerts")
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)
