@@ -14,8 +14,8 @@ from seamark.tables import with_views
 
 
 def _markers() -> str:
-    backward = set(connectives.BACKWARD.split("|"))
-    rows = [(p, t, connectives.TIERS[t], p in backward) for lists in (connectives.ENGLISH, connectives.SPANISH) for t, ps in lists.items() for p in ps.split("|")]
+    backward = set(connectives.BACKWARD)
+    rows = [(p, t, connectives.TIERS[t], p in backward) for lists in (connectives.ENGLISH, connectives.SPANISH) for t, ps in lists.items() for p in ps]
     return "markers(marker, tier, confidence, backward) AS (VALUES " + ", ".join(f"('{m}', '{t}', {c}::DOUBLE, {b})" for m, t, c, b in rows) + ")"
 
 
@@ -36,7 +36,7 @@ def reports(spark, d):
     s AS (SELECT p_partkey, ' ' || trim(regexp_replace(lower(unnest(regexp_split_to_array(body, '[.!?\\n]+'))), '[\\s,;:()"]+', ' ', 'g')) || ' ' AS s FROM reports),
     m AS (SELECT *, trim(substr(s, 1, strpos(s, ' ' || marker || ' '))) AS l, trim(substr(s, strpos(s, ' ' || marker || ' ') + length(marker) + 1)) AS r FROM s JOIN markers ON contains(s, ' ' || marker || ' ')),
     c AS (SELECT *, CASE WHEN backward THEN r ELSE l END AS cause, CASE WHEN backward THEN l ELSE r END AS effect FROM m)
-    SELECT p_partkey, cause, effect, marker, tier, confidence, len(list_intersect(string_split(l, ' ')[-4:], string_split('{connectives.NEGATIONS}', '|'))) > 0 AS negated
+    SELECT p_partkey, cause, effect, marker, tier, confidence, len(list_intersect(string_split(l, ' ')[-4:], string_split('{'|'.join(connectives.NEGATIONS)}', '|'))) > 0 AS negated
     FROM c WHERE len(string_split(cause, ' ')) >= 2 AND len(string_split(effect, ' ')) >= 2""")
 def connective_triplets(spark, d):
     return connectives.triplets(reports(spark, d), "p_partkey", "body")
