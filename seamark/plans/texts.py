@@ -183,11 +183,12 @@ def year_ranges(spark, d):
 def frame_fields(spark, d):
     """Little-endian integers, nibbles and scaled fields of a packed frame."""
     n = F.col("p_partkey") * 7919
-    frame = F.unhex(F.lpad(F.hex(n), 8, "0"))
+    # a frame holds the low four bytes
+    frame = F.unhex(F.lpad(F.hex(n.bitwiseAND(0xFFFFFFFF)), 8, "0"))
     p = T.load(spark, d, "part").withColumn("frame", F.reverse(F.hex(frame)))
     # hex digits reversed: digit pairs are back to front and so are the bytes
     number = F.conv(F.reverse("frame"), 16, 10).cast("long")
-    k = F.col("p_partkey").cast("int")
+    k = F.col("p_partkey")
     return p.select("p_partkey", number.alias("number"), F.shiftright(k.bitwiseAND(255), 4).cast("long").alias("high_nibble"), k.bitwiseAND(15).cast("long").alias("low_nibble"), F.round((n % 65536) * 0.5 - 1000, 3).alias("altitude"))
 
 
