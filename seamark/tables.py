@@ -30,7 +30,8 @@ def vessels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("flag"),
         F.col("c_mktsegment").alias("vessel_type"),
         F.concat(F.lit("Owner "), (k % 97).cast("string")).alias("owner_name"),
-        F.round(F.least(F.greatest(F.col("c_acctbal") / 1000, F.lit(0.0)), F.lit(10.0)), 2).alias("risk_score"),
+        # in whole hundredths, as SQL rounds: the decimal 8.495 is a double below the half
+        (F.round(F.least(F.greatest(F.col("c_acctbal") / 1000, F.lit(0.0)), F.lit(10.0)) * 100) / 100).alias("risk_score"),
         F.when(k % 41 == 0, "SANCTIONED").when(k % 13 == 0, "WATCH").otherwise("CLEAR").alias("sanctions_status"),
     )
 
