@@ -32,7 +32,7 @@ def test_frame_fields_beyond_four_bytes(spark, tables):
 HALVES = f"SELECT i::BIGINT AS c_custkey, 'C' || i::VARCHAR AS c_name, 0 AS c_nationkey, [8495.0, 8505.0, 5005.0, 5015.0, 9999.99, -20.0][i]::DOUBLE AS c_acctbal, 'M' AS c_mktsegment FROM range(1, 7) r(i)"
 
 
-@pytest.mark.parametrize("name", ["risk_summary"])
+@pytest.mark.parametrize("name", ["risk_summary", "turtle_vessels"])
 def test_scores_at_half_a_hundredth(name, spark, tables):
     path, con = tables(customer=HALVES, nation=NATION)
     same(QUERIES[name](spark, path), con, SQL[name])
