@@ -38,3 +38,15 @@ def test_scores_at_half_a_hundredth(name, spark, tables):
     same(QUERIES[name](spark, path), con, SQL[name])
 
 
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["close_pairs"])
+def test_exploded_sides_are_not_broadcast(name, spark, small):
+    """The size of an exploded side is not known beforehand, so it is shuffled even on small tables."""
+    plan = executed(QUERIES[name](spark, small))
+    assert "Generate explode" in plan
+    assert "BroadcastHashJoin" not in plan
+
+
