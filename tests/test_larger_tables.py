@@ -42,7 +42,7 @@ def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["close_pairs", "transfer_pairs"])
+@pytest.mark.parametrize("name", ["close_pairs", "transfer_pairs", "alert_subscriptions"])
 def test_exploded_sides_are_not_broadcast(name, spark, small):
     """The size of an exploded side is not known beforehand, so it is shuffled even on small tables."""
     plan = executed(QUERIES[name](spark, small))
