@@ -50,3 +50,30 @@ def test_exploded_sides_are_not_broadcast(name, spark, small):
     assert "BroadcastHashJoin" not in plan
 
 
+def test_first_near_in_a_crowd(spark):
+    """A crowd, a lonely row that looks as far as the window, a row that finds only itself, ties."""
+    import math
+    from datetime import datetime, timedelta
+
+    from seamark.operators.newest import first_near
+
+    start = datetime(2024, 1, 1)
+    crowd = [(i, start + timedelta(seconds=i * 37 % 5000), 10.0 + i % 20 / 10, 10.0 + i % 30 / 10, "ab"[i % 2]) for i in range(800)]
+    rows = [*crowd, (900, start - timedelta(days=2), 11.0, 11.0, "a"), (901, start, 60.0, 179.9, "a"), (902, start + timedelta(days=2), 60.0, -179.9, "a"), (903, start, -40.0, 0.0, "a")]
+    left = spark.createDataFrame(rows, "l long, made timestamp, plat double, plon double, p_kind string")
+    right = left.toDF("r", "ts", "lat", "lon", "kind")
+    found = first_near(left, right, 100, 3 * 86400, ("plat", "plon"), ("lat", "lon"), ("made", "ts"), ("p_kind", "kind"), ("l", "r"))
+    got = {x["l"]: x["hit"]["id"] for x in found.collect()}
+
+    def km(a, b):
+        (p, q), (s, t) = (map(math.radians, x[2:4]) for x in (a, b))
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin((s - p) / 2) ** 2 + math.cos(p) * math.cos(s) * math.sin((t - q) / 2) ** 2)))
+
+    want = {}
+    for a in rows:
+        hits = [(b[1], b[0]) for b in rows if b[0] != a[0] and b[4] == a[4] and a[1] <= b[1] <= a[1] + timedelta(days=3) and km(a, b) <= 100]
+        if hits:
+            want[a[0]] = min(hits)[1]
+    assert got == want and 901 in want and 903 not in want
+
+
