@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seamark.operators.graph import ensure_checkpoint_dir
+from seamark.operators.graph import ensure_checkpoint_dir, written
 
 
 def undirected(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -51,7 +51,7 @@ def _settled(adjacent: DataFrame, state: DataFrame, total: float, resolution: fl
     """``state`` once hardly any node moves in two rounds."""
     count, quiet = state.count(), 0
     for turn in range(rounds):
-        state = _moved(adjacent, state, total, resolution, turn).checkpoint()
+        state = written(_moved(adjacent, state, total, resolution, turn))
         quiet = quiet + 1 if state.where("moved").count() <= count // 1000 else 0
         if quiet == 2:
             break
@@ -61,15 +61,15 @@ def _settled(adjacent: DataFrame, state: DataFrame, total: float, resolution: fl
 def _contracted(adjacent: DataFrame, loops: DataFrame, belongs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph whose nodes are the communities of ``belongs`` (``node``, ``c``)."""
     ends = adjacent.join(belongs.withColumnsRenamed({"node": "a", "c": "ca"}), "a").join(belongs.withColumnsRenamed({"node": "b", "c": "cb"}), "b")
-    ends = ends.groupBy("ca", "cb").agg(F.sum("w").alias("w")).checkpoint()
+    ends = written(ends.groupBy("ca", "cb").agg(F.sum("w").alias("w")))
     own = loops.join(belongs, F.col("a") == F.col("node")).select(F.col("c").alias("a"), "w")
-    inner = own.unionByName(ends.where("ca = cb").select(F.col("ca").alias("a"), "w")).groupBy("a").agg(F.sum("w").alias("w")).checkpoint()
+    inner = written(own.unionByName(ends.where("ca = cb").select(F.col("ca").alias("a"), "w")).groupBy("a").agg(F.sum("w").alias("w")))
     return ends.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"), "w"), inner
 
 
 def _named(state: DataFrame) -> DataFrame:
     """``node``, ``c``: a community is known by its smallest node, so that names do not depend on the moves."""
-    return state.join(state.groupBy("c").agg(F.min("node").alias("name")), "c").select("node", F.col("name").alias("c")).checkpoint()
+    return written(state.join(state.groupBy("c").agg(F.min("node").alias("name")), "c").select("node", F.col("name").alias("c")))
 
 
 def modularity_communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 8, levels: int = 12, cycles: int = 2) -> DataFrame:
@@ -84,11 +84,11 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, rounds: in
     """
     ensure_checkpoint_dir(edges.sparkSession)
     adjacent, loops = undirected(edges)
-    adjacent, loops = adjacent.checkpoint(), loops.checkpoint()
+    adjacent, loops = written(adjacent), written(loops)
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).where("node is not null").distinct()
-    best = nodes.select("node", F.col("node").alias("c")).checkpoint()
+    best = written(nodes.select("node", F.col("node").alias("c")))
     weights = adjacent.select(F.col("a").alias("node"), "w").unionByName(loops.select(F.col("a").alias("node"), "w"))
-    degrees = weights.groupBy("node").agg(F.sum("w").alias("k")).checkpoint()
+    degrees = written(weights.groupBy("node").agg(F.sum("w").alias("k")))
     total = degrees.agg(F.sum("k")).first()[0] or 0.0
 
     def scored(belongs: DataFrame) -> float:
@@ -101,11 +101,11 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, rounds: in
             near, own = (adjacent, loops) if level == 0 else _contracted(adjacent, loops, best)
             begin = best if level == 0 else best.select(F.col("c").alias("node"), "c").distinct()
             k = near.select(F.col("a").alias("node"), "w").unionByName(own.select(F.col("a").alias("node"), "w")).groupBy("node").agg(F.sum("w").alias("k"))
-            state = begin.join(k, "node").select("node", "c", "k", F.lit(False).alias("moved")).checkpoint()
+            state = written(begin.join(k, "node").select("node", "c", "k", F.lit(False).alias("moved")))
             moved = _named(_settled(near, state, total, resolution, rounds))
             # a node without edges takes no part and stays
             by = best.withColumn("part", F.col("node" if level == 0 else "c"))
-            new = by.join(moved.select(F.col("node").alias("part"), F.col("c").alias("up")), "part", "left").select("node", F.coalesce("up", "c").alias("c")).checkpoint()
+            new = written(by.join(moved.select(F.col("node").alias("part"), F.col("c").alias("up")), "part", "left").select("node", F.coalesce("up", "c").alias("c")))
             now = scored(new)
             if now <= score + 1e-9:
                 if level:

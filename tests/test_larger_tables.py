@@ -77,3 +77,14 @@ def test_first_near_in_a_crowd(spark):
     assert got == want and 901 in want and 903 not in want
 
 
+@pytest.mark.parametrize("name", ["communities", "components"])
+def test_loops_keep_the_size_of_their_tables(name, spark):
+    """A size that is multiplied from round to round ends in millions of digits."""
+    from seamark.operators.communities import modularity_communities
+    from seamark.operators.graph import connected_components
+
+    edges = spark.range(40).selectExpr("id as src", "(id + 1) % 40 as dst")
+    found = {"communities": modularity_communities, "components": connected_components}[name](edges)
+    assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
+
+
