@@ -88,3 +88,13 @@ def test_loops_keep_the_size_of_their_tables(name, spark):
     assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 20
 
 
+def test_pairs_of_safe_houses_are_not_shuffled(spark, tables):
+    """Each pair comes from one of the two joins, repeated keys included."""
+    customer = "SELECT unnest([1, 1, 5, 701, 2, 9, 1000])::BIGINT AS c_custkey"
+    path, con = tables(customer=customer, supplier="SELECT unnest([0, 1, 1, 7, 141, 40])::BIGINT AS s_suppkey")
+    found = QUERIES["safe_houses"](spark, path)
+    same(found, con, SQL["safe_houses"])
+    top = executed(found).split("Union")[0]
+    assert "Aggregate" not in top and "Exchange" not in top
+
+
