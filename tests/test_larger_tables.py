@@ -98,3 +98,13 @@ def test_pairs_of_safe_houses_are_not_shuffled(spark, tables):
     assert "Aggregate" not in top and "Exchange" not in top
 
 
+def test_components_are_not_broadcast(spark, monkeypatch):
+    """Written tables of keys are small as files, so Spark would broadcast millions of rows."""
+    from seamark.operators import graph
+
+    plans = []
+    monkeypatch.setattr(graph, "written", lambda df, real=graph.written: (plans.append(executed(df)), real(df))[1])
+    graph.connected_components(spark.range(40).selectExpr("id as src", "id + 1 as dst")).count()
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
