@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamark.operators.graph import ensure_checkpoint_dir
+from seamark.operators.joins import SHUFFLED
 
 
 def expand_paths(edges: DataFrame, roots: DataFrame, max_hops: int, weight: Column | None = None, floor: float | None = None, undirected: bool = False, min_hops: int = 1) -> DataFrame:
@@ -21,6 +22,8 @@ def expand_paths(edges: DataFrame, roots: DataFrame, max_hops: int, weight: Colu
     e = edges.withColumn("_w", F.lit(1.0) if weight is None else F.least(weight, F.lit(1.0))).select("edge_id", F.col("src").alias("_from"), F.col("dst").alias("_to"), "_w")
     if undirected:
         e = e.unionByName(e.select("edge_id", F.col("_to").alias("_from"), F.col("_from").alias("_to"), "_w"))
+    # few columns of a large table look small, and a broadcast would pass all edges through the driver at each hop
+    e = e.hint(SHUFFLED)
     blank = {"node": F.col("root"), "hops": F.lit(0), "edge_ids": F.array().cast("array<string>"), "score": F.lit(1.0)}
     begin = {name: F.col(name) if name in roots.columns else value for name, value in blank.items()}
     level = roots.select("root", *[value.alias(name) for name, value in begin.items()], F.array(begin["node"]).alias("nodes"))
@@ -57,7 +60,7 @@ def reach(edges: DataFrame, roots: DataFrame, max_hops: int, undirected: bool =
     e = edges.select(F.col("src").alias("_from"), F.col("dst").alias("_to"))
     if undirected:
         e = e.unionByName(e.select(F.col("_to").alias("_from"), F.col("_from").alias("_to")))
-    e = e.distinct()
+    e = e.distinct().hint(SHUFFLED)
     ensure_checkpoint_dir(edges.sparkSession)
     frontier = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("hops")).checkpoint()
     seen = frontier if with_root else frontier.limit(0)

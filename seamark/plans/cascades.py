@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamark import tables as T
+from seamark.operators.joins import SHUFFLED
 from seamark.operators.paths import expand_paths, reach
 from seamark.plans.registry import query
 from seamark.tables import with_views
@@ -59,11 +60,16 @@ def strongest(paths: DataFrame, n: int) -> DataFrame:
     return out.orderBy(F.desc("score"), "path").limit(n)
 
 
+def ending(paths: DataFrame, ends: DataFrame) -> DataFrame:
+    """``paths`` that end at an incident of ``ends``; the keys of a large table are never broadcast."""
+    return paths.join(ends.select(F.col("event_id").alias("node")).hint(SHUFFLED), "node", "left_semi")
+
+
 def from_incidents(spark, d, start: str, end: str, hops: int, floor: float) -> DataFrame:
     """Causal paths from the incidents where ``start`` holds to those where ``end`` does."""
     i = incidents(spark, d)
     p = expand_paths(leads(spark, d), i.where(start).select(F.col("event_id").alias("root")), hops, F.col("confidence"), floor)
-    return p.join(i.where(end).select(F.col("event_id").alias("node")), "node", "left_semi")
+    return ending(p, i.where(end))
 
 
 def sql_paths(start: str, end: str, hops: int, floor: float, n: int) -> str:
@@ -109,10 +115,10 @@ HUNGER = "domain = 'humanitarian' AND event_type IN ('FAMINE', 'DISPLACEMENT')"
 def price_to_hunger(spark, d):
     """From one instrument back to the price anomalies that moved it, then on to crises."""
     i = incidents(spark, d)
-    moved = affects(spark, d).where("instrument = 3").join(i.where("event_type = 'PRICE_ANOMALY'"), "event_id")
+    moved = affects(spark, d).where("instrument = 3").join(i.where("event_type = 'PRICE_ANOMALY'").hint(SHUFFLED), "event_id")
     start = moved.select(F.col("instrument").alias("root"), F.col("event_id").alias("node"), F.lit(1).alias("hops"), F.array("edge_id").alias("edge_ids"), F.col("c").alias("score"))
     p = expand_paths(leads(spark, d), start, 5, F.col("confidence"), 0.005).where("hops > 1")
-    return strongest(p.join(i.where(HUNGER).select(F.col("event_id").alias("node")), "node", "left_semi"), 30)
+    return strongest(ending(p, i.where(HUNGER)), 30)
 
 
 OPERATES = """SELECT vessel_id, event_id, 'o' || vessel_id::VARCHAR || '-' || event_id::VARCHAR AS edge_id, least(1.0, weight::DOUBLE / 100) AS c FROM contacts"""
@@ -127,7 +133,7 @@ def cartel_to_maritime(spark, d):
     i = incidents(spark, d)
     key = F.concat(F.lit("o"), F.col("vessel_id").cast("string"), F.lit("-"), F.col("event_id").cast("string"))
     o = T.contacts(spark, d).select("vessel_id", "event_id", key.alias("edge_id"), F.least(F.lit(1.0), F.col("weight").cast("double") / 100).alias("c"))
-    k = T.load(spark, d, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("root"))
+    k = T.load(spark, d, "customer").where("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("root")).hint(SHUFFLED)
     direct = k.join(o, F.col("vessel_id") == F.col("root")).select("root", F.col("event_id").alias("node"), F.lit(1).alias("hops"), F.array("edge_id").alias("edge_ids"), F.col("c").alias("score"))
     w = T.ownership(spark, d).select("src", "dst", "pct", F.col("edge_id").alias("first"))
     through = k.join(w, F.col("src") == F.col("root")).join(o, F.col("vessel_id") == F.col("dst")).select(
@@ -136,7 +142,7 @@ def cartel_to_maritime(spark, d):
     # what falls to the floor in the first hops can't rise again
     start = direct.unionByName(through).where("score > 0.01")
     p = expand_paths(leads(spark, d), start, 4, F.col("confidence"), 0.01, min_hops=1)
-    return strongest(p.join(i.where("domain = 'maritime'").select(F.col("event_id").alias("node")), "node", "left_semi"), 30)
+    return strongest(ending(p, i.where("domain = 'maritime'")), 30)
 
 
 @query(recursive(f"""WITH {INCIDENTS},
@@ -148,7 +154,7 @@ def cartel_to_maritime(spark, d):
 def revenue_feedback(spark, d, most=30):
     """The strongest ways from an interdiction through a financial incident to an instrument that it moves."""
     p = from_incidents(spark, d, "event_type = 'CARTEL_INTERDICTION'", "domain = 'financial'", 5, 0.005)
-    j = p.join(affects(spark, d), F.col("node") == F.col("event_id")).withColumn("s", F.col("score") * F.col("c")).where("s > 0.005")
+    j = p.join(affects(spark, d).hint(SHUFFLED), F.col("node") == F.col("event_id")).withColumn("s", F.col("score") * F.col("c")).where("s > 0.005")
     kinds = incidents(spark, d).select(F.col("event_id").alias("financial_id"), F.col("event_type").alias("financial_type"))
     ways = j.select(F.col("root").alias("interdiction_id"), F.col("node").alias("financial_id"), "instrument", (F.col("hops") + 1).alias("hops"), F.array_join("edge_ids", ">").alias("path"), F.round("s", 6).alias("score"))
     return ways.orderBy(F.desc("score"), "path", "instrument").limit(most).join(kinds, "financial_id")

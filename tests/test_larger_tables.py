@@ -32,6 +32,14 @@ def test_frame_fields_beyond_four_bytes(spark, tables):
 HALVES = f"SELECT i::BIGINT AS c_custkey, 'C' || i::VARCHAR AS c_name, 0 AS c_nationkey, [8495.0, 8505.0, 5005.0, 5015.0, 9999.99, -20.0][i]::DOUBLE AS c_acctbal, 'M' AS c_mktsegment FROM range(1, 7) r(i)"
 
 
+@pytest.mark.parametrize("name", ["turtle_vessels"])
+def test_scores_of_every_balance(name, spark, tables):
+    """All balances in cents from -1,000 to 10,001: rounded as SQL rounds."""
+    customer = "SELECT (i + 100000)::BIGINT AS c_custkey, 'C' AS c_name, 0 AS c_nationkey, (i / 100.0)::DOUBLE AS c_acctbal, 'M' AS c_mktsegment FROM range(-100000, 1000100, 5) r(i)"
+    path, con = tables(customer=customer, nation=NATION)
+    same(QUERIES[name](spark, path), con, SQL[name])
+
+
 @pytest.mark.parametrize("name", ["risk_summary", "turtle_vessels"])
 def test_scores_at_half_a_hundredth(name, spark, tables):
     path, con = tables(customer=HALVES, nation=NATION)
@@ -108,3 +116,15 @@ def test_components_are_not_broadcast(spark, monkeypatch):
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
 
 
+
+
+@pytest.mark.parametrize("name", ["canal_closure", "sanctions_cascade", "price_to_hunger", "social_to_physical", "downstream_cascade"])
+def test_edges_of_paths_are_not_broadcast(name, spark, small):
+    """Edges seem small by the columns that are read of them; a broadcast passes all of them through the driver at each hop."""
+    plan = executed(QUERIES[name](spark, small))
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_revenue_feedback_broadcasts_its_best_ways_only(spark, small):
+    plan = executed(QUERIES["revenue_feedback"](spark, small))
+    assert plan.count("BroadcastHashJoin") <= 1 and plan.count("SortMergeJoin") >= 3
