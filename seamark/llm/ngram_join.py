@@ -16,8 +16,9 @@ join runs over classes.
     with a hub first, one candidate per class a round; what links is merged
     into components. Lists whose classes are all in one component are done.
     The lists that still mix components when hub rounds bring nothing new are
-    joined with themselves across components, so no link between components
-    is lost, and large groups of copies never become all their pairs.
+    joined with themselves across components, a pair on the first list that it
+    shares, so no link between components is lost, and large groups of copies
+    never become all their pairs.
 4.  Bitmap filter: each set has the parities of its shingles over 256 buckets,
     and again over as many buckets as it has shingles, or some more. Two sets
     differ in as many shingles at least as their bitmaps differ in bits, which
@@ -59,6 +60,8 @@ WANTED_BITS = 26
 SHORT_LIST = 8
 #: Hub rounds at most; lists that still mix components go to the join of all their cross pairs.
 HUB_ROUNDS = 3
+#: Lists before a posting's own that it knows of its class.
+BEFORE = 64
 
 
 def _class_of(hashes: np.ndarray) -> int:
@@ -326,12 +329,26 @@ def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return joined.select("x", "h", (shared * (num + den) >= _needed(F.size("a"), F.size("b"), num, den)).alias("linked"))
 
 
+def _first_meetings(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (``x``, ``h``) of postings with different labels that pass all filters on the first list they share.
+
+    Shingles have one order in all sets, so two classes that share an earlier
+    list meet there, and the filters decide there. A posting knows the last
+    ``BEFORE`` lists of its class; pairs that share none of these but an
+    earlier one are found more than once.
+    """
+    earlier = Window.partitionBy("k").orderBy("pos").rowsBetween(-BEFORE, -1)
+    rows = rows.withColumn("before", F.collect_list("token").over(earlier))
+    of = F.struct("k", "n", "pos", "left", *BITMAP, "before")
+    p = rows.select("token", "lab", of.alias("p"))
+    q = rows.select("token", F.col("lab").alias("lab2"), of.alias("q"))
+    pairs = p.join(q, "token").where((F.col("lab") < F.col("lab2")) & _may_link("p", "q", num, den) & _bitmaps_agree("p", "q", num, den) & ~F.arrays_overlap("p.before", "q.before"))
+    return pairs.select(F.least("p.k", "q.k").alias("x"), F.greatest("p.k", "q.k").alias("h"))
+
+
 def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (``x``, ``h``) of postings with different labels on one list that pass all filters, once each."""
-    p = rows.select("token", "lab", F.struct("k", "n", "pos", "left", *BITMAP).alias("p"))
-    q = rows.select("token", F.col("lab").alias("lab2"), F.struct("k", "n", "pos", "left", *BITMAP).alias("q"))
-    pairs = p.join(q, "token").where((F.col("lab") < F.col("lab2")) & _may_link("p", "q", num, den) & _bitmaps_agree("p", "q", num, den))
-    return pairs.select(F.least("p.k", "q.k").alias("x"), F.greatest("p.k", "q.k").alias("h")).distinct()
+    """Pairs (``x``, ``h``) of postings with different labels on one list that pass all filters, once each; ``rows`` are whole lists."""
+    return _first_meetings(rows, num, den).distinct()
 
 
 class _Links:

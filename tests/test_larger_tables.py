@@ -128,3 +128,14 @@ def test_edges_of_paths_are_not_broadcast(name, spark, small):
 def test_revenue_feedback_broadcasts_its_best_ways_only(spark, small):
     plan = executed(QUERIES["revenue_feedback"](spark, small))
     assert plan.count("BroadcastHashJoin") <= 1 and plan.count("SortMergeJoin") >= 3
+
+
+def test_classes_meet_on_the_first_list_they_share(spark):
+    """Classes with many lists in common made a row for each of them."""
+    from seamark.llm import ngram_join
+
+    # class k is on the lists k % 3 to 19, in the order of their numbers
+    rows = [(t, k, 100, t - k % 3, 40, k, 0, 0, 0, 0) for k in range(30) for t in range(k % 3, 20)]
+    lists = spark.createDataFrame(rows, "token long, k long, n int, pos int, left int, lab long, b0 long, b1 long, b2 long, b3 long")
+    met = [tuple(r) for r in ngram_join._first_meetings(lists, 4, 5).collect()]
+    assert sorted(met) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
