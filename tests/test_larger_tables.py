@@ -139,3 +139,18 @@ def test_classes_meet_on_the_first_list_they_share(spark):
     lists = spark.createDataFrame(rows, "token long, k long, n int, pos int, left int, lab long, b0 long, b1 long, b2 long, b3 long")
     met = [tuple(r) for r in ngram_join._first_meetings(lists, 4, 5).collect()]
     assert sorted(met) == [(a, b) for a in range(30) for b in range(a + 1, 30)]
+
+
+def test_few_documents_of_a_search_stay_in_question(spark, tmp_path, monkeypatch):
+    """Documents with one of the terms that are looked up asked for the weights of all others; twelve have both."""
+    from pyspark.sql import functions as F
+
+    from seamark.operators import search as S
+
+    docs = [(i, "a b c common" if i < 12 else f"{'aaaabbcc'[i % 8]} common f{i} g{i}") for i in range(600)]
+    S.write_index(spark.createDataFrame(docs, "d long, text string"), "d", S.words(F.col("text")), str(tmp_path))
+    kept = []
+    monkeypatch.setattr(S, "written", lambda df, real=S.written: (kept.append(real(df)), kept[-1])[1])
+    found = S.search(spark, str(tmp_path), spark.createDataFrame([(1, "a b c common")], "q long, text string"), "q", S.words(F.col("text")))
+    assert [r["doc"] for r in found.orderBy("place").collect()] == list(range(10))
+    assert kept[-1].count() == 12
