@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamark.llm import merge
-from seamark.llm.components import components
+from seamark.llm.components import FEW_ROWS, components
 from seamark.llm.scratch import discard, materialize, passing
 from seamark.llm.skew import join_groups
 from seamark.llm.words import shingle_sets
@@ -351,12 +351,18 @@ def _candidates(rows: DataFrame, num: int, den: int) -> DataFrame:
     return _first_meetings(rows, num, den).distinct()
 
 
+def _shared_if_few(table: DataFrame, n: int) -> DataFrame:
+    """``table`` of two keys with ``n`` rows, broadcast to its joins if these are few."""
+    return F.broadcast(table) if n <= FEW_ROWS else table
+
+
 class _Links:
     """Pairs tested so far and the components of what linked."""
 
     def __init__(self, classes: DataFrame, num: int, den: int):
         self.classes, self.num, self.den = classes, num, den
         self.tested: DataFrame | None = None
+        self.n_tested = 0
         self.labels: DataFrame | None = None
 
     def labelled(self, rows: DataFrame) -> DataFrame:
@@ -367,7 +373,7 @@ class _Links:
     def untested(self, pairs: DataFrame) -> DataFrame:
         if self.tested is None:
             return pairs
-        done = self.tested.select("a", "b")
+        done = _shared_if_few(self.tested.select("a", "b"), self.n_tested)
         return pairs.join(done, (F.least("x", "h") == F.col("a")) & (F.greatest("x", "h") == F.col("b")), "left_anti")
 
     def apart(self, pairs: DataFrame) -> DataFrame:
@@ -389,11 +395,13 @@ class _Links:
         n_found, n_links = found.agg(F.count("*"), F.count_if("linked")).first()
         if n_found:
             self.tested = found if self.tested is None else self.tested.union(found)
+            self.n_tested += n_found
         if n_links:
             edges = found.where("linked").select("a", "b")
             if self.labels is not None:
                 edges = edges.union(self.labels.select(F.col("k").alias("a"), F.col("lab").alias("b")))
-            self.labels = components(edges)
+            labels = components(edges)
+            self.labels = _shared_if_few(labels, labels.count())
         return n_links
 
 

@@ -154,3 +154,17 @@ def test_few_documents_of_a_search_stay_in_question(spark, tmp_path, monkeypatch
     found = S.search(spark, str(tmp_path), spark.createDataFrame([(1, "a b c common")], "q long, text string"), "q", S.words(F.col("text")))
     assert [r["doc"] for r in found.orderBy("place").collect()] == list(range(10))
     assert kept[-1].count() == 12
+
+
+def test_components_of_few_nodes_as_of_many(spark, monkeypatch):
+    """Labels of few nodes are broadcast, of which a round has one shuffle; those of many are not."""
+    from seamark.llm import components as C
+
+    edges = spark.range(60).selectExpr("id as a", "id + 2 as b")
+    plans = []
+    monkeypatch.setattr(C, "materialize", lambda df, label, real=C.materialize: (plans.append((label, executed(df))), real(df, label))[1])
+    want = {(k, k % 2) for k in range(62)}
+    assert {tuple(r) for r in C.components(edges).collect()} == want
+    assert all("SortMergeJoin" not in p and p.count("Exchange hashpartitioning") == 1 for label, p in plans if label == "cc-labels")
+    monkeypatch.setattr(C, "FEW_ROWS", 0)
+    assert {tuple(r) for r in C.components(edges).collect()} == want
