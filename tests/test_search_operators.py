@@ -158,6 +158,29 @@ def test_weights_as_a_plain_loop(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_pairs_below_the_threshold_are_not_listed(spark):
+    """Records that share a common name only made the square of their number in pairs."""
+    rows = [(i, "common" if i % 4 else f"n{i // 8}", f"z{i // 2 % 90}", None if i % 5 == 0 else "" if i % 7 == 0 else str(i // 3), f"{i % 50} high street") for i in range(240)]
+    records = spark.createDataFrame(rows, "id long, name string, zip string, number string, address string")
+    comparisons = [linkage.similar("g_name", "name", [0.9], frequency=True), linkage.exact("g_zip", "zip"), linkage.exact("g_number", "number"), linkage.distant("g_address", "address", [1, 3])]
+    model = linkage.Model(0.01, [[0.1, 0.2, 0.7], [0.2, 0.8], [0.05, 0.95], [0.1, 0.1, 0.2, 0.6]], [[0.7, 0.2, 0.1], [0.9, 0.1], [0.99, 0.01], [0.7, 0.2, 0.08, 0.02]])
+    blocks = [F.col("number"), F.col("name"), F.concat("zip", F.substring("name", 1, 1))]
+    every, few = linkage.candidate_pairs(records, blocks, "id"), linkage.possible_pairs(records, comparisons, blocks, model, 0.7, "id")
+    scored = [linkage.score(records, linkage.gammas(records, p, comparisons, "id"), comparisons, model, 0.7).collect() for p in (every, few)]
+    assert sorted(scored[0]) == sorted(scored[1]) and len(scored[0]) > 20
+    assert every.count() > 16_000 and few.count() < 2_000
+
+
+def test_common_names_leave_their_block(spark):
+    """A name that many share cannot make a match without the number, whose agreement is a block of its own."""
+    records = spark.range(4000).selectExpr("id", "if(id < 3000, 'common', concat('n', id div 2)) as name", "cast(id div 2 as string) as number", "0.75D as g_name_f")
+    comparisons = [linkage.exact("g_name", "name", frequency=True), linkage.exact("g_number", "number")]
+    model = linkage.Model(0.001, [[0.1, 0.9], [0.05, 0.95]], [[0.7, 0.3], [0.999, 0.001]])
+    bound = linkage.most_weight_of_record(comparisons, model, {"g_number"})
+    assert records.where(bound >= 0).count() == 0
+    assert records.where(linkage.most_weight_of_record(comparisons, model, set()) >= 0).count() == 4000
+
+
 def test_sessions_fit_known_rates():
     rng = random.Random(8)
     u, m = [[0.9, 0.1], [0.8, 0.2], [0.95, 0.05]], [[0.1, 0.9], [0.3, 0.7], [0.2, 0.8]]
