@@ -168,3 +168,17 @@ def test_components_of_few_nodes_as_of_many(spark, monkeypatch):
     assert all("SortMergeJoin" not in p and p.count("Exchange hashpartitioning") == 1 for label, p in plans if label == "cc-labels")
     monkeypatch.setattr(C, "FEW_ROWS", 0)
     assert {tuple(r) for r in C.components(edges).collect()} == want
+
+
+def test_vessels_meet_the_flags_of_an_event(spark, tables):
+    """All vessels of an event met each other; a vessel alone under its flag does not meet that flag."""
+    path, con = tables(
+        nation="SELECT i::INT AS n_nationkey, 'NATION_' || i AS n_name, 0 AS n_regionkey FROM range(25) r(i)",
+        customer="SELECT i::BIGINT AS c_custkey, 'C' AS c_name, (i % 25)::INT AS c_nationkey, 1.0::DOUBLE AS c_acctbal, 'M' AS c_mktsegment FROM range(60) r(i)",
+        part="SELECT i::BIGINT AS p_partkey, 1 AS p_size FROM range(9) r(i)",
+        orders="SELECT i::BIGINT AS o_orderkey, (i % 60)::BIGINT AS o_custkey FROM range(300) r(i)",
+        lineitem="SELECT i::BIGINT AS l_orderkey, (i % 7 % 3 * 4)::BIGINT AS l_partkey, TIMESTAMP '2000-01-01' AS l_shipdate, 1.0::DOUBLE AS l_quantity FROM range(300) r(i) WHERE i % 60 < 40 OR i % 7 = 1",
+    )
+    found = QUERIES["net_partner_flags"](spark, path)
+    same(found, con, SQL["net_partner_flags"])
+    assert found.count() > 10 and "REPARTITION_BY_COL" in executed(found)
