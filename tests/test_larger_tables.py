@@ -193,3 +193,8 @@ def test_newest_pairs_stay_where_they_arise(spark):
     found = newest_join(l, r, 3600, 1.5, 500)
     above = executed(found).split("SortMergeJoin")[0]
     assert found.count() > 1000 and "Window" in above and "Exchange" not in above
+
+
+def test_circles_that_clients_share_are_searched_once(spark, small):
+    """Every client was joined with the positions around it, though few circles differ."""
+    assert "HashAggregate(keys=[flat" in executed(QUERIES["alert_subscriptions"](spark, small)).replace("knownfloatingpointnormalized(normalizenanandzero(", "")
