@@ -198,3 +198,29 @@ def test_newest_pairs_stay_where_they_arise(spark):
 def test_circles_that_clients_share_are_searched_once(spark, small):
     """Every client was joined with the positions around it, though few circles differ."""
     assert "HashAggregate(keys=[flat" in executed(QUERIES["alert_subscriptions"](spark, small)).replace("knownfloatingpointnormalized(normalizenanandzero(", "")
+
+
+
+def test_nearest_join_in_a_crowd(spark):
+    """Dense and lonely rows, ties, rows at the edge of the box and of the window; all pairs of a box were sorted."""
+    import math
+
+    from seamark.operators.newest import nearest_join
+
+    hour = 3_600_000_000
+    rows = [(i, i * 37 % 100 * hour, 10 + i * 7 % 40 / 40, 10 + i * 11 % 50 / 50) for i in range(900)]
+    asked = [*rows[:200], (2000, 50 * hour, 12.9, 10.5), (2001, 0, 8.0, 8.0), (2002, 50 * hour, -60.0, 0.0), (2003, 200 * hour, 10.5, 10.5)]
+    left, right = (spark.createDataFrame(x, f"{s}_id long, {s}_at long, {s}_lat double, {s}_lon double") for s, x in (("l", asked), ("r", rows)))
+    found = nearest_join(left, right, 30 * 3600, 2.0, 5)
+    assert "Exchange" not in executed(found).split("SortMergeJoin")[0]
+    got = {}
+    for x in found.collect():
+        got.setdefault(x["l_id"], []).append((x["km"], x["r_id"]))
+
+    def km(a, b):
+        (p, q), (s, t) = (map(math.radians, x[2:]) for x in (a, b))
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin((s - p) / 2) ** 2 + math.cos(p) * math.cos(s) * math.sin((t - q) / 2) ** 2)))
+
+    for a in asked:
+        want = sorted((km(a, b), b[0]) for b in rows if abs(a[1] - b[1]) <= 30 * hour and abs(a[2] - b[2]) <= 2 and abs(a[3] - b[3]) <= 2)[:5]
+        assert [round(d, 6) for d, _ in sorted(got.get(a[0], []))] == [round(d, 6) for d, _ in want]
