@@ -23,6 +23,7 @@ def vessels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vessel nodes, one per customer; the flag's number leads the MMSI."""
     c, n = load(spark, sf_dir, "customer"), load(spark, sf_dir, "nation")
     k = F.col("c_custkey")
+    score = F.least(F.greatest(F.col("c_acctbal") / 1000, F.lit(0.0)), F.lit(10.0))
     return c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(
         k.alias("vessel_id"),
         F.concat((F.col("n_nationkey") + 400).cast("string"), F.lpad(k.cast("string"), 6, "0")).alias("mmsi"),
@@ -30,8 +31,8 @@ def vessels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_name").alias("flag"),
         F.col("c_mktsegment").alias("vessel_type"),
         F.concat(F.lit("Owner "), (k % 97).cast("string")).alias("owner_name"),
-        # in whole hundredths, as SQL rounds: the decimal 8.495 is a double below the half
-        (F.round(F.least(F.greatest(F.col("c_acctbal") / 1000, F.lit(0.0)), F.lit(10.0)) * 100) / 100).alias("risk_score"),
+        # in whole hundredths, as SQL rounds: the decimal 8.495 is a double below the half, and a zero keeps its sign
+        F.when(score == 0, score).otherwise(F.round(score * 100) / 100).alias("risk_score"),
         F.when(k % 41 == 0, "SANCTIONED").when(k % 13 == 0, "WATCH").otherwise("CLEAR").alias("sanctions_status"),
     )
 

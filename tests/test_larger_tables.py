@@ -46,6 +46,14 @@ def test_scores_at_half_a_hundredth(name, spark, tables):
     same(QUERIES[name](spark, path), con, SQL[name])
 
 
+@pytest.mark.parametrize("name", ["risk_summary", "turtle_vessels"])
+def test_scores_of_a_negative_zero(name, spark, tables):
+    """Balances that are rounded from just below zero keep their sign, which the text shows."""
+    customer = "SELECT i::BIGINT AS c_custkey, 'C' AS c_name, 0 AS c_nationkey, ['-0.0', '0.0', '-0.01', '0.01', 'nan', 'inf', NULL][i]::DOUBLE AS c_acctbal, 'M' AS c_mktsegment FROM range(1, 8) r(i)"
+    path, con = tables(customer=customer, nation=NATION)
+    same(QUERIES[name](spark, path), con, SQL[name])
+
+
 def executed(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
