@@ -9,6 +9,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,19 +104,92 @@ def label_communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
     return state
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, max_hops: int = 8) -> DataFrame:
-    """``node``, ``centrality``: shortest-path dependencies summed over the given sources.
+#: Edges of both directions that a task holds at most; more are joined level by level.
+HELD_EDGES = 20_000_000
+#: Blocks of sources for each core: a block takes a copy of the edges.
+BLOCKS = 6
 
-    Brandes' scheme level by level as joins: path counts go out from the
-    sources, dependencies come back. Exact for paths of up to ``max_hops``
-    when ``sources`` holds every node.
+
+def betweenness(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """``node``, ``centrality``: shortest-path dependencies summed over the given sources, ignoring direction.
+
+    Brandes' scheme, exact for paths of any length when ``sources`` holds
+    every node. The pairs of sources and nodes are never rows: sources are
+    dealt to blocks, each block has the edges beside it and takes a few
+    sources at a time, so that a task holds little more than the edges and
+    only sums by node are shuffled. A graph of more than ``HELD_EDGES`` is
+    joined level by level.
     """
-    ensure_checkpoint_dir(edges.sparkSession)
+    spark = edges.sparkSession
+    ensure_checkpoint_dir(spark)
     both = _shuffled(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a <> b").distinct())
+    if both.count() > HELD_EDGES:
+        return _betweenness_by_levels(both, sources)
+    blocks = BLOCKS * spark.sparkContext.defaultParallelism
+    copies = both.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "a", "b")
+    # a source is told from an edge by its two equal ends
+    asked = sources.where("node is not null").distinct().select(F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block"), F.col("node").alias("a"), F.col("node").alias("b"))
+    # the number is given, as blocks are small to shuffle and long to work on
+    dealt = copies.unionByName(asked).repartition(2 * blocks, "block")
+    found = dealt.groupBy("block").applyInPandas(_dependencies_of_block, f"node {both.schema['a'].dataType.simpleString()}, d double")
+    return found.groupBy("node").agg(F.sum("d").alias("centrality"))
+
+
+def _dependencies_of_block(rows: pd.DataFrame) -> pd.DataFrame:
+    """``node``, ``d``: dependencies of the sources (``a`` = ``b``) in ``rows`` on the nodes that they reach by its edges."""
+    names, ends = np.unique(np.concatenate([rows["a"].to_numpy(), rows["b"].to_numpy()]), return_inverse=True)
+    a, b = ends[: len(rows)], ends[len(rows) :]
+    sources, n = a[a == b], len(names)
+    a, b = a[a != b], b[a != b]
+    b, degree = b[np.argsort(a, kind="stable")], np.bincount(a, minlength=n)
+    begin = np.cumsum(degree) - degree
+    total, reached = np.zeros(n), np.zeros(n, dtype=bool)
+    step = max(1, 1_000_000 // max(n, len(b), 1))
+    for i in range(0, len(sources), step):
+        some = sources[i : i + step]
+        d, seen = dependencies(begin, degree, b, some)
+        total, reached = total + d, reached | seen
+    return pd.DataFrame({"node": names[reached], "d": total[reached]})
+
+
+def dependencies(begin: np.ndarray, degree: np.ndarray, ends: np.ndarray, sources: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dependencies of ``sources`` on each node, summed, and which nodes they reach.
+
+    The neighbours of node ``v`` are ``degree[v]`` of ``ends`` from ``begin[v]``
+    on. All sources go out level by level together, each in a stretch of its own.
+    """
+    n = len(degree)
+    front = np.arange(len(sources)) * n + sources
+    ways, level = np.zeros(len(sources) * n), np.full(len(sources) * n, -1, dtype=np.int32)
+    mark = np.zeros(len(sources) * n, dtype=np.int64)
+    ways[front], level[front] = 1.0, 0
+    steps = []
+    while len(front):
+        v = front % n
+        many = degree[v]
+        old = np.repeat(front, many)
+        place = np.arange(len(old)) + np.repeat(begin[v] - (np.cumsum(many) - many), many)
+        new = old - np.repeat(v, many) + ends[place]
+        fresh = level[new] < 0
+        old, new = old[fresh], new[fresh]
+        np.add.at(ways, new, ways[old])
+        level[new] = len(steps) + 1
+        mark[new] = np.arange(len(new))
+        front = new[mark[new] == np.arange(len(new))]
+        steps.append((old, new))
+    back = np.zeros(len(ways))
+    for old, new in reversed(steps):
+        np.add.at(back, old, ways[old] / ways[new] * (1 + back[new]))
+    back[np.arange(len(sources)) * n + sources] = 0.0
+    return back.reshape(-1, n).sum(axis=0), (level.reshape(-1, n) >= 0).any(axis=0)
+
+
+def _betweenness_by_levels(both: DataFrame, sources: DataFrame) -> DataFrame:
+    """``betweenness`` as joins: path counts go out from the sources, dependencies come back."""
     level = sources.select(F.col("node").alias("s"), F.col("node").alias("v"), F.lit(1.0).alias("sigma"))
     levels = [_shuffled(level)]
     seen = levels[0].select("s", "v")
-    for _ in range(max_hops):
+    while True:
         step = levels[-1].join(both, F.col("v") == F.col("a")).groupBy("s", "b").agg(F.sum("sigma").alias("sigma")).withColumnRenamed("b", "v")
         new = _shuffled(step.join(seen, ["s", "v"], "left_anti"))
         if new.isEmpty():
@@ -129,6 +204,6 @@ def betweenness(edges: DataFrame, sources: DataFrame, max_hops: int = 8) -> Data
         back = here.join(both, F.col("v") == F.col("a")).select("s", "b", "sigma", "d")
         up = levels[k - 1].select("s", F.col("v").alias("b"), F.col("sigma").alias("up"))
         later = back.join(up, ["s", "b"]).groupBy("s", "b").agg(F.sum(F.col("up") / F.col("sigma") * (1 + F.col("d"))).alias("d")).withColumnRenamed("b", "v")
-    if total is None:
-        return sources.select("node", F.lit(0.0).alias("centrality"))
-    return total.groupBy(F.col("v").alias("node")).agg(F.sum("d").alias("centrality"))
+    reached = sources.select("node", F.lit(0.0).alias("d"))
+    total = reached if total is None else reached.union(total.select(F.col("v").alias("node"), "d"))
+    return total.groupBy("node").agg(F.sum("d").alias("centrality"))

@@ -227,7 +227,7 @@ def communities(spark, d):
 
 @query()
 def betweenness_centrality(spark, d):
-    """Dependencies from every node; no SQL, as they flow back level by level."""
+    """Dependencies from every node over ways of any length; no SQL, as they flow back level by level."""
     c = T.causes(spark, d)
     nodes = c.select(F.col("src").alias("node")).union(c.select("dst")).distinct()
     return graph.betweenness(c, nodes).select("node", F.round("centrality", 6).alias("centrality"))

@@ -232,3 +232,40 @@ def test_nearest_join_in_a_crowd(spark):
     for a in asked:
         want = sorted((km(a, b), b[0]) for b in rows if abs(a[1] - b[1]) <= 30 * hour and abs(a[2] - b[2]) <= 2 and abs(a[3] - b[3]) <= 2)[:5]
         assert [round(d, 6) for d, _ in sorted(got.get(a[0], []))] == [round(d, 6) for d, _ in want]
+
+
+@pytest.mark.parametrize("held", [10**7, 0])
+def test_betweenness_of_long_ways(held, spark, monkeypatch):
+    """Ways of more than eight hops were left out, and all pairs of nodes were shuffled: a line and a grid, by blocks and by levels."""
+    from seamark.operators import graph
+
+    monkeypatch.setattr(graph, "HELD_EDGES", held)
+    plans = []
+    monkeypatch.setattr(graph, "written", lambda df, real=graph.written: (plans.append(df.columns), real(df))[1])
+    rows = [(i, i + 1) for i in range(1, 13)] + [(100 + 10 * y + x, 100 + 10 * (y + dy) + x + dx) for y in range(3) for x in range(4) for dy, dx in ((0, 1), (1, 0)) if y + dy < 3 and x + dx < 4] + [(5, 5), (2, 1), (None, 3)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    near = {}
+    for a, b in rows:
+        if a is not None and a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = dict.fromkeys(near, 0.0)
+    for s in near:
+        order, ways, far, before = [s], {s: 1.0}, {s: 0}, {s: []}
+        for v in order:
+            for w in near[v]:
+                if w not in far:
+                    far[w], ways[w], before[w] = far[v] + 1, 0.0, []
+                    order.append(w)
+                if far[w] == far[v] + 1:
+                    ways[w] += ways[v]
+                    before[w].append(v)
+        back = dict.fromkeys(order, 0.0)
+        for w in reversed(order[1:]):
+            want[w] += back[w]
+            for v in before[w]:
+                back[v] += ways[v] / ways[w] * (1 + back[w])
+    nodes = spark.createDataFrame([(v,) for v in near], "node long")
+    got = {r["node"]: r["centrality"] for r in graph.betweenness(edges, nodes).collect()}
+    assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
+    assert held == 0 or plans == [["a", "b"]]
