@@ -12,7 +12,7 @@ are not close never have to be listed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seamark.functions.geo import haversine_km
@@ -65,3 +65,72 @@ def transfers(joined: DataFrame, minutes: int) -> DataFrame:
     rows = joined.where(lasted >= minutes * 60_000_000)
     first = rows.groupBy("a", "b", "stretch").agg(F.min(F.struct("o", "began")).alias("m"))
     return first.select("a", "b", F.col("m.began.vessel_a").alias("vessel_a"), F.col("m.began.vessel_b").alias("vessel_b"), F.col("m.began.at").alias("began_us"), F.col("m.o.at").alias("told_us"), F.col("m.began.lat").alias("lat"), F.col("m.began.lon").alias("lon"))
+
+
+def lasting_transfers(positions: DataFrame, km: float, stale: int, minutes: int) -> DataFrame:
+    """``transfers(together(close_reports(...)), minutes)`` of all ``positions``, without shuffling every close report.
+
+    Each position brings the ones before and after it of its vessel, so that a
+    pair of positions shows by itself whether the pair's reports before and
+    after it are close. A stretch of one report is left out where it arises,
+    and one whose second report comes ``minutes`` or more after its first is
+    told there. Only stretches that take more reports to last so long are
+    shuffled by pair, up to the report that tells them.
+    """
+    long, never = minutes * 60_000_000, 1 << 61
+    own = Window.partitionBy("vessel_id").orderBy("at", "position_id")
+    # plain columns without nulls, as what is compiled for a pair must stay small: a missing time is far away, a missing place no number
+    parts = {"at": F.col("at"), "id": F.col("position_id"), "lat": F.col("lat"), "lon": F.col("lon")}
+    blank = {"id": F.lit(0).cast("long"), "lat": F.lit(float("nan")), "lon": F.lit(float("nan"))}
+
+    def other(steps: int, prefix: str) -> list[Column]:
+        missing = blank | {"at": F.lit(never if steps < 0 else -never)}
+        return [F.coalesce(F.lag(c, steps).over(own) if steps else c, missing[n]).alias(f"{prefix}_{n}") for n, c in parts.items()]
+
+    rows = positions.where("at is not null and vessel_id is not null").select("vessel_id", *other(0, "now"), *other(2, "before"), *other(1, "last"), *other(-1, "next"))
+    # buckets a quarter as long as vessels are silent: each position is listed in few, and few of a bucket are over
+    span, vessels, n = positions.agg(F.max("at") - F.min("at"), F.approx_count_distinct("vessel_id"), F.count("*")).first()
+    bucket = int(min(max((span or 0) * vessels / max(n, 1) / 4, 60_000_000), stale))
+    p = rows.select(F.col("vessel_id").alias("p_vessel"), *[F.col(f"{x}_{n}").alias(f"{y}_{n}") for x, y in (("now", "p"), ("before", "pb"), ("last", "pl"), ("next", "pn")) for n in parts], F.floor(F.col("now_at") / bucket).alias("p_bucket"))
+    until = F.least(F.col("next_at"), F.col("now_at") + stale)
+    q = rows.select(F.col("vessel_id").alias("q_vessel"), *[F.col(f"{x}_{n}").alias(f"{y}_{n}") for x, y in (("now", "q"), ("last", "ql"), ("next", "qn")) for n in parts], F.explode(F.sequence(F.floor(F.col("now_at") / bucket), F.floor(until / bucket))).alias("q_bucket"))
+
+    def sooner(x: str, y: str) -> Column:
+        return (F.col(f"{x}_at") < F.col(f"{y}_at")) | ((F.col(f"{x}_at") == F.col(f"{y}_at")) & (F.col(f"{x}_id") < F.col(f"{y}_id")))
+
+    def close(x: list[Column], y: list[Column]) -> Column:
+        return (F.abs(x[0] - y[0]) <= stale) & (haversine_km(x[1], x[2], y[1], y[2]) <= km)
+
+    def at(x: str) -> list[Column]:
+        return [F.col(f"{x}_{n}") for n in ("at", "lat", "lon")]
+
+    def either(condition: Column, x: str, y: str) -> list[Column]:
+        return [F.when(condition, a).otherwise(b) for a, b in zip(at(x), at(y), strict=True)]
+
+    near = near_join(p, q, km, ("p_lat", "p_lon"), ("q_lat", "q_lon"), same=("p_bucket", "q_bucket"))
+    near = near.where((F.col("p_vessel") != F.col("q_vessel")) & sooner("q", "p") & sooner("p", "qn") & (F.abs(F.col("p_lat") - F.col("q_lat")) <= km / 111.0) & close(at("p"), at("q")))
+    # the pair's report before: the later of the reporter's last position and the other one's
+    goes_before = close(at("pl"), at("q"))
+    # the one after: the sooner of both next positions, beside the latest of the other vessel
+    moved = sooner("pn", "qn")
+    end_at = F.least("pn_at", "qn_at")
+    goes_on = close(either(moved, "pn", "qn"), either(moved, "q", "p"))
+    soon = end_at - F.col("p_at") < long
+    place = [((F.col(f"p_{n}") + F.col(f"q_{n}")) / 2).alias(n) for n in ("lat", "lon")]
+    pair = [F.least("p_vessel", "q_vessel").alias("a"), F.greatest("p_vessel", "q_vessel").alias("b"), F.col("p_vessel").alias("vessel_a"), F.col("q_vessel").alias("vessel_b")]
+    told = near.where(~soon & ~goes_before & goes_on).select(*pair, F.col("p_at").alias("began_us"), end_at.alias("told_us"), *place)
+    # of the others those that may lead from a first report to the one that tells: the steps before them are short
+    turn = sooner("pl", "q")
+    x, y = either(turn, "pl", "pb"), either(turn, "ql", "q")
+    step = F.greatest("pl_at", "q_at")
+    between = F.when(close(x, y), step - F.greatest(x[0], y[0]) < long).otherwise(F.col("p_at") - step < long)
+    asked = near.withColumn("starts", ~goes_before).where(F.when(F.col("starts"), soon & goes_on).otherwise(between))
+    asked = asked.select(*pair, F.col("p_at").alias("at"), F.col("p_id").alias("id"), end_at.alias("end_at"), F.when(moved, F.col("pn_id")).otherwise(F.col("qn_id")).alias("end_id"), "starts", *[F.when(F.col("starts"), c).alias(n) for c, n in zip(place, ("lat", "lon"), strict=True)])
+    by_pair = Window.partitionBy("a", "b").orderBy("at", "id")
+    upto = by_pair.rowsBetween(Window.unboundedPreceding, 0)
+    linked = (F.lag("end_at").over(by_pair) == F.col("at")) & (F.lag("end_id").over(by_pair) == F.col("id"))
+    # what follows neither a first report nor one that does is of a stretch that was told before
+    marked = asked.withColumn("new", F.col("starts") | ~F.coalesce(linked, F.lit(False)))
+    marked = marked.withColumns({"stretch": F.count_if("new").over(upto), "began": F.last(F.when(F.col("new"), F.struct("starts", "at", "vessel_a", "vessel_b", "lat", "lon")), ignorenulls=True).over(upto)})
+    slow = marked.where(F.col("began.starts") & (F.col("at") - F.col("began.at") >= long)).groupBy("a", "b", "stretch").agg(F.min("began").alias("began"), F.min("at").alias("told_us"))
+    return told.unionByName(slow.select("a", "b", "began.vessel_a", "began.vessel_b", F.col("began.at").alias("began_us"), "told_us", "began.lat", "began.lon"))

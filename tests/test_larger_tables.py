@@ -269,3 +269,45 @@ def test_betweenness_of_long_ways(held, spark, monkeypatch):
     got = {r["node"]: r["centrality"] for r in graph.betweenness(edges, nodes).collect()}
     assert got.keys() == want.keys() and all(abs(got[v] - want[v]) < 1e-9 for v in want)
     assert held == 0 or plans == [["a", "b"]]
+
+
+@pytest.mark.parametrize(("mean", "span", "still"), [(4, 500, 0.9), (60, 6000, 0.5)])
+def test_transfers_that_show_by_themselves_are_not_shuffled(mean, span, still, spark):
+    """All close reports were shuffled by pair; now those of a stretch that is told at its second report, or never, are not."""
+    import random
+
+    from seamark.operators.pairs import close_reports, lasting_transfers, together, transfers, valid_positions
+
+    r, rows = random.Random(mean), []
+    for v in range(12):
+        at, lat, lon = r.random() * mean, 10.2, 10.2
+        while at < span:
+            if r.random() > still:
+                lat, lon = 10 + r.random() * 0.6, 10 + r.random() * 0.6
+            rows.append((len(rows), v, int(at) * 60_000_000 if v % 2 else int(at * 60e6), None if r.random() < 0.01 else lat, lon))
+            at += r.expovariate(1 / mean)
+    p = spark.createDataFrame(rows, "position_id long, vessel_id long, at long, lat double, lon double")
+    columns = ["a", "b", "vessel_a", "vessel_b", "began_us", "told_us", "lat", "lon"]
+    plain = transfers(together(close_reports(valid_positions(p), 46.3, 6 * 3_600_000_000)), 30).select(columns)
+    found = lasting_transfers(p, 46.3, 6 * 3_600_000_000, 30).select(columns)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) and found.count() > 100
+    # told in place: the first branch of the union ends in the join
+    assert "Exchange" not in executed(found).split("Union")[1].split("SortMergeJoin")[0]
+
+
+def test_near_join_finds_each_pair_once(spark):
+    """Cells are twice the radius; the poles and 180 degrees included."""
+    import math
+
+    from seamark.operators.joins import near_join
+
+    rows = [(i, -90 + i * 37 % 1800 / 10, -180 + i * 91 % 3600 / 10) for i in range(900)] + [(1000 + i, 89.5 + i / 20, i * 37.0 - 180) for i in range(10)] + [(2000, 10.0, 180.0), (2001, 10.0, -180.0), (2002, 10.1, 179.9)]
+    left, right = (spark.createDataFrame(rows, f"{s} long, {s}_lat double, {s}_lon double") for s in "lr")
+
+    def km(a, b):
+        (p, q), (s, t) = (map(math.radians, x[1:]) for x in (a, b))
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(math.sin((s - p) / 2) ** 2 + math.cos(p) * math.cos(s) * math.sin((t - q) / 2) ** 2)))
+
+    met = near_join(left, right, 300, ("l_lat", "l_lon"), ("r_lat", "r_lon"))
+    got = [(x["l"], x["r"]) for x in met.collect()]
+    assert len(got) == len(set(got)) and {(a[0], b[0]) for a in rows for b in rows if km(a, b) <= 300} <= set(got)
