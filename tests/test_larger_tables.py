@@ -311,3 +311,12 @@ def test_near_join_finds_each_pair_once(spark):
     met = near_join(left, right, 300, ("l_lat", "l_lon"), ("r_lat", "r_lon"))
     got = [(x["l"], x["r"]) for x in met.collect()]
     assert len(got) == len(set(got)) and {(a[0], b[0]) for a in rows for b in rows if km(a, b) <= 300} <= set(got)
+
+
+def test_contacts_are_shuffled_by_pair_and_time_alone(spark, tables):
+    """Both positions of a contact went along, to order contacts of one time, which are of one island anyway."""
+    events = "SELECT i::BIGINT AS event_id, TIMESTAMP '2024-01-01' + to_minutes((i // 3 * 7)::BIGINT) AS ts, (i % 3 * 60)::BIGINT AS user_id, 'view' AS event_type, 1.0::DOUBLE AS value FROM range(400) r(i)"
+    path, con = tables(events=events)
+    found = QUERIES["close_pairs"](spark, path)
+    same(found, con, SQL["close_pairs"])
+    assert found.count() > 2 and "position_id" not in executed(found).split("SortMergeJoin")[0]
