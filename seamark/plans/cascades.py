@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seamark import tables as T
+from seamark.operators.graph import written
 from seamark.operators.joins import SHUFFLED
 from seamark.operators.paths import expand_paths, reach
 from seamark.plans.registry import query
@@ -65,6 +66,23 @@ def ending(paths: DataFrame, ends: DataFrame) -> DataFrame:
     return paths.join(ends.select(F.col("event_id").alias("node")).hint(SHUFFLED), "node", "left_semi")
 
 
+def strongest_ways(edges: DataFrame, start: DataFrame, ends: DataFrame, hops: int, floor: float, n: int) -> DataFrame:
+    """The ``n`` strongest of the paths above ``floor`` from ``start`` to an incident of ``ends``.
+
+    Scores never rise along a path. So the ``n``-th best of the paths of one
+    hop is a floor too: what falls below it, ties apart, is not among the
+    strongest at any length.
+    """
+    start = written(start)
+    best = strongest(ending(expand_paths(edges, start, 1, F.col("confidence"), floor), ends), n)
+    found, last = best.agg(F.count("*"), F.min("score")).first()
+    if found == n:
+        floor = max(floor, last - 1e-6)
+    if "score" in start.columns:
+        start = start.where(F.col("score") > floor)
+    return strongest(ending(expand_paths(edges, start, hops, F.col("confidence"), floor), ends), n)
+
+
 def from_incidents(spark, d, start: str, end: str, hops: int, floor: float) -> DataFrame:
     """Causal paths from the incidents where ``start`` holds to those where ``end`` does."""
     i = incidents(spark, d)
@@ -72,6 +90,12 @@ def from_incidents(spark, d, start: str, end: str, hops: int, floor: float) -> D
     return ending(p, i.where(end))
 
 
+def strongest_from(spark, d, start: str, end: str, hops: int, floor: float, n: int) -> DataFrame:
+    """The ``n`` strongest of ``from_incidents``."""
+    i = incidents(spark, d)
+    return strongest_ways(leads(spark, d), i.where(start).select(F.col("event_id").alias("root")), i.where(end), hops, floor, n)
+
+
 def sql_paths(start: str, end: str, hops: int, floor: float, n: int) -> str:
     """SQL of the ``n`` strongest causal paths; ``start`` selects root, node, hops, ids, score before the causal hops, which number up to ``hops``."""
     return f"""WITH {INCIDENTS}, s AS ({start}),
@@ -95,17 +119,17 @@ CANAL = "event_type = 'CANAL_DISRUPTION' AND description LIKE '%cold%'"
 @query(recursive(sql_paths(sql_from(CANAL), "true", 6, 0.005, 50)))
 def canal_closure(spark, d):
     """Ripples of the disruptions whose description names the canal."""
-    return strongest(from_incidents(spark, d, CANAL, "true", 6, 0.005), 50)
+    return strongest_from(spark, d, CANAL, "true", 6, 0.005, 50)
 
 
 @query(recursive(sql_paths(sql_from("event_type = 'SANCTIONS_DESIGNATION'"), "true", 6, 0.01, 40)))
 def sanctions_cascade(spark, d):
-    return strongest(from_incidents(spark, d, "event_type = 'SANCTIONS_DESIGNATION'", "true", 6, 0.01), 40)
+    return strongest_from(spark, d, "event_type = 'SANCTIONS_DESIGNATION'", "true", 6, 0.01, 40)
 
 
 @query(recursive(sql_paths(sql_from("domain = 'social_media'"), "domain IN ('maritime', 'security', 'humanitarian')", 4, 0.01, 30)))
 def social_to_physical(spark, d):
-    return strongest(from_incidents(spark, d, "domain = 'social_media'", "domain IN ('maritime', 'security', 'humanitarian')", 4, 0.01), 30)
+    return strongest_from(spark, d, "domain = 'social_media'", "domain IN ('maritime', 'security', 'humanitarian')", 4, 0.01, 30)
 
 
 HUNGER = "domain = 'humanitarian' AND event_type IN ('FAMINE', 'DISPLACEMENT')"
@@ -117,8 +141,7 @@ def price_to_hunger(spark, d):
     i = incidents(spark, d)
     moved = affects(spark, d).where("instrument = 3").join(i.where("event_type = 'PRICE_ANOMALY'").hint(SHUFFLED), "event_id")
     start = moved.select(F.col("instrument").alias("root"), F.col("event_id").alias("node"), F.lit(1).alias("hops"), F.array("edge_id").alias("edge_ids"), F.col("c").alias("score"))
-    p = expand_paths(leads(spark, d), start, 5, F.col("confidence"), 0.005).where("hops > 1")
-    return strongest(ending(p, i.where(HUNGER)), 30)
+    return strongest_ways(leads(spark, d), start, i.where(HUNGER), 5, 0.005, 30)
 
 
 OPERATES = """SELECT vessel_id, event_id, 'o' || vessel_id::VARCHAR || '-' || event_id::VARCHAR AS edge_id, least(1.0, weight::DOUBLE / 100) AS c FROM contacts"""
@@ -141,8 +164,7 @@ def cartel_to_maritime(spark, d):
     )
     # what falls to the floor in the first hops can't rise again
     start = direct.unionByName(through).where("score > 0.01")
-    p = expand_paths(leads(spark, d), start, 4, F.col("confidence"), 0.01, min_hops=1)
-    return strongest(ending(p, i.where("domain = 'maritime'")), 30)
+    return strongest_ways(leads(spark, d), start, i.where("domain = 'maritime'"), 4, 0.01, 30)
 
 
 @query(recursive(f"""WITH {INCIDENTS},

@@ -320,3 +320,26 @@ def test_contacts_are_shuffled_by_pair_and_time_alone(spark, tables):
     found = QUERIES["close_pairs"](spark, path)
     same(found, con, SQL["close_pairs"])
     assert found.count() > 2 and "position_id" not in executed(found).split("SortMergeJoin")[0]
+
+
+def test_paths_below_the_strongest_are_given_up(spark, small, duck, monkeypatch):
+    """All paths above the fixed floor were built, of which the thirty strongest were taken."""
+    from seamark.plans import cascades
+
+    floors = []
+    monkeypatch.setattr(cascades, "expand_paths", lambda e, s, hops, w, floor, real=cascades.expand_paths: (floors.append((hops, floor)), real(e, s, hops, w, floor))[1])
+    found = QUERIES["cartel_to_maritime"](spark, small)
+    assert [h for h, _ in floors] == [1, 4] and floors[0][1] == 0.01 and floors[1][1] > 0.1
+    same(found, duck, SQL["cartel_to_maritime"])
+
+
+def test_few_paths_keep_the_fixed_floor(spark):
+    """With fewer paths of one hop than are asked for, longer and weaker ones count."""
+    from seamark.plans.cascades import strongest_ways
+
+    edges = spark.createDataFrame([(f"e{i}", i, i + 1, 0.5) for i in range(6)], "edge_id string, src long, dst long, confidence double")
+    ends = spark.range(7).withColumnRenamed("id", "event_id")
+    start = spark.createDataFrame([(0,)], "root long")
+    got = [(r["node"], r["score"]) for r in strongest_ways(edges, start, ends, 4, 0.1, 10).collect()]
+    assert got == [(1, 0.5), (2, 0.25), (3, 0.125)]
+    assert [r["node"] for r in strongest_ways(edges, start, ends, 4, 0.1, 1).collect()] == [1]
