@@ -343,3 +343,17 @@ def test_few_paths_keep_the_fixed_floor(spark):
     got = [(r["node"], r["score"]) for r in strongest_ways(edges, start, ends, 4, 0.1, 10).collect()]
     assert got == [(1, 0.5), (2, 0.25), (3, 0.125)]
     assert [r["node"] for r in strongest_ways(edges, start, ends, 4, 0.1, 1).collect()] == [1]
+
+
+def test_similarity_of_many_pairs_at_once():
+    """Each pair went through Python character by character; the results are the same to the last bit."""
+    import random
+
+    from seamark.operators.linkage import jaro_winkler, jaro_winkler_of_many
+
+    r = random.Random(5)
+    words = ["", "a", "b", "ab", "ba", "martha", "marhta", "dixon", "dicksonx", "\0", "a\0", "é€😀", "😀é"] + ["".join(r.choice("abcde é") for _ in range(r.randrange(30))) for _ in range(300)]
+    pairs = [(x, y) for x in words[:40] for y in words[:40]] + [(r.choice(words), r.choice(words)) for _ in range(5000)]
+    a, b = ([p[i] for p in pairs] for i in (0, 1))
+    assert jaro_winkler_of_many(a, b).tolist() == [jaro_winkler(x, y) for x, y in pairs]
+    assert jaro_winkler_of_many([], []).tolist() == []
